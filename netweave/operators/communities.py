@@ -264,7 +264,8 @@ def consensus_communities(agreement: DataFrame, shape: TensorShape) -> DataFrame
 
 
 def _subset_agreement(packed: DataFrame, chosen: DataFrame, n_nodes: int, on_disconnected: str) -> DataFrame:
-    """Split the chosen community in every subject's graph and count agreeing pairs."""
+    """Split the chosen community in every subject's graph and count agreeing pairs; the
+    (i, i) rows name the community's nodes and carry the number of graphs."""
     schema = "cond string, interval string, nodes array<bigint>, comms array<bigint>"
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,25 +281,26 @@ def _subset_agreement(packed: DataFrame, chosen: DataFrame, n_nodes: int, on_dis
     return agreement_counts(split, KEYS, n_nodes)
 
 
-def _consensus_parts(agreement: DataFrame, chosen: DataFrame, n_nodes: int, min_size: int, on_disconnected: str) -> DataFrame:
+def _consensus_parts(counts: DataFrame, min_size: int, on_disconnected: str) -> DataFrame:
     """Split each key's agreement matrix: (cond, interval, node, part), valid splits only."""
-    cells = agreement.groupBy(*KEYS).agg(
-        F.collect_list("i").alias("i"), F.collect_list("j").alias("j"), F.collect_list("w").alias("w")
+    cells = counts.groupBy(*KEYS).agg(
+        F.collect_list("i").alias("i"), F.collect_list("j").alias("j"), F.collect_list("n").alias("n")
     )
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             for row in pdf.itertuples(index=False):
-                nodes = np.sort(np.asarray(row.members, dtype=int))
-                a = np.zeros((n_nodes, n_nodes))
-                if row.w is not None:
-                    i, j = np.asarray(row.i, dtype=int), np.asarray(row.j, dtype=int)
-                    a[i, j] = a[j, i] = np.asarray(row.w, dtype=float)
-                part = gap_split(a[np.ix_(nodes, nodes)], on_disconnected)
+                i, j, n = (np.asarray(x, dtype=int) for x in (row.i, row.j, row.n))
+                nodes = np.sort(i[i == j])
+                a = np.zeros((nodes.size, nodes.size))
+                r, c = np.searchsorted(nodes, i), np.searchsorted(nodes, j)
+                a[r, c] = a[c, r] = n / n[i == j].max()
+                np.fill_diagonal(a, 0.0)
+                part = gap_split(a, on_disconnected)
                 if min((part == 1).sum(), (part == 2).sum()) >= max(min_size, 1):
                     yield pd.DataFrame({"cond": row.cond, "interval": row.interval, "node": nodes, "part": part})
 
-    return chosen.join(cells, KEYS, "left").mapInPandas(run, "cond string, interval string, node bigint, part int")
+    return cells.mapInPandas(run, "cond string, interval string, node bigint, part int")
 
 
 def select_communities(
@@ -320,9 +322,10 @@ def select_communities(
     """
     n = shape.n_nodes
     graphs = stage(graphs)
-    packed = stage(complete_subjects(pack_graphs(graphs, [*KEYS, "subj"], n), shape))
-    pooled = stage(ql.pooled_ranks(ql.rank_bins(graphs, n, shape.subjects)))
-    current = graphs.select(*KEYS).distinct().select(
+    keys = stage(graphs.select(*KEYS).distinct())
+    packed = stage(complete_subjects(pack_graphs(graphs, [*KEYS, "subj"], n), keys, shape))
+    pooled = stage(ql.pooled_ranks(ql.rank_bins(graphs, n, shape.subjects, keys)))
+    current = keys.select(
         *KEYS, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("node"),
         F.lit(1).cast("bigint").alias("community"),
     )
@@ -333,11 +336,9 @@ def select_communities(
             pick = pick.filter(F.col("_n") >= 2 * min_size).drop("_n")
         else:
             pick = ql.choose_split(ql.cluster_quality(ql.rank_histograms(pooled, current)), min_size).drop("votes")
-        chosen = stage(
-            current.join(pick, [*KEYS, "community"]).groupBy(*KEYS).agg(F.collect_list("node").alias("members"))
-        )
-        agreement = stage(share_counts(_subset_agreement(packed, chosen, n, on_disconnected), KEYS))
-        parts = _consensus_parts(agreement, chosen, n, min_size, on_disconnected)
+        chosen = current.join(pick, [*KEYS, "community"]).groupBy(*KEYS).agg(F.collect_list("node").alias("members"))
+        counts = stage(_subset_agreement(packed, chosen, n, on_disconnected))
+        parts = _consensus_parts(counts, min_size, on_disconnected)
         fresh = current.join(parts, [*KEYS, "node"], "left")
         fresh = fresh.withColumn("went_on", F.max("part").over(Window.partitionBy(*KEYS))).filter("went_on is not null")
         fresh = fresh.select(
@@ -345,7 +346,7 @@ def select_communities(
         )
         current = stage(relabel(fresh.drop("part"), KEYS))
         levels.append(current.withColumn("k", F.lit(k)))
-        agreements.append(agreement.join(current.select(*KEYS).distinct(), KEYS, "left_semi").withColumn("k", F.lit(k)))
+        agreements.append(share_counts(counts, KEYS).withColumn("k", F.lit(k)))
     labels = levels[0]
     cooc = agreements[0]
     for more, cells in zip(levels[1:], agreements[1:]):
@@ -358,9 +359,9 @@ def select_communities(
     return labels.join(best, [*KEYS, "k"]), table, cooc.join(best, [*KEYS, "k"])
 
 
-def complete_subjects(packed: DataFrame, shape: TensorShape) -> DataFrame:
+def complete_subjects(packed: DataFrame, keys: DataFrame, shape: TensorShape) -> DataFrame:
     """Give subjects without any edge an empty graph, which counts in the consensus."""
-    spine = packed.select(*KEYS).distinct().withColumn("subj", F.explode(F.array(*[F.lit(s) for s in shape.subjects])))
+    spine = keys.withColumn("subj", F.explode(F.array(*[F.lit(s) for s in shape.subjects])))
     return spine.join(packed, [*KEYS, "subj"], "left").select(
         *KEYS, "subj",
         F.coalesce("pos", F.array().cast("array<bigint>")).alias("pos"),

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from netweave.operators.tensor import mirrored, positive_edges
 
 TINY = 1e-12
+# Count matrices a task keeps open before it passes them on to the shuffle.
+MAX_OPEN_KEYS = 256
 
 
 def strongest_edges(graphs: DataFrame, keys: list[str], k: int = 35) -> DataFrame:
@@ -47,17 +49,19 @@ def isolated_nodes(graphs: DataFrame, labels: DataFrame, keys: list[str]) -> Dat
     linked = (
         inside.filter("community = other").groupBy(*keys, "node").agg(F.sum("w").alias("w")).filter(F.col("w") > TINY)
     )
-    everyone = labels if shared == keys else graphs.select(*keys).distinct().join(labels, shared) if shared else None
-    if everyone is None:
+    if shared == keys:
+        everyone = labels
+    elif shared:
+        everyone = graphs.select(*keys).distinct().join(labels, shared)
+    else:
         everyone = with_keys(labels, graphs, keys)
     return everyone.select(*keys, "node", "community").join(linked.select(*keys, "node"), [*keys, "node"], "left_anti")
 
 
 def with_keys(labels: DataFrame, graphs: DataFrame, keys: list[str]) -> DataFrame:
-    """Repeat one common partition for every key: the labels travel as one array per key."""
-    everyone = labels.groupBy().agg(F.collect_list(F.struct("node", "community")).alias("all"))
-    # the aggregate without keys is a single row
-    return graphs.select(*keys).distinct().join(F.broadcast(everyone)).select(*keys, F.inline("all"))
+    """Repeat one common partition (one entry per node) for every key, as a scalar array."""
+    everyone = labels.agg(F.collect_list(F.struct("node", "community"))).scalar()
+    return graphs.select(*keys).distinct().withColumn("all", everyone).select(*keys, F.inline("all"))
 
 
 def community_order(labels: DataFrame, keys: list[str]) -> DataFrame:
@@ -118,6 +122,11 @@ def agreement_counts(packed: DataFrame, keys: list[str], n_nodes: int) -> DataFr
     import numpy as np
     import pandas as pd
 
+    def cells(sums):
+        for key, total in sums.items():
+            i, j = np.nonzero(np.triu(total))
+            yield pd.DataFrame({**dict(zip(keys, key)), "i": i, "j": j, "n": total[i, j].astype("int64")}, index=range(i.size))
+
     def run(pdfs):
         sums: dict = {}
         for pdf in pdfs:
@@ -127,9 +136,10 @@ def agreement_counts(packed: DataFrame, keys: list[str], n_nodes: int) -> DataFr
                 comms = np.asarray(row.comms)
                 total = sums.setdefault(key, np.zeros((n_nodes, n_nodes)))
                 total[np.ix_(nodes, nodes)] += comms[:, None] == comms[None, :]
-        for key, total in sums.items():
-            i, j = np.nonzero(np.triu(total))
-            yield pd.DataFrame({**dict(zip(keys, key)), "i": i, "j": j, "n": total[i, j].astype("int64")}, index=range(i.size))
+                if len(sums) > MAX_OPEN_KEYS:
+                    yield from cells(sums)
+                    sums = {}
+        yield from cells(sums)
 
     types = dict(packed.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", i bigint, j bigint, n bigint"

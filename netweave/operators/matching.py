@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netweave.operators.ordered import running
+from netweave.stage import stage
 
 ORDER = ["sample", "event_id"]
 # Samples per bucket of the running counts: long recordings of one subject split here.
@@ -28,8 +29,7 @@ def nearest_correct(events: DataFrame) -> DataFrame:
     Running maximum/minimum of the Correct times replaces the pairing of all trials.
     """
     correct = F.when(F.col("code").startswith("Correct"), F.col("sample"))
-    seen = running(events, ["subj"], ORDER, _bucket(), {"prev": (correct, "max")})
-    seen = running(seen, ["subj"], ORDER, _bucket(), {"next": (correct, "min")}, reverse=True)
+    seen = running(events, ["subj"], ORDER, _bucket(), {"prev": (correct, "max"), "next": (correct, "min", "back")})
     wrong = seen.filter(F.col("code").startswith("Incorrect"))
     near = F.when(
         F.col("next").isNull() | (F.col("sample") - F.col("prev") <= F.col("next") - F.col("sample")), F.col("prev")
@@ -92,15 +92,16 @@ def balance_trials(events: DataFrame) -> DataFrame:
     Result: matched pairs (subj, event_id, sample, match_id, match_sample).
     """
     correct = F.col("code").startswith("Correct").cast("bigint")
-    counted = running(
+    counted = stage(running(
         events, ["subj"], ORDER, _bucket(),
         {"pos": (correct, "sum"), "seen": (1 - correct, "sum")},
-    )
+    ))
     wrong = counted.filter(F.col("code").startswith("Incorrect")).select(
         "subj", "sample", "event_id", "pos", (F.col("seen") - 1).alias("ord")
     ).withColumn("d", F.col("ord") - F.col("pos"))
-    wrong = running(wrong, ["subj"], ORDER, _bucket(), {"lowest": (F.col("d"), "min")})
-    wrong = running(wrong, ["subj"], ORDER, _bucket(), {"highest": (F.col("d"), "max")}, reverse=True)
+    wrong = running(
+        wrong, ["subj"], ORDER, _bucket(), {"lowest": (F.col("d"), "min"), "highest": (F.col("d"), "max", "back")}
+    )
     wrong = wrong.select(
         "subj", "sample", "event_id", "pos", "ord",
         (F.col("ord") + 1 - F.col("lowest")).alias("reach"),
@@ -108,8 +109,8 @@ def balance_trials(events: DataFrame) -> DataFrame:
     )
     before = wrong.select("subj", (F.col("ord") + 1).alias("ord"), F.col("reach").alias("prev_reach"))
     cut = F.when(F.col("prev_reach") <= F.col("floor"), 1).otherwise(0)
-    wrong = wrong.join(before, ["subj", "ord"], "left").withColumn("cut", cut)
-    wrong = running(wrong, ["subj"], ORDER, _bucket(), {"part": (F.col("cut").cast("bigint"), "sum")})
+    wrong = stage(wrong.join(before, ["subj", "ord"], "left").withColumn("cut", cut))
+    wrong = stage(running(wrong, ["subj"], ORDER, _bucket(), {"part": (F.col("cut").cast("bigint"), "sum")}))
     spans = wrong.groupBy("subj", "part").agg(F.min("floor").alias("lo"), (F.max("reach") - 1).alias("hi"))
     wanted = spans.select(
         "subj", "part", F.explode(F.sequence(F.greatest("lo", F.lit(0)), F.col("hi"))).alias("pos")

@@ -22,33 +22,35 @@ def running(
     keys: list[str],
     order: list[str],
     bucket: Column,
-    values: dict[str, tuple[Column, str]],
-    reverse: bool = False,
+    values: dict[str, tuple],
 ) -> DataFrame:
-    """Add inclusive running ``sum``/``min``/``max`` columns along ``order`` within ``keys``.
+    """Add inclusive running values along ``order`` within ``keys``.
 
-    ``bucket`` must not decrease along ``order``. With ``reverse`` the value runs from
-    the end backwards.
+    ``values`` maps a name to ``(expr, "sum"|"min"|"max")``, or ``(expr, kind, "back")`` to
+    run from the end backwards. ``bucket`` must not decrease along ``order``. The input is
+    read twice (rows and bucket summaries): pass a stored table when it is costly.
     """
     df = df.withColumn("_b", bucket)
-    way = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
-    inner = (
-        Window.partitionBy(*keys, "_b").orderBy(*[way(c) for c in order])
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    before = Window.partitionBy(*keys).orderBy(way("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*keys, "_b").agg(
-        *[_COMBINE[kind][0](expr).alias(f"_c_{name}") for name, (expr, kind) in values.items()]
-    )
+    specs = {name: (v[0], v[1], len(v) > 2) for name, v in values.items()}
+
+    def ordering(names, back):
+        return [F.col(c).desc() if back else F.col(c).asc() for c in names]
+
+    def inner(back):
+        w = Window.partitionBy(*keys, "_b").orderBy(*ordering(order, back))
+        return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def before(back):
+        w = Window.partitionBy(*keys).orderBy(*ordering(["_b"], back))
+        return w.rowsBetween(Window.unboundedPreceding, -1)
+
+    totals = df.groupBy(*keys, "_b").agg(*[_COMBINE[k][0](e).alias(f"_c_{n}") for n, (e, k, _) in specs.items()])
     carried = totals.select(
-        *keys, "_b",
-        *[_COMBINE[kind][0](f"_c_{name}").over(before).alias(f"_c_{name}") for name, (_, kind) in values.items()],
-    )
-    local = df.select(
-        "*", *[_COMBINE[kind][0](expr).over(inner).alias(f"_l_{name}") for name, (expr, kind) in values.items()]
+        *keys, "_b", *[_COMBINE[k][0](f"_c_{n}").over(before(back)).alias(f"_c_{n}") for n, (_, k, back) in specs.items()]
     )
+    local = df.select("*", *[_COMBINE[k][0](e).over(inner(back)).alias(f"_l_{n}") for n, (e, k, back) in specs.items()])
     joined = local.join(carried, [*keys, "_b"])
-    for name, (_, kind) in values.items():
-        joined = joined.withColumn(name, _COMBINE[kind][1](F.col(f"_l_{name}"), F.col(f"_c_{name}")))
-    drop = ["_b"] + [f"_{p}_{n}" for n in values for p in "lc"]
-    return joined.drop(*drop)
+    kept = [c for c in df.columns if c != "_b"]
+    return joined.select(
+        *kept, *[_COMBINE[k][1](F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n, (_, k, _) in specs.items()]
+    )

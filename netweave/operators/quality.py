@@ -14,17 +14,17 @@ from netweave.operators.tensor import mirrored
 KEYS = ["cond", "interval"]
 
 
-def rank_bins(graphs: DataFrame, n_nodes: int, subjects: list[str] | tuple[str, ...]) -> DataFrame:
+def rank_bins(graphs: DataFrame, n_nodes: int, subjects: tuple[str, ...], keys: DataFrame) -> DataFrame:
     """Rank of every other node j seen from i by descending weight, ties by j, zeros included.
 
-    ``graphs(cond, interval, subj, i, j, w)`` need not store zero edges; every (cond,
-    interval) of ``graphs`` is completed for all ``subjects``.
+    ``graphs(cond, interval, subj, i, j, w)`` need not store zero edges; they are completed
+    for every (cond, interval) of ``keys`` and all ``subjects``.
     """
+    nodes = F.sequence(F.lit(0).cast("bigint"), F.lit(n_nodes - 1).cast("bigint"))
     spine = (
-        graphs.select(*KEYS).distinct()
-        .withColumn("subj", F.explode(F.array(*[F.lit(s) for s in subjects])))
-        .withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_nodes - 1).cast("bigint"))))
-        .withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_nodes - 1).cast("bigint"))))
+        keys.select(*KEYS, F.explode(F.array(*[F.lit(s) for s in subjects])).alias("subj"))
+        .select("*", F.explode(nodes).alias("i"))
+        .select("*", F.explode(nodes).alias("j"))
         .filter("i <> j")
     )
     dense = spine.join(mirrored(graphs), [*KEYS, "subj", "i", "j"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
@@ -41,21 +41,32 @@ def rank_histograms(pooled: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts of rank per community, inside it and from it to the outside.
 
     ``labels(cond, interval[, k], node, community)``. Rows: rank 1..n for every community.
+    A key's pooled counts are bounded by the cube of the node count, so they are brought
+    together per (cond, interval) once and everything after reuses that partitioning.
     """
     extra = [c for c in labels.columns if c not in (*KEYS, "node", "community")]
-    seen = labels.select(*KEYS, *extra, F.col("node").alias("i"), "community")
+    whole = Window.partitionBy(*KEYS, *extra)
+    sized = labels.select(
+        *labels.columns, F.count("*").over(whole).alias("n_nodes"),
+        F.count("*").over(Window.partitionBy(*KEYS, *extra, "community")).alias("size"),
+        F.min("node").over(Window.partitionBy(*KEYS, *extra, "community")).alias("_head"),
+    )
+    carry = [*KEYS, *extra, "community", "size", "n_nodes"]
+    seen = sized.select(*carry, F.col("node").alias("i"))
     other = labels.select(*KEYS, *extra, F.col("node").alias("j"), F.col("community").alias("other"))
-    counted = (
-        pooled.join(seen, [*KEYS, "i"]).join(other, [*KEYS, *extra, "j"])
-        .groupBy(*KEYS, *extra, "community", "rank").agg(
-            F.sum(F.when(F.col("community") == F.col("other"), F.col("n")).otherwise(0)).alias("intra"),
-            F.sum(F.when(F.col("community") != F.col("other"), F.col("n")).otherwise(0)).alias("inter"),
-        )
+    same = F.col("community") == F.col("other")
+    zero = F.lit(0).cast("bigint")
+    counted = pooled.join(seen, [*KEYS, "i"]).join(other, [*KEYS, *extra, "j"]).select(
+        *carry, "rank", F.when(same, F.col("n")).otherwise(0).alias("intra"), F.when(same, 0).otherwise(F.col("n")).alias("inter")
+    )
+    blank = sized.filter("node = _head").select(
+        *carry, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_nodes"))).alias("rank"),
+        zero.alias("intra"), zero.alias("inter"),
+    )
+    return (
+        counted.unionByName(blank).repartition(*KEYS).groupBy(*carry, "rank")
+        .agg(F.sum("intra").alias("intra"), F.sum("inter").alias("inter"))
     )
-    size = labels.groupBy(*KEYS, *extra, "community").agg(F.count("*").alias("size"))
-    size = size.withColumn("n_nodes", F.sum("size").over(Window.partitionBy(*KEYS, *extra)))
-    spine = size.withColumn("rank", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_nodes"))))
-    return spine.join(counted, [*KEYS, *extra, "community", "rank"], "left").na.fill(0, ["intra", "inter"])
 
 
 def rank_shares(histograms: DataFrame) -> DataFrame:
@@ -67,7 +78,7 @@ def rank_shares(histograms: DataFrame) -> DataFrame:
         total = F.sum(c).over(w)
         return F.when(total > 0, F.col(c) / F.when(total > 0, total)).otherwise(F.lit(1.0) / F.col("n_nodes"))
 
-    return histograms.withColumn("p", share("intra")).withColumn("q", share("inter"))
+    return histograms.select("*", share("intra").alias("p"), share("inter").alias("q"))
 
 
 def entropy_bits(p) -> F.Column:

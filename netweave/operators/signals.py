@@ -12,8 +12,10 @@ from pyspark.sql import types as T
 
 from netweave.functions.linalg import flat_pairs
 
-# Trials folded into one partial cross-spectrum; bounds what a task holds at a time.
+# Trials of one subject kept together in a task; more are spread over further tasks.
 TRIAL_CHUNK = 32
+# Partial cross-spectra a task keeps open before it passes them on to the shuffle.
+MAX_OPEN_SUMS = 16
 
 
 def pick_channels(signals: DataFrame, keep: list[str], rename: dict[str, str]) -> DataFrame:
@@ -100,11 +102,12 @@ def phase_locking(analytic: DataFrame, n_channels: int) -> DataFrame:
 
     ``analytic(subj, cond, trial, ch, a)`` with ``a`` from `analytic_signal`; channels are
     numbered 0..n-1 and every trial has all of them. Trials are salted into chunks of at
-    most TRIAL_CHUNK, each reduced to one partial sum before the final aggregation, so a
-    subject with many trials is spread over many tasks.
+    most TRIAL_CHUNK and summed per task before the final aggregation, so a subject with
+    many trials is spread over many tasks and little is shuffled.
     """
     r, c = flat_pairs(n_channels)
-    packed = analytic.groupBy("subj", "cond", "trial").agg(F.sort_array(F.collect_list(F.struct("ch", "a"))).alias("chs"))
+    salted = analytic.withColumn("salt", F.floor(F.col("trial") / TRIAL_CHUNK)).repartition("subj", "cond", "salt")
+    packed = salted.groupBy("subj", "cond", "salt", "trial").agg(F.sort_array(F.collect_list(F.struct("ch", "a"))).alias("chs"))
     packed = packed.select("subj", "cond", "trial", F.transform("chs", lambda x: x["a"]).alias("z"))
     out = T.StructType([
         analytic.schema["subj"], analytic.schema["cond"],
@@ -112,21 +115,25 @@ def phase_locking(analytic: DataFrame, n_channels: int) -> DataFrame:
         T.StructField("im", T.ArrayType(T.DoubleType())),
     ])
 
+    def rows(sums: dict) -> pd.DataFrame:
+        return pd.DataFrame(
+            [(s, k, n, total.real, total.imag) for (s, k), (n, total) in sums.items()],
+            columns=["subj", "cond", "n", "re", "im"],
+        )
+
     def partial(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
         for pdf in pdfs:
-            for start in range(0, len(pdf), TRIAL_CHUNK):
-                sums: dict = {}
-                for row in pdf.iloc[start:start + TRIAL_CHUNK].itertuples(index=False):
-                    a = np.stack(list(row.z))
-                    n = a.shape[1] // 2
-                    z = np.exp(1j * np.arctan2(a[:, n:], a[:, :n]))
-                    cross = (z[r] * np.conj(z[c])).ravel()
-                    count, total = sums.get((row.subj, row.cond), (0, 0.0))
-                    sums[(row.subj, row.cond)] = (count + 1, total + cross)
-                yield pd.DataFrame(
-                    [(s, k, n, total.real, total.imag) for (s, k), (n, total) in sums.items()],
-                    columns=["subj", "cond", "n", "re", "im"],
-                )
+            for row in pdf.itertuples(index=False):
+                a = np.stack(list(row.z))
+                n = a.shape[1] // 2
+                z = np.exp(1j * np.arctan2(a[:, n:], a[:, :n]))
+                count, total = sums.get((row.subj, row.cond), (0, 0.0))
+                sums[(row.subj, row.cond)] = (count + 1, total + (z[r] * np.conj(z[c])).ravel())
+                if len(sums) > MAX_OPEN_SUMS:
+                    yield rows(sums)
+                    sums = {}
+        yield rows(sums)
 
     sums = packed.mapInPandas(partial, out)
     cells = (

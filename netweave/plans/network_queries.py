@@ -15,6 +15,7 @@ from netweave.plans import catalog as cat
 from netweave.plans.catalog import query, rounded
 from netweave.sources import networks as nw
 from netweave.sources.tables import table
+from netweave.stage import stage
 
 TRADE = nw.TRADE
 GRAPH_KEYS = ["cond", "interval"]
@@ -247,13 +248,13 @@ def node_metrics(spark, d):
 
 
 @query("isolated_nodes", f"""WITH {cat.TRADE}, {cat.BOTH}, {cat.LABELS},
- linked AS (SELECT t, i AS node FROM ends JOIN lab a ON i = a.node JOIN lab b ON j = b.node AND a.community = b.community
-   WHERE subj = 'BUILDING' GROUP BY 1, 2 HAVING sum(w) > 1e-12)
-SELECT t, node, community FROM (SELECT * FROM (SELECT DISTINCT t FROM trade WHERE subj = 'BUILDING'), lab)
-ANTI JOIN linked USING (t, node)""")
+ linked AS (SELECT subj, t, i AS node FROM ends JOIN lab a ON i = a.node JOIN lab b ON j = b.node AND a.community = b.community
+   GROUP BY 1, 2, 3 HAVING sum(w) > 1e-12)
+SELECT subj, t, node, community FROM (SELECT * FROM (SELECT DISTINCT subj, t FROM trade), lab)
+ANTI JOIN linked USING (subj, t, node)""")
 def isolated_nodes(spark, d):
-    graphs = nw.trade_edges(spark, d).filter("subj = 'BUILDING'").select("t", "i", "j", "w")
-    return gr.isolated_nodes(graphs, nw.region_labels(spark, d), ["t"]).select("t", "node", "community")
+    graphs = stage(nw.trade_edges(spark, d).select("subj", "t", "i", "j", "w"))
+    return gr.isolated_nodes(graphs, nw.region_labels(spark, d), ["subj", "t"]).select("subj", "t", "node", "community")
 
 
 @query("community_sort", f"""WITH {cat.LABELS}
@@ -305,7 +306,7 @@ def modularity(spark, d):
 
 
 def ranks(spark, d):
-    return ql.rank_bins(trade_graphs(spark, d), TRADE.n_nodes, TRADE.subjects)
+    return ql.rank_bins(trade_graphs(spark, d), TRADE.n_nodes, TRADE.subjects, thirds(spark))
 
 
 def histograms(spark, d):

@@ -193,14 +193,14 @@ def local_peaks(spark, d):
 
 
 @query("spread_score", f"""WITH {QUANTITY},
- p AS (SELECT t FROM (SELECT t, v, lag(v) OVER (ORDER BY t) AS l, lead(v) OVER (ORDER BY t) AS r FROM q) WHERE v > l AND v > r AND t % 3 = 0)
+ p AS (SELECT t FROM (SELECT t, v, lag(v) OVER (ORDER BY t) AS l, lead(v) OVER (ORDER BY t) AS r FROM q) WHERE v > l AND v > r)
 SELECT count(*) AS points, coalesce(min(gap), 0)::DOUBLE AS score FROM (SELECT t - lag(t) OVER (ORDER BY t) AS gap FROM p)""")
 def spread_score(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("cond").orderBy("t")
     peaks = quantity_signal(spark, d).withColumn("l", F.lag("v").over(w)).withColumn("r", F.lead("v").over(w))
-    times = peaks.filter("v > l AND v > r AND t % 3 = 0").select("cond", F.col("t").cast("double").alias("ms"))
+    times = peaks.filter("v > l AND v > r").select("cond", F.col("t").cast("double").alias("ms"))
     points = times.groupBy("cond").agg(F.count("*").alias("points"))
     return points.join(dt.spread_score(times, "cond"), "cond").select("points", "score")
 
@@ -249,13 +249,15 @@ def frame_clocks(spark, d):
     )
 
 
-@query("ms_to_frame", """WITH m AS (SELECT event_id, value * 20.0 - 1000.3 AS ms FROM events WHERE value * 20.0 - 1000.3 BETWEEN -1000 AND 1000),
+@query("ms_to_frame", """
+WITH m AS (SELECT event_id, (epoch_us(ts) // 1000000) % 86400 / 43.2 - 1000 AS ms FROM events),
  near AS (SELECT event_id, arg_min(range, struct_pack(g := abs(-1000 + range * (2000 / 82.0::DOUBLE) - ms), k := range)) AS nearest FROM m, range(83) GROUP BY 1)
 SELECT event_id, nearest, round_even((ms + 1000) * 41.0 / 1000, 0)::BIGINT AS rounded FROM m JOIN near USING (event_id)""")
 def ms_to_frame(spark, d):
     from netweave.sources.tables import table
 
-    times = table(spark, d, "events").select("event_id", (F.col("value") * 20.0 - 1000.3).alias("ms")).filter("ms between -1000 and 1000")
+    second = F.unix_timestamp(F.col("ts").cast("timestamp")) % 86400
+    times = table(spark, d, "events").select("event_id", (second / 43.2 - 1000).alias("ms"))
     return times.select(
         "event_id", sc.frame_nearest(F.col("ms"), T, -1000.0, 1000.0).alias("nearest"),
         sc.frame_half_even(F.col("ms"), -1000.0, 41.0).alias("rounded"),
@@ -324,10 +326,9 @@ def tracker_change_points(spark, d):
 @query("tracker_low_rank", f"WITH {cat.TRADE} SELECT subj, t, sum(w) AS observed, true AS exact FROM trade GROUP BY 1, 2")
 def tracker_low_rank(spark, d):
     """Low rank + sparse is the observed tensor in every cell; absent cells stay absent."""
-    frames = fr.stage_frames(nw.trade_edges(spark, d), TRADE)
-    run = tr.track(frames, TRADE, TRACKER)
+    edges = seg.stage(nw.trade_edges(spark, d))
+    run = tr.track(fr.stage_frames(edges, TRADE), TRADE, TRACKER)
     gap = F.abs(F.col("low_rank") + F.col("sparse") - F.coalesce("w", F.lit(0.0)))
-    edges = nw.trade_edges(spark, d)
     both = run.separated().join(edges, ["cond", "subj", "i", "j", "t"], "full")
     return both.groupBy("subj", "t").agg(
         F.sum("w").alias("observed"), (F.max(gap) < 1e-9).alias("exact")

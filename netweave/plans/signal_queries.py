@@ -97,14 +97,14 @@ def greedy_trial_match(spark, d):
 
 @query("epochs", f"""WITH {cat.EVENTS},
  sig AS (SELECT user_id % 8 AS subj, event_type AS ch, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 3600000000 AS sample,
-    count(*) AS v FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, 2, 3),
+    count(*) AS v FROM events GROUP BY 1, 2, 3),
  cue AS (SELECT event_id AS trial, subj % 8 AS subj, sample // 3600 AS onset FROM ev WHERE code = 'Incorrect'),
  cut AS (SELECT cue.subj, trial, ch, sample - onset AS t, v FROM cue JOIN sig ON cue.subj = sig.subj
     AND sample BETWEEN onset - 2 AND onset + 2)
 SELECT subj, trial, ch, sum(v)::BIGINT AS total, sum(CASE WHEN t = -2 THEN v END)::BIGINT AS head
 FROM cut GROUP BY 1, 2, 3 HAVING count(*) = 5""")
 def epochs(spark, d):
-    events = table(spark, d, "events").filter(F.col("event_type").isin("click", "view"))
+    events = table(spark, d, "events")
     signal = events.groupBy(
         (F.col("user_id") % 8).alias("subj"), F.col("event_type").alias("ch"), nw.event_hour().alias("sample")
     ).agg(F.count("*").alias("v"))

@@ -32,26 +32,26 @@ def month_index(c: str) -> F.Column:
 def trade_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order line: (cond, subj, buyer, seller, t, qty).
 
-    The fact-to-fact join runs on the order key; the optimizer broadcasts customer or
-    supplier only while their size statistics are under its threshold, and splits hot
-    keys at run time.
+    Orders meet customers first, so order lines are shuffled only by order and by supplier
+    key, and the latter only when suppliers are too large for the optimizer to broadcast.
+    Neither join needs its partitioning kept, so adaptive execution can split hot keys.
     """
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity", "l_shipdate")
+    line = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_suppkey", month_index("l_shipdate").alias("t"), F.col("l_quantity").alias("qty")
+    )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    supp = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    cust = table(spark, sf_dir, "customer").select(
+        "c_custkey", F.col("c_mktsegment").alias("subj"), F.col("c_nationkey").cast("bigint").alias("buyer")
+    )
+    supp = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").cast("bigint").alias("seller"))
+    buyers = orders.join(cust, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "subj", "buyer")
+    # both sides grow with the data and estimates after a join are poor: never broadcast here
+    buyers = buyers.hint("merge")
     return (
-        line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(cust, F.col("o_custkey") == F.col("c_custkey"))
+        line.join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
+        .select("l_suppkey", "subj", "buyer", "t", "qty")
         .join(supp, F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(
-            F.lit("trade").alias("cond"),
-            F.col("c_mktsegment").alias("subj"),
-            F.col("c_nationkey").cast("bigint").alias("buyer"),
-            F.col("s_nationkey").cast("bigint").alias("seller"),
-            month_index("l_shipdate").alias("t"),
-            F.col("l_quantity").alias("qty"),
-        )
+        .select(F.lit("trade").alias("cond"), "subj", "buyer", "seller", "t", "qty")
     )
 
 
@@ -84,9 +84,8 @@ def planted_edges(spark: SparkSession, sf_dir: str, factor: float = 8.0) -> Data
     region = table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").cast("bigint").alias("n"), F.col("n_regionkey").alias("r")
     )
-    # nation has one row per node, and the node count is a declared dimension
-    a = F.broadcast(region.select(F.col("n").alias("i"), F.col("r").alias("ri")))
-    b = F.broadcast(region.select(F.col("n").alias("j"), F.col("r").alias("rj")))
+    a = region.select(F.col("n").alias("i"), F.col("r").alias("ri"))
+    b = region.select(F.col("n").alias("j"), F.col("r").alias("rj"))
     gain = F.when(F.col("ri") == F.col("rj"), F.lit(factor)).otherwise(1.0)
     return trade_edges(spark, sf_dir).join(a, "i").join(b, "j").select(
         "cond", "subj", "i", "j", "t", (F.col("w") * gain).alias("w")
@@ -136,9 +135,8 @@ def trial_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = table(spark, sf_dir, "embeddings").select(
         "vec_id", F.col("label").alias("ch"), F.col("embedding").cast("array<double>").alias("v")
     )
-    one = {"k": (F.lit(1), "sum")}
-    rank = running(vecs.select("ch", "vec_id"), ["ch"], ["vec_id"], F.floor(F.col("vec_id") / 4096), one)
-    ranked = vecs.join(rank, ["ch", "vec_id"]).withColumn("k", (F.col("k") - 1).cast("bigint"))
+    ranked = running(vecs, ["ch"], ["vec_id"], F.floor(F.col("vec_id") / 4096), {"k": (F.lit(1), "sum")})
+    ranked = ranked.withColumn("k", (F.col("k") - 1).cast("bigint"))
     trials = ranked.select(
         (F.col("k") % 4).alias("subj"),
         F.when(F.floor(F.col("k") / 4) % 2 == 0, "Correct").otherwise("Incorrect").alias("cond"),

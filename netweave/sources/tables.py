@@ -18,8 +18,24 @@ CHANGE_POINT_SCHEMA = "cond string, method string, ord int, frame long, ms doubl
 QUALITY_COLUMNS = ["k", "selection_score", "u", "h", "c", "q"]
 
 
+# Declared so that opening a table costs no schema-inference job.
+TABLE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def read_edges(spark: SparkSession, path: str, frames: tuple[int, int] | None = None) -> DataFrame:
@@ -54,11 +70,9 @@ def electrode_positions(layout: DataFrame, radius: float = 0.96) -> DataFrame:
     """Turn the layout so the nose points up and scale it into the head circle."""
     turned = layout.select("name", (-F.col("y")).alias("x"), F.col("x").alias("y"))
     turned = turned.filter("x is not null and y is not null and not isnan(x) and not isnan(y)")
-    reach = turned.agg(F.max(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2)).alias("r"))
-    scale = F.lit(radius) / F.when(F.col("r") > 0, F.col("r")).otherwise(1.0)
-    return turned.join(F.broadcast(reach)).select(
-        "name", (F.col("x") * scale).alias("x"), (F.col("y") * scale).alias("y")
-    )
+    reach = turned.agg(F.max(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y"))).alias("r")).scalar()
+    scale = F.lit(radius) / F.when(reach > 0, reach).otherwise(1.0)
+    return turned.select("name", (F.col("x") * scale).alias("x"), (F.col("y") * scale).alias("y"))
 
 
 def read_change_points(spark: SparkSession, path: str, expected: int | None = None) -> DataFrame:
