@@ -84,9 +84,11 @@ def subject_gram(graphs: np.ndarray) -> np.ndarray:
     return flat @ flat.T
 
 
-def frame_grams(frames: DataFrame, shape: TensorShape) -> DataFrame:
+def frame_grams(frames: DataFrame, shape: TensorShape, transform: Callable | None = None) -> DataFrame:
     """Mode Gram matrices over all given frames: (cond, mode, r, c, g).
 
+    ``transform(cond, t, graphs)`` may replace each frame's graphs before they are folded in.
+
     Each task folds its frames into one matrix per condition and mode before the shuffle,
     so what is shuffled does not depend on the number of frames.
     """
@@ -97,6 +99,8 @@ def frame_grams(frames: DataFrame, shape: TensorShape) -> DataFrame:
         for pdf in pdfs:
             for row in pdf.itertuples(index=False):
                 graphs = unpack(row.pos, row.w, shape)
+                if transform is not None:
+                    graphs = transform(row.cond, row.t, graphs)
                 for mode, gram in (("node", node_gram(graphs)), ("subject", subject_gram(graphs))):
                     sums[(row.cond, mode)] = sums.get((row.cond, mode), 0.0) + gram
         for (cond, mode), gram in sums.items():

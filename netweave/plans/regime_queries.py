@@ -12,6 +12,7 @@ from netweave.operators import segmentation as seg
 from netweave.operators import tensor as tn
 from netweave.operators import tracker as tr
 from netweave.plans import catalog as cat
+from netweave.plans import study
 from netweave.plans.catalog import query, rounded
 from netweave.sources import networks as nw
 
@@ -372,3 +373,28 @@ def distance_thinning(spark, d):
     """Busiest months at least six apart, greedily by quantity."""
     points = quantity_signal(spark, d).select("cond", F.col("t").alias("point"), F.col("v").alias("score"))
     return tr.suppress_close(points, 6).select("point", "score")
+
+
+# ---- studies -----------------------------------------------------------------------------
+
+STUDY = study.StudyConfig(
+    ranks=(3, 6), k_range=(2, 6), min_community=3, tracker=TRACKER, windows=(6, 12, 24), shift_window=12,
+    alphas=(6, 12), sigmas=(0.05, 0.11),
+)
+
+
+@query("detector_table")
+def detector_table(spark, d):
+    """Change points of all five detectors side by side."""
+    out = study.detector_table(nw.trade_edges(spark, d), TRADE, MONTHS, STUDY)
+    return out.select("method", F.col("ord").cast("bigint").alias("ord"), "frame", "ms")
+
+
+@query("study_summary")
+def study_summary(spark, d):
+    """Low-rank denoising, exact segmentation and consensus communities of the planted tensor."""
+    done = study.run_study(nw.planted_edges(spark, d), TRADE, "hosvd", STUDY)
+    out = study.summary_table(done.quality, done.intervals, MONTHS)
+    return out.select(
+        "interval", "start_frame", "end_frame", "best_k", *rounded(6, "best_selection_score", "best_u", "best_q")
+    )

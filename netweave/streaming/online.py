@@ -1,0 +1,64 @@
+"""The simplified tracker on a stream of packed frames.
+
+State per condition is a few small matrices (bases and running Gram sums), never frames:
+the refresh windows are disjoint, so one running sum stands for the window being filled.
+A condition's frames must arrive in time order.
+"""
+
+from __future__ import annotations
+
+import pickle
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from netweave.functions.linalg import complement, gram_spectrum
+from netweave.operators.frames import node_gram, subject_gram, unpack
+from netweave.operators.tracker import project_out, shrink
+from netweave.shape import TensorShape
+
+FRAME_SCHEMA = "cond string, t bigint, pos array<bigint>, w array<double>"
+
+
+def stream_sparse_energy(frames: DataFrame, shape: TensorShape, train: int, alpha: int, sigma_min: float, tau: float = 0.01) -> DataFrame:
+    """Streaming counterpart of `tracker.sparse_energy`: (cond, t, v), appended per batch."""
+
+    def leading(gram: np.ndarray) -> np.ndarray:
+        u, sv = gram_spectrum(gram)
+        return complement(u[:, :max(int((sv > sigma_min * sv[0]).sum()), 1)])
+
+    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        sizes = (shape.n_nodes, shape.n_subjects)
+        if state.exists:
+            last, training, block, phis = pickle.loads(state.get[0])
+        else:
+            last, training, block, phis = -1, [np.zeros((n, n)) for n in sizes], [np.zeros((n, n)) for n in sizes], None
+        rows = []
+        for row in pd.concat(list(batches)).sort_values("t").itertuples(index=False):
+            if row.t != last + 1:
+                raise ValueError(f"condition {key[0]}: frame {row.t} after frame {last}")
+            last = row.t
+            graphs = unpack(row.pos, row.w, shape)
+            sparse = np.zeros_like(graphs)
+            if row.t >= train:
+                phis = phis or [leading(g) for g in training]
+                sparse = np.moveaxis(shrink(project_out(np.moveaxis(graphs, 0, 2), *phis), tau), 2, 0)
+            rows.append((row.cond, row.t, float(np.linalg.norm(sparse))))
+            low = graphs - sparse
+            grams = [node_gram(low), subject_gram(low)]
+            if row.t < train:
+                training = [a + b for a, b in zip(training, grams)]
+            if row.t % alpha == 0:
+                if row.t >= train:
+                    phis = [leading(g) for g in block]
+                block = grams
+            else:
+                block = [a + b for a, b in zip(block, grams)]
+        state.update((pickle.dumps((last, training, block, phis)),))
+        yield pd.DataFrame(rows, columns=["cond", "t", "v"])
+
+    return frames.groupBy("cond").applyInPandasWithState(
+        step, "cond string, t bigint, v double", "blob binary", "append", "NoTimeout"
+    )
