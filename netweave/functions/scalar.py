@@ -60,20 +60,6 @@ def edge_fade(t: Column, n_frames: int, share: float = 0.1) -> Column:
     return F.when(t >= n_frames - m, fall).when(t < m, rise).otherwise(F.lit(1.0))
 
 
-def array_dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-
-
-def array_sq_dist(a: Column, b: Column) -> Column:
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x
-    )
-
-
-def array_sq_norm(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x * x)
-
-
 def parse_int_list(text: Column) -> Column:
     """'10, none,3' -> [10, NULL, 3]; 'none', 'null' and '-' mean no limit."""
     items = F.transform(F.split(text, ","), lambda s: F.lower(F.trim(s)))

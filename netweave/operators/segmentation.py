@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netweave.functions.scalar import array_sq_dist, array_sq_norm
 from netweave.shape import TensorShape
 from netweave.stage import stage
 
 INTERVAL_NAMES = ("pre", "core", "post")
+# Positions per block of the segment cost computation.
+BLOCK = 32
 
 
 def prefix_sums(features: DataFrame) -> DataFrame:
@@ -30,26 +34,40 @@ def prefix_vectors(features: DataFrame) -> DataFrame:
 
 
 def segment_costs(vectors: DataFrame, min_size: int) -> DataFrame:
-    """Squared error of every admissible segment [start, end), spread over the executors.
+    """Squared error of every admissible segment: (cond, start, end, cost).
 
-    The candidate starts of an end are generated from the end and matched by an
-    equi-join; each pair is reduced to one number at once.
+    Positions are grouped into blocks of BLOCK. An end block names the start blocks it needs,
+    an equi-join fetches them, and each pair of blocks becomes one small array computation, so
+    the work of a long recording spreads over block pairs and no vector is copied per segment.
     """
-    starts = F.concat(
-        F.array(F.lit(0).cast("bigint")),
-        F.when(F.col("pos") >= 2 * min_size,
-               F.sequence(F.lit(min_size).cast("bigint"), F.col("pos") - min_size)).otherwise(F.array().cast("array<bigint>")),
+    blocks = vectors.groupBy("cond", F.floor(F.col("pos") / BLOCK).alias("block")).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "s", "q"))).alias("v")
     )
-    ends = vectors.filter(F.col("pos") >= min_size).select(
-        "cond", F.col("pos").alias("end"), F.col("s").alias("es"), F.col("q").alias("eq"),
-        F.explode(starts).alias("start"),
+    ends = blocks.select(
+        "cond", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("block"))).alias("block"), F.col("v").alias("tail")
     )
-    heads = vectors.select("cond", F.col("pos").alias("start"), F.col("s").alias("ss"), F.col("q").alias("sq"))
-    moved = F.when(F.col("ss").isNull(), array_sq_norm(F.col("es"))).otherwise(
-        array_sq_dist(F.col("es"), F.col("ss"))
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            for row in pdf.itertuples(index=False):
+                end, es, eq = _unzip(row.tail)
+                start, ss, sq = _unzip(row.v)
+                if row.block == 0:
+                    start, sq = np.append(0, start), np.append(0.0, sq)
+                    ss = np.vstack([np.zeros(ss.shape[1]), ss])
+                size = end[:, None] - start
+                moved = ((es[:, None, :] - ss) ** 2).sum(axis=2)
+                e, b = np.nonzero((size >= min_size) & ((start == 0) | (start >= min_size)))
+                cost = eq[e] - sq[b] - moved[e, b] / size[e, b]
+                yield pd.DataFrame({"cond": row.cond, "start": start[b], "end": end[e], "cost": cost}, index=range(e.size))
+
+    return ends.join(blocks, ["cond", "block"]).mapInPandas(run, "cond string, start bigint, end bigint, cost double")
+
+
+def _unzip(items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return (
+        np.array([x["pos"] for x in items]), np.array([x["s"] for x in items]), np.array([x["q"] for x in items]),
     )
-    cost = F.col("eq") - F.coalesce("sq", F.lit(0.0)) - moved / (F.col("end") - F.col("start"))
-    return ends.join(heads, ["cond", "start"], "left").select("cond", "start", "end", cost.alias("cost"))
 
 
 def exact_segmentation(features: DataFrame, n_frames: int, n_bkps: int = 2, min_size: int = 10) -> DataFrame:
@@ -60,8 +78,7 @@ def exact_segmentation(features: DataFrame, n_frames: int, n_bkps: int = 2, min_
     """
     n_segments = n_bkps + 1
     min_size = max(1, min(min_size, n_frames // n_segments))
-    vectors = stage(prefix_vectors(features))
-    costs = segment_costs(vectors, min_size)
+    costs = stage(segment_costs(stage(prefix_vectors(features)), min_size))
     state = costs.filter("start = 0").select(
         "cond", F.col("end").alias("at"), F.col("cost").alias("total"), F.array().cast("array<bigint>").alias("path")
     )

@@ -63,26 +63,30 @@ def spatial_filter(signals: DataFrame, matrix: DataFrame) -> DataFrame:
 
 
 def _spectral(v: Column, rate_hz: float, lo: float | None, hi: float | None, analytic: bool, out) -> Column:
+    def transform(x: np.ndarray) -> np.ndarray:
+        n = x.shape[1]
+        spec = np.fft.fft(x, axis=1)
+        if lo is not None:
+            freq = np.abs(np.fft.fftfreq(n, 1.0 / rate_hz))
+            spec[:, (freq < lo) | (freq > hi)] = 0.0
+        if analytic:
+            gain = np.zeros(n)
+            gain[0] = 1.0
+            gain[1:(n + 1) // 2] = 2.0
+            if n % 2 == 0:
+                gain[n // 2] = 1.0
+            spec *= gain
+        y = np.fft.ifft(spec, axis=1)
+        return np.concatenate([y.real, y.imag], axis=1) if analytic else y.real
+
     @F.pandas_udf(out)
     def run(col: pd.Series) -> pd.Series:
-        res = []
-        for x in col:
-            x = np.asarray(x, dtype=float)
-            n = x.size
-            spec = np.fft.fft(x)
-            if lo is not None:
-                freq = np.abs(np.fft.fftfreq(n, 1.0 / rate_hz))
-                spec[(freq < lo) | (freq > hi)] = 0.0
-            if analytic:
-                gain = np.zeros(n)
-                gain[0] = 1.0
-                gain[1:(n + 1) // 2] = 2.0
-                if n % 2 == 0:
-                    gain[n // 2] = 1.0
-                spec *= gain
-            y = np.fft.ifft(spec)
-            res.append(np.concatenate([y.real, y.imag]) if analytic else y.real)
-        return pd.Series(res)
+        res = pd.Series([None] * len(col), dtype=object)
+        for _, same in col.groupby(col.map(len)):
+            rows = transform(np.stack(same.to_list()).astype(float))
+            for k, y in zip(same.index, rows):
+                res[k] = y
+        return res
 
     return run(v)
 

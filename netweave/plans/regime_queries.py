@@ -146,16 +146,49 @@ def event_dmd_shift(spark, d):
     return dt.dmd_shift(frames, nw.EVENTS, 48, 3).select("t", *rounded(4, "v"))
 
 
-@query("pelt_cps")
+# optimal partitioning on multiples of 5, at least 6 frames per segment: one recursion step
+# per position, carrying the best total and path of every earlier position
+PARTITION = f"""WITH RECURSIVE {cat.ENERGY},
+ p AS (SELECT list_prepend(0, list(s ORDER BY t)) AS s, list_prepend(0, list(q ORDER BY t)) AS q FROM (
+   SELECT t, sum(v) OVER (ORDER BY t) AS s, sum(v * v) OVER (ORDER BY t) AS q FROM en)),
+ pos AS (SELECT list_concat([0], list_concat(range(10, 83, 5), [83])) AS b),
+ r(pen, k, tot, path) AS (
+  SELECT pen, 1, [0.0::DOUBLE], [[]::BIGINT[]] FROM (SELECT unnest([5.0, 10.0, 20.0, 50.0, 100.0]::DOUBLE[]) AS pen)
+  UNION ALL
+  SELECT pen, k + 1, list_append(tot, best.c), list_append(path, list_append(path[best.j], b[best.j])) FROM (
+   SELECT pen, k, tot, path, b, list_sort([struct_pack(c := tot[j] + q[b[k + 1] + 1] - q[b[j] + 1]
+      - pow(s[b[k + 1] + 1] - s[b[j] + 1], 2) / (b[k + 1] - b[j]) + pen, j := j)
+      for j in range(1, k + 1) if b[k + 1] - b[j] >= 6])[1] AS best FROM r, p, pos WHERE k < len(b))),
+ done AS (SELECT pen, path[len(path)][2:] AS cps FROM r, pos WHERE k = len(b)),
+ pick AS (SELECT arg_min(struct_pack(pen := pen, cps := cps), CASE WHEN len(cps) IN (3, 4) THEN pen ELSE 1e6 - pen END) AS x FROM done)"""
+
+
+@query("pelt_cps", PARTITION + """
+SELECT x.pen AS penalty, unnest(range(len(x.cps))) AS ord, unnest(x.cps) AS frame, unnest(x.cps)::DOUBLE - 1 AS ms FROM pick""")
 def pelt_cps(spark, d):
     sweep = dt.penalty_sweep(energy(spark, d), T, [5.0, 10.0, 20.0, 50.0, 100.0])
     chosen = dt.boundary_times(dt.choose_penalty(sweep), MONTHS)
     return chosen.select("penalty", F.col("ord").cast("bigint").alias("ord"), "frame", "ms")
 
 
-@query("kernel_cps")
+# Gaussian-kernel scatter of every segment of the faded signal, then four rounds of dynamic
+# programming with at least 9 frames per segment
+KERNEL = f"""WITH {cat.ENERGY},
+ x AS (SELECT t, v * CASE WHEN t >= 75 THEN 1 - (t - 75) / 7.0::DOUBLE WHEN t < 8 THEN t / 7.0::DOUBLE ELSE 1 END AS v FROM en),
+ g AS (SELECT 1 / median(pow(a.v - b.v, 2)) AS g FROM x a JOIN x b ON a.t < b.t),
+ k AS (SELECT a.t AS a, b.t AS b, CASE WHEN a.t = b.t THEN 1 ELSE exp(-least(greatest(g * pow(a.v - b.v, 2), 0.01), 100)) END AS k FROM x a, x b, g),
+ c AS (SELECT s.range AS s, e.range AS e, (e.range - s.range) - sum(k) / (e.range - s.range) AS c
+   FROM range(83) s JOIN range(84) e ON e.range - s.range >= 9 JOIN k ON a >= s.range AND a < e.range AND b >= s.range AND b < e.range GROUP BY 1, 2),
+ d1 AS (SELECT e, c AS v, []::BIGINT[] AS p FROM c WHERE s = 0),
+ d2 AS (SELECT c.e, min(v + c) AS v, arg_min(list_append(p, s), v + c) AS p FROM c JOIN d1 ON d1.e = s GROUP BY 1),
+ d3 AS (SELECT c.e, min(v + c) AS v, arg_min(list_append(p, s), v + c) AS p FROM c JOIN d2 ON d2.e = s GROUP BY 1),
+ d4 AS (SELECT c.e, min(v + c) AS v, arg_min(list_append(p, s), v + c) AS p FROM c JOIN d3 ON d3.e = s GROUP BY 1),
+ d5 AS (SELECT c.e, min(v + c) AS v, arg_min(list_append(p, s), v + c) AS p FROM c JOIN d4 ON d4.e = s WHERE c.e = 83 GROUP BY 1)"""
+
+
+@query("kernel_cps", KERNEL + " SELECT unnest(range(4)) AS ord, unnest(p) AS frame, unnest(p)::DOUBLE - 1 AS ms FROM d5")
 def kernel_cps(spark, d):
-    points = dt.kernel_change_points(dt.rank1_shift(nw.trade_edges(spark, d), TRADE, 12), T)
+    points = dt.kernel_change_points(energy(spark, d), T)
     return dt.boundary_times(points, MONTHS).select(F.col("ord").cast("bigint").alias("ord"), "frame", "ms")
 
 
@@ -368,7 +401,13 @@ def sparse_proxy(spark, d):
     return _sparse(spark, d, "proxy")
 
 
-@query("distance_thinning")
+@query("distance_thinning", f"""WITH RECURSIVE {QUANTITY},
+ k(point, score, kept) AS (
+  SELECT NULL::BIGINT, NULL::DOUBLE, []::BIGINT[]
+  UNION ALL
+  SELECT t, v, list_append(kept, t) FROM (SELECT arg_max(t, struct_pack(v := v, t := -t)) AS t, max(v) AS v, any_value(kept) AS kept
+    FROM k JOIN q ON len(list_filter(kept, lambda x: abs(x - q.t) < 6)) = 0 HAVING count(*) > 0))
+SELECT point, score FROM k WHERE point IS NOT NULL""")
 def distance_thinning(spark, d):
     """Busiest months at least six apart, greedily by quantity."""
     points = quantity_signal(spark, d).select("cond", F.col("t").alias("point"), F.col("v").alias("score"))
