@@ -303,6 +303,20 @@ def _consensus_parts(counts: DataFrame, min_size: int, on_disconnected: str) ->
     return cells.mapInPandas(run, "cond string, interval string, node bigint, part int")
 
 
+def requested_levels(requested, k_range: tuple[int, int], names: tuple[str, ...]) -> dict[str, list[int]]:
+    """Community counts to consider per interval: the whole range, one count for all
+    intervals, or one count for each."""
+    if requested is None or (not np.isscalar(requested) and len(requested) == 0):
+        return {name: list(range(k_range[0], k_range[1] + 1)) for name in names}
+    counts = [requested] if np.isscalar(requested) else list(requested)
+    if len(counts) not in (1, len(names)):
+        raise ValueError(f"request no count, one count, or {len(names)} counts")
+    counts = [round(float(k)) for k in counts]
+    if min(counts) < 2:
+        raise ValueError("a requested count must be at least 2")
+    return {name: [counts[n] if len(counts) > 1 else counts[0]] for n, name in enumerate(names)}
+
+
 def select_communities(
     graphs: DataFrame,
     shape: TensorShape,
@@ -311,6 +325,7 @@ def select_communities(
     min_size: int = 2,
     criterion: str = "u",
     on_disconnected: str = "spectral",
+    levels: dict[str, list[int]] | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Split the worst community by consensus until ``k_max``, then keep the best k.
 
@@ -318,7 +333,8 @@ def select_communities(
     score the current partition, choose a community by vote, split it in every subject's
     graph, and split the agreement of those. A key whose split is too small stops there.
     Returns (labels of the best k, quality table, agreement behind the best k's last split);
-    a key without any valid k has no rows.
+    a key without any valid k has no rows. ``levels`` narrows the counts considered per
+    interval (see `requested_levels`).
     """
     n = shape.n_nodes
     graphs = stage(graphs)
@@ -329,7 +345,9 @@ def select_communities(
         *KEYS, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("node"),
         F.lit(1).cast("bigint").alias("community"),
     )
-    levels, agreements = [], []
+    partitions, agreements = [], []
+    if levels:
+        k_max = max(max(ks) for ks in levels.values())
     for k in range(2, k_max + 1):
         if k == 2:
             pick = current.groupBy(*KEYS).agg(F.min("community").alias("community"), F.count("*").alias("_n"))
@@ -345,13 +363,15 @@ def select_communities(
             *KEYS, "node", "part", (F.col("community") * 4 + F.coalesce("part", F.lit(0))).alias("community")
         )
         current = stage(relabel(fresh.drop("part"), KEYS))
-        levels.append(current.withColumn("k", F.lit(k)))
+        partitions.append(current.withColumn("k", F.lit(k)))
         agreements.append(share_counts(counts, KEYS).withColumn("k", F.lit(k)))
-    labels = levels[0]
+    labels = partitions[0]
     cooc = agreements[0]
-    for more, cells in zip(levels[1:], agreements[1:]):
+    for more, cells in zip(partitions[1:], agreements[1:]):
         labels, cooc = labels.unionByName(more), cooc.unionByName(cells)
     labels = labels.filter(F.col("k") >= k_min)
+    for name, ks in (levels or {}).items():
+        labels = labels.filter((F.col("interval") != name) | F.col("k").isin(ks))
     scored = ql.partition_quality(ql.cluster_quality(ql.rank_histograms(pooled, labels)))
     q = modularity(group_mean(graphs, shape), labels, KEYS)
     table = stage(ql.selection_score(scored.join(q, [*KEYS, "k"]), criterion).select(*KEYS, "k", "selection_score", "u", "h", "c", "q"))

@@ -161,6 +161,27 @@ def analysis_change_points(points: DataFrame, n_frames: int, lo_ms: float, hi_ms
     )
 
 
+def two_point_intervals(points: DataFrame, n_frames: int, lo_ms: float, hi_ms: float, pre_ms: float, start_ms: float, rate_hz: float, names=INTERVAL_NAMES) -> DataFrame:
+    """1-based inclusive intervals around ``points(cond, first_cp, last_cp)``: from ``pre_ms`` to
+    the first point, up to the last point, and on to the end of the analysis window.
+
+    Points outside the analysis window fail.
+    """
+    def frame_at(ms, rounding):
+        return min(max(int(rounding((ms - start_ms) * rate_hz / 1000.0)) + 1, 1), n_frames)
+
+    first, last, pre = frame_at(lo_ms, math.ceil), frame_at(hi_ms, math.floor), frame_at(pre_ms, math.ceil)
+    c1, c2 = F.col("first_cp"), F.col("last_cp")
+    bad = (c1 < max(first, pre)) | (c2 <= c1) | (c2 >= last)
+    c1 = F.when(bad, F.raise_error(F.lit("change points must be increasing and inside the analysis window"))).otherwise(c1)
+    parts = F.array(
+        F.struct(F.lit(names[0]).alias("interval"), F.lit(pre).cast("bigint").alias("first_frame"), c1.cast("bigint").alias("last_frame")),
+        F.struct(F.lit(names[1]).alias("interval"), (c1 + 1).cast("bigint").alias("first_frame"), c2.alias("last_frame")),
+        F.struct(F.lit(names[2]).alias("interval"), (c2 + 1).alias("first_frame"), F.lit(last).cast("bigint").alias("last_frame")),
+    )
+    return points.select("cond", F.inline(parts))
+
+
 def boundary_intervals(boundaries: DataFrame, clock, names=INTERVAL_NAMES) -> DataFrame:
     """1-based inclusive intervals between four boundaries, with their clock readings.
 

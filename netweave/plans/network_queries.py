@@ -139,6 +139,23 @@ def time_slice(spark, d):
     return densify(tn.subject_mean(frame, TRADE).drop("t"), TRADE).select("i", "j", "w")
 
 
+@query("overview_metrics", f"""WITH {cat.TRADE}, {cat.BOTH}
+SELECT count(DISTINCT subj) AS subjects, max(i) + 1 AS nodes, max(t) + 1 AS frames FROM ends""")
+def overview_metrics(spark, d):
+    """Dimensions discovered from the data."""
+    edges = nw.trade_edges(spark, d)
+    return edges.agg(
+        F.countDistinct("subj").alias("subjects"), (F.max(F.greatest("i", "j")) + 1).alias("nodes"), (F.max("t") + 1).alias("frames")
+    )
+
+
+@query("first_occurrences", "SELECT user_id AS subj, event_type, min(event_id) AS event_id FROM events GROUP BY 1, 2")
+def first_occurrences(spark, d):
+    """Distinct event types per user in the order they first appear."""
+    events = table(spark, d, "events").select(F.col("user_id").alias("subj"), "event_type", "event_id")
+    return gr.first_occurrences(events, ["subj"], "event_type", "event_id").select("subj", "event_type", "event_id")
+
+
 @query("mode_product", f"""WITH {cat.TRADE}, {cat.BOTH}
 SELECT subj, n_regionkey::BIGINT AS region, j, t, sum(w * 0.5) AS w FROM ends JOIN nation ON i = n_nationkey GROUP BY 1, 2, 3, 4""")
 def mode_product(spark, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from netweave.functions import scalar as sc
@@ -230,11 +231,7 @@ def local_peaks(spark, d):
  p AS (SELECT t FROM (SELECT t, v, lag(v) OVER (ORDER BY t) AS l, lead(v) OVER (ORDER BY t) AS r FROM q) WHERE v > l AND v > r)
 SELECT count(*) AS points, coalesce(min(gap), 0)::DOUBLE AS score FROM (SELECT t - lag(t) OVER (ORDER BY t) AS gap FROM p)""")
 def spread_score(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("cond").orderBy("t")
-    peaks = quantity_signal(spark, d).withColumn("l", F.lag("v").over(w)).withColumn("r", F.lead("v").over(w))
-    times = peaks.filter("v > l AND v > r").select("cond", F.col("t").cast("double").alias("ms"))
+    times = _strict_peaks(spark, d).select("cond", F.col("t").cast("double").alias("ms"))
     points = times.groupBy("cond").agg(F.count("*").alias("points"))
     return points.join(dt.spread_score(times, "cond"), "cond").select("points", "score")
 
@@ -304,12 +301,29 @@ def ms_to_frame(spark, d):
 SELECT min(t) AS first_cp, max(t) AS last_cp FROM f""")
 def analysis_window(spark, d):
     """First and last peak month strictly inside -800..800 ms on a 41 Hz clock."""
-    from pyspark.sql import Window
+    return _peak_window(spark, d).select("first_cp", "last_cp")
+
 
+def _strict_peaks(spark, d):
     w = Window.partitionBy("cond").orderBy("t")
     peaks = quantity_signal(spark, d).withColumn("l", F.lag("v").over(w)).withColumn("r", F.lead("v").over(w))
-    points = peaks.filter("v > l AND v > r").select("cond", F.col("t").alias("point"))
-    return seg.analysis_change_points(points, T, -800.0, 800.0, -1000.0, 41.0).select("first_cp", "last_cp")
+    return peaks.filter("v > l AND v > r").drop("l", "r")
+
+
+def _peak_window(spark, d):
+    points = _strict_peaks(spark, d).select("cond", F.col("t").alias("point"))
+    return seg.analysis_change_points(points, T, -800.0, 800.0, -1000.0, 41.0)
+
+
+@query("two_point_intervals", f"""WITH {QUANTITY},
+ p AS (SELECT t FROM (SELECT t, v, lag(v) OVER (ORDER BY t) AS l, lead(v) OVER (ORDER BY t) AS r FROM q) WHERE v > l AND v > r),
+ f AS (SELECT min(t) AS a, max(t) AS b FROM p WHERE t > 10 AND t < 74)
+SELECT unnest(['pre', 'core', 'post']) AS interval, unnest([6, a + 1, b + 1]) AS first_frame, unnest([a, b, 74]) AS last_frame FROM f""")
+def two_point_intervals(spark, d):
+    """Intervals around the first and last peak of the analysis window, from -900 ms on."""
+    points = _peak_window(spark, d)
+    out = seg.two_point_intervals(points, T, -800.0, 800.0, -900.0, -1000.0, 41.0)
+    return out.select("interval", "first_frame", "last_frame")
 
 
 @query("boundary_intervals", f"""WITH {QUANTITY},
@@ -331,11 +345,7 @@ def boundary_intervals(spark, d):
 SELECT unnest(list_filter(ctx, lambda x: x IS NOT NULL)) AS point FROM c""")
 def context_cps(spark, d):
     """Peak month nearest to month 44 within 30..60, with its neighbours."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("cond").orderBy("t")
-    peaks = quantity_signal(spark, d).withColumn("l", F.lag("v").over(w)).withColumn("r", F.lead("v").over(w))
-    points = peaks.filter("v > l AND v > r").select(
+    points = _strict_peaks(spark, d).select(
         "cond", F.col("t").alias("point"), F.col("t").cast("double").alias("ms"), F.col("v").alias("score")
     )
     return tr.target_context(points, (30.0, 60.0), 44.0).select("point")
@@ -369,6 +379,28 @@ def tracker_low_rank(spark, d):
     ).filter("observed is not null")
 
 
+@query("separation_energy", f"""WITH {cat.TRADE} SELECT t, round(sum(sqrt(ss)) / 5, 4) AS observed FROM (
+  SELECT t, subj, 2 * sum(w * w) AS ss FROM trade GROUP BY 1, 2) GROUP BY 1""")
+def separation_energy(spark, d):
+    """Energy per month of the observed tensor, rebuilt from its low-rank and sparse parts."""
+    run = tr.track(fr.stage_frames(nw.trade_edges(spark, d), TRADE), TRADE, TRACKER)
+    rebuilt = run.separated().withColumn("w", F.col("low_rank") + F.col("sparse"))
+    return tn.component_energy(rebuilt, TRADE).filter("mean_norm > 1e-6").select("t", F.round("mean_norm", 4).alias("observed"))
+
+
+@query("component_energies")
+def component_energies(spark, d):
+    """Energy per month of the low-rank and of the sparse part."""
+    run = tr.track(fr.stage_frames(nw.trade_edges(spark, d), TRADE), TRADE, TRACKER)
+    parts = F.explode(F.array(
+        F.struct(F.lit("low_rank").alias("part"), F.col("low_rank").alias("w")),
+        F.struct(F.lit("sparse").alias("part"), F.col("sparse").alias("w")),
+    )).alias("x")
+    long = run.separated().select(F.col("subj"), "i", "j", "t", parts).select(F.col("x.part").alias("cond"), "subj", "i", "j", "t", "x.w")
+    energy_by_part = tn.component_energy(long, TRADE)
+    return energy_by_part.select(F.col("cond").alias("part"), "t", *rounded(4, "mean_norm", "mean_square"))
+
+
 @query("tracker_energy")
 def tracker_energy(spark, d):
     frames = fr.stage_frames(nw.trade_edges(spark, d), TRADE)

@@ -106,6 +106,10 @@ def write_report(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.select(*cols).write.mode(mode).csv(path, header=True)
 
 
+def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.csv(path, header=True, schema=schema)
+
+
 def matrix_wide(cells: DataFrame, n_nodes: int, value: str = "w") -> DataFrame:
     """Symmetric matrix as one row per node and one column per other node."""
     both = cells.select("i", "j", value).union(cells.select("j", "i", value))

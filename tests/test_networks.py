@@ -233,6 +233,19 @@ def test_stage_uses_the_named_folder(spark):
     assert df.filter("b = 1").count() == 5
 
 
+def test_requested_community_counts(spark, medium):
+    names = ("pre", "core", "post")
+    assert cm.requested_levels(None, (2, 4), names) == {n: [2, 3, 4] for n in names}
+    assert cm.requested_levels(3, (2, 4), names) == {n: [3] for n in names}
+    levels = cm.requested_levels((2, 3, 4), (2, 6), names)
+    for bad in (1, (2, 3)):
+        with pytest.raises(ValueError):
+            cm.requested_levels(bad, (2, 4), names)
+    graphs = tn.interval_graphs(nw.planted_edges(spark, medium), thirds(spark))
+    labels, _, _ = cm.select_communities(graphs, nw.TRADE, min_size=3, levels=levels)
+    assert {(r.interval, r.k) for r in labels.collect()} == {("pre", 2), ("core", 3), ("post", 4)}
+
+
 def test_integer_lists(spark):
     from netweave.functions.scalar import parse_int_list
 
