@@ -363,8 +363,12 @@ def select_communities(
             *KEYS, "node", "part", (F.col("community") * 4 + F.coalesce("part", F.lit(0))).alias("community")
         )
         current = stage(relabel(fresh.drop("part"), KEYS))
+        if current.isEmpty():
+            break
         partitions.append(current.withColumn("k", F.lit(k)))
         agreements.append(share_counts(counts, KEYS).withColumn("k", F.lit(k)))
+    if not partitions:
+        partitions, agreements = [current.withColumn("k", F.lit(k_max))], [share_counts(counts, KEYS).withColumn("k", F.lit(k_max))]
     labels = partitions[0]
     cooc = agreements[0]
     for more, cells in zip(partitions[1:], agreements[1:]):

@@ -56,7 +56,7 @@ def zscore_features(spark, d):
     return features(spark, d).select("i", "j", "t", *rounded(6, "z"))
 
 
-@query("prefix_sums", f"WITH {cat.PREFIX} SELECT i, j, pos, round(s, 5) AS s, round(q, 5) AS q FROM pre")
+@query("prefix_sums", f"WITH {cat.PREFIX} SELECT i, j, pos, round(s, 5) + 0 AS s, round(q, 5) + 0 AS q FROM pre")
 def prefix_sums(spark, d):
     return seg.prefix_sums(features(spark, d)).select("i", "j", "pos", *rounded(5, "s", "q"))
 
