@@ -238,7 +238,8 @@ def interval_agreement(labelled: DataFrame, intervals: DataFrame, shape: TensorS
         "cond", "interval", (F.col("end") - F.col("start")).alias("n_frames"),
         F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("t"),
     )
-    counts = agreement_counts(labelled.join(frames, ["cond", "t"]).select(*KEYS, "nodes", "comms"), KEYS, shape.n_nodes)
+    sliced = labelled.join(frames, ["cond", "t"]).select(*KEYS, "nodes", "comms")
+    counts = stage(agreement_counts(sliced, KEYS, shape.n_nodes))
     n = intervals.select(*KEYS, ((F.col("end") - F.col("start")) * shape.n_subjects).alias("total"))
     stored = counts.filter("i = 0 and j = 0").select(*KEYS, F.col("n").alias("stored"))
     share = (F.col("n") + F.col("total") - F.col("stored")) / F.col("total")

@@ -16,7 +16,8 @@ from netweave.functions.linalg import gram_spectrum
 from netweave.functions.scalar import edge_fade
 from netweave.operators.frames import map_frames, node_gram, unpack
 from netweave.operators.tensor import mirrored
-from netweave.shape import TensorShape, literal_array
+from netweave.shape import TensorShape, frame_spine, literal_array
+from netweave.stage import stage
 
 SIGNAL = "cond string, t bigint, v double"
 
@@ -77,9 +78,10 @@ def grassmann_shift(frames: DataFrame, shape: TensorShape, window: int, rank: in
             yield pd.DataFrame(rows, columns=["cond", "t", "p"])
 
     spaces = matrices.mapInPandas(leading, "cond string, t bigint, p array<double>")
-    before = spaces.select("cond", (F.col("t") + step).alias("t"), F.col("p").alias("q"))
+    # a lag, not a self-join: the projectors are computed once
+    pairs = spaces.select("cond", "t", "p", F.lag("p").over(Window.partitionBy("cond").orderBy("t")).alias("q"))
     overlap = F.aggregate(F.zip_with("p", "q", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    shifts = spaces.join(before, ["cond", "t"]).select(
+    shifts = pairs.filter("q is not null").select(
         "cond", (F.col("t") - step // 2).alias("t"), (1.0 - overlap / rank).alias("v")
     )
     return fill_signal(shifts, shape)
@@ -87,8 +89,6 @@ def grassmann_shift(frames: DataFrame, shape: TensorShape, window: int, rank: in
 
 def fill_signal(signal: DataFrame, shape: TensorShape) -> DataFrame:
     """All frames, 0 where the signal has no value."""
-    from netweave.shape import frame_spine
-
     return frame_spine(signal.sparkSession, shape).join(signal, ["cond", "t"], "left").select(
         "cond", "t", F.coalesce("v", F.lit(0.0)).alias("v")
     )
@@ -326,10 +326,10 @@ def sweep_signals(signals: list[DataFrame], n_frames: int, clock: Column, n_bkps
     for other in tagged[1:]:
         union = union.unionByName(other)
     size = int(n_frames * 0.12)
-    found = _segmented(
+    found = stage(_segmented(
         faded(union, n_frames), ["ord"], lambda x, _: kernel_boundaries(x, n_bkps, size),
         "cond string, ord int, boundaries array<bigint>",
-    )
+    ))
     times = found.select("cond", F.col("ord").alias("setting"), "boundaries")
     times = boundary_times(times, clock)
     scores = spread_score(times, "cond", "setting").withColumnRenamed("setting", "ord")

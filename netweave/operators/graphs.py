@@ -31,8 +31,9 @@ def display_scale(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 def node_metrics(graphs: DataFrame, labels: DataFrame, keys: list[str], k: int = 35) -> DataFrame:
     """Per node: strength, and degree and strength within the top ``k`` edges."""
-    ranked = strongest_edges(graphs, keys, k).select(*keys, "i", "j", F.col("w").alias("tw"))
-    ends = mirrored(graphs.join(ranked, [*keys, "i", "j"], "left"))
+    order = Window.partitionBy(*keys).orderBy(F.col("w").desc(), "i", "j")
+    top = F.when((F.row_number().over(order) <= k) & (F.col("w") > 0), F.col("w"))
+    ends = mirrored(graphs.select(*keys, "i", "j", "w", top.alias("tw")))
     per_node = ends.groupBy(*keys, F.col("i").alias("node")).agg(
         F.sum("w").alias("strength"), F.count("tw").alias("top_degree"),
         F.coalesce(F.sum("tw"), F.lit(0.0)).alias("top_strength"),

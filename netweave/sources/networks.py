@@ -143,11 +143,8 @@ def trial_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.col("k") / 8).alias("trial"),
         "ch", "v",
     )
-    full = (
-        trials.groupBy("subj", "cond", "trial").agg(F.count("*").alias("n"))
-        .filter(F.col("n") == N_CHANNELS).drop("n")
-    )
-    return trials.join(full, ["subj", "cond", "trial"], "left_semi")
+    channels = F.count("*").over(Window.partitionBy("subj", "cond", "trial"))
+    return trials.withColumn("n", channels).filter(F.col("n") == N_CHANNELS).drop("n")
 
 
 def trial_events(spark: SparkSession, sf_dir: str) -> DataFrame:
