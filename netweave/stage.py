@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _DIR_KEY = "spark.checkpoint.dir"
+_WAREHOUSE_KEY = "spark.sql.warehouse.dir"
+
+_scopes: list[list] = [[]]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local session without one gets a temporary folder."""
-    path = spark.conf.get(_DIR_KEY, None) or spark.sparkContext.getConf().get(_DIR_KEY, None)
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {_DIR_KEY} to a folder every executor can reach")
-    path = tempfile.mkdtemp(prefix="netweave-")
-    spark.conf.set(_DIR_KEY, path)
+    """The cluster's checkpoint folder, else a folder below the warehouse: both are shared."""
+    conf = spark.sparkContext.getConf()
+    path = spark.conf.get(_DIR_KEY, None) or conf.get(_DIR_KEY, None)
+    return path or f"{spark.conf.get(_WAREHOUSE_KEY).rstrip('/')}/netweave-staged"
+
+
+def new_path(spark: SparkSession, label: str = "stage") -> str:
+    """A fresh folder name on shared storage, removed with the scope that made it."""
+    path = f"{shared_dir(spark)}/netweave-{label}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _scopes[-1].append((where.getFileSystem(spark._jsc.hadoopConfiguration()), where))
     return path
 
 
@@ -28,6 +36,29 @@ def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     ``partition_by`` lays the table out by directory so later filters prune files.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/netweave-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Tables staged inside are deleted at its end: consume results before leaving it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        _delete(_scopes.pop())
+
+
+def _delete(paths: list) -> None:
+    for files, path in paths:
+        with contextlib.suppress(Exception):  # the session's JVM may be gone already
+            files.delete(path, True)
+    paths.clear()
+
+
+@atexit.register
+def _delete_rest() -> None:
+    for paths in _scopes:
+        _delete(paths)
