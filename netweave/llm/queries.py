@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.llm import exact, lines
+from netweave.llm import chat, exact, lengths, lines, pieces
 from netweave.stage import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_chat_formatting", r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS text,
+    md5(coalesce(text, '')) AS h, row_number() OVER () AS n FROM conversations),
+ v AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
+ s AS (SELECT conv_id, perspective, turn, speaker, h, n, speaker = perspective AS own,
+    '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system'
+      ELSE 'user name=' || speaker END || chr(10) AS header, text || '<|im_end|>' AS body FROM t JOIN v USING (conv_id)),
+ p AS (SELECT *, length(header) + length(body) + 1 AS size, sum(length(header) + length(body) + 1) OVER (
+    PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, h, n) AS fin FROM s),
+ c AS (SELECT *, (fin - size)::BIGINT AS begin, (fin - size)::BIGINT // 65536 AS chunk FROM p),
+ m AS (SELECT *, begin - min(begin) OVER (PARTITION BY conv_id, perspective, chunk) + length(header) AS a FROM c)
+SELECT conv_id, perspective, chunk, count(*) AS n_turns,
+  sha256(string_agg(header || body || chr(10), '' ORDER BY begin)) AS text_sha256,
+  coalesce(string_agg(a || ':' || (a + length(body)), ';' ORDER BY begin) FILTER (own), '') AS masks,
+  coalesce(sum(length(body)) FILTER (own), 0)::BIGINT AS n_masked
+FROM m GROUP BY conv_id, perspective, chunk""")
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.transform("masks", lambda x: F.concat(x["start"].cast("string"), F.lit(":"), x["end"].cast("string")))
+    return out.select(
+        "conv_id", "perspective", "chunk", "n_turns", F.sha2("text", 256).alias("text_sha256"),
+        F.array_join(spans, ";").alias("masks"), "n_masked",
+    )
+
+
 @query("op2_exact_dedup", r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
@@ -39,6 +64,19 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query("op4_token_counts")
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    counts = docs.select(lengths.token_count(spark, F.col("text")).alias("n_tokens"))
+    return lengths.context_limits(lengths.length_histogram(counts))
+
+
+@query("op5_sentencepiece")
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.encode(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.size("ids").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("op10_line_dedup", r"""
 WITH l AS (SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
