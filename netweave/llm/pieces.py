@@ -322,12 +322,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     return out.withColumnRenamed("id", id_col)
 
 
-def text_blocks(column: pa.Array, chars: int = BLOCK_CHARS) -> Iterator[tuple[int, int, list]]:
-    """Stretches (from, to, texts) of a column that hold at most ``chars`` characters, or one text."""
+def text_blocks(column: pa.Array, chars: int = BLOCK_CHARS, rows: int = 1 << 20) -> Iterator[tuple[int, int, list]]:
+    """Stretches (from, to, texts) of a column of at most ``rows`` rows and ``chars`` characters, or one text."""
     texts, lo, held = column.to_pylist(), 0, 0
     for k, t in enumerate(texts):
         n = len(t) if t else 0
-        if k > lo and held + n > chars:
+        if k > lo and (held + n > chars or k - lo >= rows):
             yield lo, k, texts[lo:k]
             lo, held = k, 0
         held += n
