@@ -26,9 +26,9 @@ class ToxicityConfig:
     toxic_bytes: int = 2048
     min_docs: int = 3  # toxic documents that must hold a word before it may enter the toxic dictionary
     min_ratio: float = 20.0  # and how much larger its share of toxic than of ordinary documents must be
-    max_toxic: int = 3000  # bounds of the training sample, in documents
-    max_ordinary: int = 6000
-    max_chars: int = 20000  # longer documents are not trained on
+    max_toxic: int = 1500  # bounds of the training sample, in documents
+    max_ordinary: int = 3000
+    max_chars: int = 10000  # longer documents are not trained on
 
 
 @dataclass(frozen=True)
@@ -108,8 +108,7 @@ def train(texts: list[str], labels: list[int], keys: list[int], config: Toxicity
     labels = np.array(labels, dtype=int)
     if not labels.any() or labels.all():
         return ToxicityModel(config, b"", b"", (9.0 if len(labels) and labels.all() else -9.0,))
-    hashes, ends = hashed_words(texts, _LETTERS)
-    docs = [hashes[a:b] for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)]
+    docs = [hashed_words([t], _LETTERS)[0] for t in texts]
     fit = np.array([zlib.crc32(f"fit{k}".encode()) % 4 != 0 for k in keys])
     for part in (fit, ~fit):  # a sample too small to part serves for both
         if not labels[part].any() or labels[part].all():
@@ -174,8 +173,9 @@ def fit(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(
         F.char_length("text") <= config.max_chars
     )
-    rows = sorted(texts.join(F.broadcast(sample), "id").dropDuplicates(["id"]).collect(), key=lambda r: r.id)
-    return train([r.text for r in rows], [r.label for r in rows], [r.id for r in rows], config)
+    rows = texts.join(F.broadcast(sample), "id").dropDuplicates(["id"]).orderBy("id").toLocalIterator()
+    drawn = [(r.text, r.label, r.id) for r in rows]
+    return train([d[0] for d in drawn], [d[1] for d in drawn], [d[2] for d in drawn], config)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
