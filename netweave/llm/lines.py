@@ -44,13 +44,14 @@ class LineRuns:
     def add(self, counts: DataFrame) -> None:
         """Add a batch of (hash, n_docs), every hash once."""
         counts = stage(counts)
+        fresh = counts
+        for table in self.runs.values():  # the batch is dealt once; no run is shuffled
+            fresh = fresh.join(table.read().select("hash").hint("merge"), "hash", "left_anti")
+        fresh = stage(fresh) if self.runs else fresh
+        again = counts.join(fresh.select("hash"), "hash", "left_anti").withColumn("fresh", F.lit(False))
+        counts = fresh.withColumn("fresh", F.lit(True))
         if self.runs:
-            held = self._held().select("hash").hint("merge")
-            fresh = counts.join(held, "hash", "left_anti").withColumn("fresh", F.lit(True))
-            again = counts.join(held, "hash", "left_semi").withColumn("fresh", F.lit(False))
-            counts = fresh.unionByName(again)
-        else:
-            counts = counts.withColumn("fresh", F.lit(True))
+            counts = counts.unionByName(again)
         n = max((hi for _, hi in self.runs), default=-1) + 1
         self._write(counts, n, n)
         self._compact()
@@ -59,10 +60,11 @@ class LineRuns:
         """(hash, n_docs) over all batches."""
         if not self.runs:
             return self.spark.createDataFrame([], "hash binary, n_docs bigint")
-        return self._held().groupBy("hash").agg(F.sum("n_docs").alias("n_docs"))
+        return self._read(self.runs.values()).groupBy("hash").agg(F.sum("n_docs").alias("n_docs"))
 
-    def _held(self) -> DataFrame:
-        first, *rest = [table.read() for table in self.runs.values()]
+    def _read(self, tables) -> DataFrame:
+        """Rows of several runs; read without bucketing, which a union does not keep."""
+        first, *rest = [table.read_plain() for table in tables]
         for other in rest:
             first = first.unionByName(other)
         return first
@@ -75,20 +77,13 @@ class LineRuns:
             if len(tail) < self.fanout:
                 return
             old = {r: self.runs[r] for r in tail}
-            merged = self._held_of(old).groupBy("hash").agg(
+            merged = self._read(old.values()).groupBy("hash").agg(
                 F.sum("n_docs").alias("n_docs"), F.max("fresh").alias("fresh")
             )
             self._write(merged, tail[0][0], tail[-1][1])
             for r, table in old.items():
                 self._delete(r, table)
 
-    def _held_of(self, runs: dict) -> DataFrame:
-        tables = [table.read() for table in runs.values()]
-        out = tables[0]
-        for other in tables[1:]:
-            out = out.unionByName(other)
-        return out
-
     def _write(self, rows: DataFrame, lo: int, hi: int) -> None:
         table = self._table(lo, hi)
         table.append(rows)
