@@ -46,7 +46,7 @@ class NgramConfig:
     block: int = 512  # sets in a block
     block_grams: int = 1_000_000  # and their n-grams
     columns: int = 8192  # n-grams multiplied at once
-    flush: int = 2_000_000  # postings a task holds before it passes them on
+    flush: int = 1_000_000  # postings a task holds before it passes them on
     block_chars: int = 1_000_000
 
 
@@ -106,6 +106,11 @@ def _unpack_postings(data: bytes, n: int, n_nodes: int):
     return np.cumsum(steps), table[place], order
 
 
+def _range(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Which of ``parts`` equal ranges a hash lies in."""
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
 def _dealt(parts: np.ndarray, grams, nodes, order) -> Iterator[pa.RecordBatch]:
     """One row (part, n, n_nodes, data) for each part."""
     by = np.argsort(parts, kind="stable")
@@ -201,7 +206,7 @@ def live_sets(docs: DataFrame, sketch: np.ndarray, bound: float, config: NgramCo
     ``grams`` are the n-grams that other sets hold, as 64-bit integers; ``starts`` those that decide candidates.
     """
     spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(sketch)
 
     def post(batches):
@@ -210,7 +215,8 @@ def live_sets(docs: DataFrame, sketch: np.ndarray, bound: float, config: NgramCo
         def passed_on():
             grams, nodes, order = (np.concatenate(x) for x in zip(*held))
             light = (order > SIZE) & (order < HEAVY)
-            bucket = np.where(light, mix(grams) % np.uint64(parts), mix(nodes.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            # ranges of hashes, so differences within a bucket are small; what goes on to its set is spread by set
+            bucket = np.where(light, _range(grams, parts), _range(mix(nodes.view(np.uint64)), parts))
             yield from _dealt(bucket, grams, nodes, order)
 
         for batch in batches:
@@ -245,7 +251,7 @@ def live_sets(docs: DataFrame, sketch: np.ndarray, bound: float, config: NgramCo
             v = np.concatenate([v[often], nodes[~light]])
             keys = np.concatenate([np.minimum(count[often], HEAVY - 1).astype(np.uint32), order[~light]])
             if len(g):
-                yield from _dealt((mix(v.view(np.uint64) + np.uint64(1)) % np.uint64(parts)).astype(np.int64), g, v, keys)
+                yield from _dealt(_range(mix(v.view(np.uint64) + np.uint64(1)), parts), g, v, keys)
 
     def starts(batches):
         for grams, nodes, order in _gathered(batches).values():
