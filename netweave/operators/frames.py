@@ -27,10 +27,17 @@ def pair_index(n: int) -> Column:
 
 
 def pack_frames(edges: DataFrame, shape: TensorShape) -> DataFrame:
-    """(cond, t, pos, w): absent frames come back with empty arrays."""
+    """(cond, t, pos, w): absent frames come back with empty arrays; cells outside the shape fail."""
     shape.require_frame_fits()
-    subject = F.array_position(literal_array(shape.subjects), F.col("subj")) - 1
-    cells = edges.filter("w <> 0").select("cond", "t", (subject * shape.n_pairs + pair_index(shape.n_nodes)).alias("pos"), "w")
+    names = F.create_map(*[F.lit(x) for k, s in enumerate(shape.subjects) for x in (s, k)])
+    subject = F.try_element_at(names, F.col("subj"))
+    inside = (
+        F.col("cond").isin(*shape.conds) & subject.isNotNull() & F.col("t").between(0, shape.n_frames - 1)
+        & (F.col("i") >= 0) & (F.col("i") < F.col("j")) & (F.col("j") < shape.n_nodes)
+    )
+    place = F.concat_ws(" ", F.lit("cell outside the declared shape:"), "cond", "subj", "i", "j", "t")
+    pos = F.when(inside, subject * shape.n_pairs + pair_index(shape.n_nodes)).otherwise(F.raise_error(place).cast("bigint"))
+    cells = edges.filter("w <> 0").select("cond", "t", pos.alias("pos"), "w")
     packed = cells.groupBy("cond", "t").agg(F.collect_list("pos").alias("pos"), F.collect_list("w").alias("w"))
     return frame_spine(edges.sparkSession, shape).join(packed, ["cond", "t"], "left").select(
         "cond", "t",
@@ -45,9 +52,8 @@ def stage_frames(edges: DataFrame, shape: TensorShape) -> DataFrame:
 
 
 def unpack(pos, w, shape: TensorShape) -> np.ndarray:
-    """One frame as (subjects, nodes, nodes)."""
-    flat = np.zeros(shape.n_subjects * shape.n_pairs)
-    flat[np.asarray(pos, dtype=int)] = w
+    """One frame as (subjects, nodes, nodes); repeated cells add up."""
+    flat = np.bincount(np.asarray(pos, dtype=int), weights=np.asarray(w, dtype=float), minlength=shape.n_subjects * shape.n_pairs)
     return square(flat.reshape(shape.n_subjects, shape.n_pairs), shape.n_nodes)
 
 

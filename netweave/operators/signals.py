@@ -105,17 +105,17 @@ def phase_locking(analytic: DataFrame, n_channels: int) -> DataFrame:
     """|mean over trials of exp(i (phase_c - phase_d))| per subject, condition, pair, sample.
 
     ``analytic(subj, cond, trial, ch, a)`` with ``a`` from `analytic_signal`; channels are
-    numbered 0..n-1 and every trial has all of them. Trials are salted into chunks of at
+    numbered 0..n-1. A pair is averaged over the trials that hold both channels. Trials are salted into chunks of at
     most TRIAL_CHUNK and summed per task before the final aggregation, so a subject with
     many trials is spread over many tasks and little is shuffled.
     """
     r, c = flat_pairs(n_channels)
     salted = analytic.withColumn("salt", F.floor(F.col("trial") / TRIAL_CHUNK)).repartition("subj", "cond", "salt")
     packed = salted.groupBy("subj", "cond", "salt", "trial").agg(F.sort_array(F.collect_list(F.struct("ch", "a"))).alias("chs"))
-    packed = packed.select("subj", "cond", "trial", F.transform("chs", lambda x: x["a"]).alias("z"))
+    packed = packed.select("subj", "cond", "trial", F.col("chs.ch").alias("ch"), F.col("chs.a").alias("z"))
     out = T.StructType([
         analytic.schema["subj"], analytic.schema["cond"],
-        T.StructField("n", T.LongType()), T.StructField("re", T.ArrayType(T.DoubleType())),
+        T.StructField("n", T.ArrayType(T.LongType())), T.StructField("re", T.ArrayType(T.DoubleType())),
         T.StructField("im", T.ArrayType(T.DoubleType())),
     ])
 
@@ -131,9 +131,11 @@ def phase_locking(analytic: DataFrame, n_channels: int) -> DataFrame:
             for row in pdf.itertuples(index=False):
                 a = np.stack(list(row.z))
                 n = a.shape[1] // 2
-                z = np.exp(1j * np.arctan2(a[:, n:], a[:, :n]))
+                z, held = np.zeros((n_channels, n), dtype=complex), np.zeros(n_channels, dtype=bool)
+                z[row.ch], held[row.ch] = np.exp(1j * np.arctan2(a[:, n:], a[:, :n])), True
+                both = np.repeat((held[r] & held[c]).astype(np.int64), n)
                 count, total = sums.get((row.subj, row.cond), (0, 0.0))
-                sums[(row.subj, row.cond)] = (count + 1, total + (z[r] * np.conj(z[c])).ravel())
+                sums[(row.subj, row.cond)] = (count + both, total + (z[r] * np.conj(z[c])).ravel())
                 if len(sums) > MAX_OPEN_SUMS:
                     yield rows(sums)
                     sums = {}
@@ -141,9 +143,10 @@ def phase_locking(analytic: DataFrame, n_channels: int) -> DataFrame:
 
     sums = packed.mapInPandas(partial, out)
     cells = (
-        sums.select("subj", "cond", "n", F.posexplode(F.arrays_zip("re", "im")).alias("pos", "x"))
+        sums.select("subj", "cond", F.posexplode(F.arrays_zip("n", "re", "im")).alias("pos", "x"))
         .groupBy("subj", "cond", "pos")
-        .agg(F.sum("n").alias("n"), F.sum("x.re").alias("re"), F.sum("x.im").alias("im"))
+        .agg(F.sum("x.n").alias("n"), F.sum("x.re").alias("re"), F.sum("x.im").alias("im"))
+        .where("n > 0")
     )
     w = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.col("n")
     return cells.select("subj", "cond", "pos", w.alias("w"))

@@ -17,27 +17,26 @@ from netweave.sources import networks as nw
 from netweave.sources.tables import table
 from netweave.stage import stage
 
-TRADE = nw.TRADE
 GRAPH_KEYS = ["cond", "interval"]
 CELL = ["subj", "i", "j", "t", "w"]
 
 
-def thirds(spark):
-    rows = [("trade", *iv) for iv in seg.equal_thirds(TRADE.n_frames)]
+def thirds(spark, d):
+    rows = [("trade", *iv) for iv in seg.equal_thirds(nw.trade_shape(spark, d).n_frames)]
     return spark.createDataFrame(rows, "cond string, interval string, start bigint, end bigint")
 
 
 def trade_graphs(spark, d):
-    return tn.interval_graphs(nw.trade_edges(spark, d), thirds(spark))
+    return tn.interval_graphs(nw.trade_edges(spark, d), thirds(spark, d))
 
 
 def mean_graphs(spark, d):
-    return tn.group_mean(trade_graphs(spark, d), TRADE)
+    return tn.group_mean(trade_graphs(spark, d), nw.trade_shape(spark, d))
 
 
 def interval_labels(spark, d):
     """The given partition by region, for every interval."""
-    names = F.array(*[F.lit(iv[0]) for iv in seg.equal_thirds(TRADE.n_frames)])
+    names = F.array(*[F.lit(iv[0]) for iv in seg.equal_thirds(nw.trade_shape(spark, d).n_frames)])
     return nw.region_labels(spark, d).select(F.lit("trade").alias("cond"), F.explode(names).alias("interval"), "node", "community")
 
 
@@ -106,19 +105,19 @@ def soft_threshold(spark, d):
 
 @query("subject_mean_edges", f"WITH {cat.TRADE}, {cat.MEAN} SELECT i, j, t, w FROM mean")
 def subject_mean_edges(spark, d):
-    return tn.subject_mean(nw.trade_edges(spark, d), TRADE).select("i", "j", "t", "w")
+    return tn.subject_mean(nw.trade_edges(spark, d), nw.trade_shape(spark, d)).select("i", "j", "t", "w")
 
 
 @query("global_profile", f"WITH {cat.TRADE} SELECT t, sum(w) * 2 / 3125 AS mean_w FROM trade GROUP BY 1")
 def global_profile(spark, d):
-    return tn.global_profile(nw.trade_edges(spark, d), TRADE).select("t", "mean_w")
+    return tn.global_profile(nw.trade_edges(spark, d), nw.trade_shape(spark, d)).select("t", "mean_w")
 
 
 @query("frobenius_energy", f"WITH {cat.ENERGY} SELECT t, round(v, 4) AS v FROM en")
 def frobenius_energy(spark, d):
     from netweave.operators.detectors import fill_signal
 
-    energy = fill_signal(tn.mean_graph_energy(nw.trade_edges(spark, d), TRADE), TRADE)
+    energy = fill_signal(tn.mean_graph_energy(nw.trade_edges(spark, d), nw.trade_shape(spark, d)), nw.trade_shape(spark, d))
     return energy.select("t", *rounded(4, "v"))
 
 
@@ -126,17 +125,17 @@ def frobenius_energy(spark, d):
 SELECT t, round(sum(sqrt(ss)) / 5, 4) AS mean_norm, sum(ss) / 3125 AS mean_square
 FROM (SELECT t, subj, 2 * sum(w * w) AS ss FROM trade GROUP BY 1, 2) GROUP BY 1""")
 def component_energy(spark, d):
-    return tn.component_energy(nw.trade_edges(spark, d), TRADE).select("t", F.round("mean_norm", 4).alias("mean_norm"), "mean_square")
+    return tn.component_energy(nw.trade_edges(spark, d), nw.trade_shape(spark, d)).select("t", F.round("mean_norm", 4).alias("mean_norm"), "mean_square")
 
 
 @query("time_slice", f"""WITH {cat.TRADE}, {cat.MEAN}, {cat.PAIRS}
 SELECT i, j, coalesce(w, 0) AS w FROM pairs LEFT JOIN (SELECT * FROM mean WHERE t = 44) USING (i, j)""")
 def time_slice(spark, d):
-    """Subject-mean matrix of one frame; the frame filter is applied before aggregation."""
+    """Subject-mean matrix of one frame; the scan reads the frame's days only."""
     from netweave.shape import densify
 
-    frame = nw.trade_edges(spark, d).filter(F.col("t") == 44)
-    return densify(tn.subject_mean(frame, TRADE).drop("t"), TRADE).select("i", "j", "w")
+    frame = nw.trade_edges(spark, d, frames=(44, 45))
+    return densify(tn.subject_mean(frame, nw.trade_shape(spark, d)).drop("t"), nw.trade_shape(spark, d)).select("i", "j", "w")
 
 
 @query("overview_metrics", f"""WITH {cat.TRADE}, {cat.BOTH}
@@ -174,8 +173,8 @@ UNION ALL
 SELECT 'node', a.i::VARCHAR, b.i::VARCHAR, sum(a.w * b.w) FROM ends a JOIN ends b ON a.subj = b.subj AND a.j = b.j AND a.t = b.t
 GROUP BY 1, 2, 3""")
 def mode_gram(spark, d):
-    grams = fr.frame_grams(fr.pack_frames(nw.trade_edges(spark, d), TRADE), TRADE)
-    names = F.array(*[F.lit(s) for s in TRADE.subjects])
+    grams = fr.frame_grams(fr.pack_frames(nw.trade_edges(spark, d), nw.trade_shape(spark, d)), nw.trade_shape(spark, d))
+    names = F.array(*[F.lit(s) for s in nw.trade_shape(spark, d).subjects])
 
     def name(c):
         return F.when(F.col("mode") == "subject", F.get(names, F.col(c).cast("int"))).otherwise(F.col(c).cast("string"))
@@ -206,7 +205,7 @@ SELECT interval, i, j, round(greatest(sum(w) / (any_value(e - s) * 5), 0), 6) AS
 FROM clean JOIN iv ON t >= s AND t < e GROUP BY 1, 2, 3""")
 def pooled_adjacency(spark, d):
     edges = tn.symmetrise(dirty_flows(spark, d), clip=False)
-    return tn.pooled_mean(edges, thirds(spark), TRADE).select("interval", "i", "j", *rounded(6, "w"))
+    return tn.pooled_mean(edges, thirds(spark, d), nw.trade_shape(spark, d)).select("interval", "i", "j", *rounded(6, "w"))
 
 
 # ---- low rank ----------------------------------------------------------------------------
@@ -216,8 +215,8 @@ def pooled_adjacency(spark, d):
 def hosvd_low_rank(spark, d):
     """Projection onto the leading subspaces never gains energy, frame by frame."""
     edges = nw.trade_edges(spark, d)
-    frames = fr.stage_frames(edges, TRADE)
-    low = lr.hosvd_low_rank(frames, TRADE, (3, 6)).groupBy("t").agg(F.sum(F.col("w") * F.col("w")).alias("low"))
+    frames = fr.stage_frames(edges, nw.trade_shape(spark, d))
+    low = lr.hosvd_low_rank(frames, nw.trade_shape(spark, d), (3, 6)).groupBy("t").agg(F.sum(F.col("w") * F.col("w")).alias("low"))
     raw = frames.select(
         "t", F.aggregate("w", F.lit(0.0), lambda a, x: a + x).alias("raw_total"),
         F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x).alias("raw"),
@@ -227,8 +226,8 @@ def hosvd_low_rank(spark, d):
 
 @query("hosvd_edges")
 def hosvd_edges(spark, d):
-    frames = fr.stage_frames(nw.planted_edges(spark, d), TRADE)
-    return lr.hosvd_low_rank(frames, TRADE, (3, 6)).select("subj", "i", "j", "t", *rounded(4, "w"))
+    frames = fr.stage_frames(nw.planted_edges(spark, d), nw.trade_shape(spark, d))
+    return lr.hosvd_low_rank(frames, nw.trade_shape(spark, d), (3, 6)).select("subj", "i", "j", "t", *rounded(4, "w"))
 
 
 # ---- graph views -------------------------------------------------------------------------
@@ -302,11 +301,11 @@ def cooccurrence(spark, d):
     """Agreement of per-frame labels; the label is the node's traded quantity modulo 3."""
     edges = nw.trade_edges(spark, d)
     strength = tn.mirrored(edges).groupBy("cond", "subj", "t").agg(
-        *[F.sum(F.when(F.col("i") == k, F.col("w")).otherwise(0.0)).alias(f"s{k}") for k in range(TRADE.n_nodes)]
+        *[F.sum(F.when(F.col("i") == k, F.col("w")).otherwise(0.0)).alias(f"s{k}") for k in range(nw.trade_shape(spark, d).n_nodes)]
     )
-    labels = strength.select("cond", "subj", "t", F.posexplode(F.array(*[f"s{k}" for k in range(TRADE.n_nodes)])).alias("node", "s"))
+    labels = strength.select("cond", "subj", "t", F.posexplode(F.array(*[f"s{k}" for k in range(nw.trade_shape(spark, d).n_nodes)])).alias("node", "s"))
     labels = labels.select("cond", "subj", "t", "node", (F.col("s").cast("bigint") % 3).alias("community"))
-    return gr.cooccurrence(labels, ["cond"], ["subj", "t"], TRADE.n_nodes).select("i", "j", *rounded(6, "w"))
+    return gr.cooccurrence(labels, ["cond"], ["subj", "t"], nw.trade_shape(spark, d).n_nodes).select("i", "j", *rounded(6, "w"))
 
 
 @query("modularity", f"""WITH {cat.GMEAN}, {cat.LABELS},
@@ -323,7 +322,7 @@ def modularity(spark, d):
 
 
 def ranks(spark, d):
-    return ql.rank_bins(trade_graphs(spark, d), TRADE.n_nodes, TRADE.subjects, thirds(spark))
+    return ql.rank_bins(trade_graphs(spark, d), nw.trade_shape(spark, d).n_nodes, nw.trade_shape(spark, d).subjects, thirds(spark, d))
 
 
 def histograms(spark, d):
@@ -369,8 +368,8 @@ def choose_split(spark, d):
 
 
 def planted_selection(spark, d):
-    graphs = tn.interval_graphs(nw.planted_edges(spark, d), thirds(spark))
-    return cm.select_communities(graphs, TRADE, k_max=6, min_size=3)
+    graphs = tn.interval_graphs(nw.planted_edges(spark, d), thirds(spark, d))
+    return cm.select_communities(graphs, nw.trade_shape(spark, d), k_max=6, min_size=3)
 
 
 @query("fcca_labels")
@@ -388,30 +387,30 @@ def fcca_quality_table(spark, d):
 @query("fiedler_split")
 def fiedler_split(spark, d):
     """Gap split of every subject's interval graph."""
-    packed = cm.pack_graphs(trade_graphs(spark, d), ["interval", "subj"], TRADE.n_nodes)
-    split = cm.map_graphs(packed, ["interval", "subj"], TRADE.n_nodes, lambda a, _: (cm.gap_split(a), 0.0, "gap"))
+    packed = cm.pack_graphs(trade_graphs(spark, d), ["interval", "subj"], nw.trade_shape(spark, d).n_nodes)
+    split = cm.map_graphs(packed, ["interval", "subj"], nw.trade_shape(spark, d).n_nodes, lambda a, _: (cm.gap_split(a), 0.0, "gap"))
     return cm.label_rows(split, ["interval", "subj"])
 
 
 @query("recursive_fiedler")
 def recursive_fiedler(spark, d):
-    graphs = tn.interval_graphs(nw.planted_edges(spark, d), thirds(spark))
-    packed = cm.pack_graphs(graphs, ["interval", "subj"], TRADE.n_nodes)
-    split = cm.map_graphs(packed, ["interval", "subj"], TRADE.n_nodes, lambda a, _: (*cm.recursive_split(a), "recursive"))
+    graphs = tn.interval_graphs(nw.planted_edges(spark, d), thirds(spark, d))
+    packed = cm.pack_graphs(graphs, ["interval", "subj"], nw.trade_shape(spark, d).n_nodes)
+    split = cm.map_graphs(packed, ["interval", "subj"], nw.trade_shape(spark, d).n_nodes, lambda a, _: (*cm.recursive_split(a), "recursive"))
     return cm.label_rows(split, ["interval", "subj"], base=1)
 
 
 @query("frame_communities")
 def frame_communities(spark, d):
-    labelled = cm.frame_communities(nw.planted_edges(spark, d), TRADE)
+    labelled = cm.frame_communities(nw.planted_edges(spark, d), nw.trade_shape(spark, d))
     return cm.label_rows(labelled, ["subj", "t"])
 
 
 @query("consensus_communities")
 def consensus_communities(spark, d):
-    labelled = cm.frame_communities(nw.planted_edges(spark, d), TRADE)
-    agreement = cm.interval_agreement(labelled, thirds(spark), TRADE)
-    found = cm.consensus_communities(agreement, TRADE)
+    labelled = cm.frame_communities(nw.planted_edges(spark, d), nw.trade_shape(spark, d))
+    agreement = cm.interval_agreement(labelled, thirds(spark, d), nw.trade_shape(spark, d))
+    found = cm.consensus_communities(agreement, nw.trade_shape(spark, d))
     return found.select("interval", F.round("score", 6).alias("score"), "method", F.explode(F.arrays_zip("nodes", "comms")).alias("x")).select(
         "interval", "score", "method", F.col("x.nodes").alias("node"), F.col("x.comms").alias("community")
     )

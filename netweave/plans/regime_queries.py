@@ -17,8 +17,6 @@ from netweave.plans import study
 from netweave.plans.catalog import query, rounded
 from netweave.sources import networks as nw
 
-TRADE = nw.TRADE
-T = TRADE.n_frames
 # the month clock of the trade tensor: frame number itself
 MONTHS = lambda t: t.cast("double")
 TRACKER = tr.TrackerConfig(
@@ -32,17 +30,17 @@ FREE_TRACKER = tr.TrackerConfig(
 
 
 def features(spark, d):
-    return tn.zscore_features(tn.subject_mean(nw.trade_edges(spark, d), TRADE), TRADE)
+    return tn.zscore_features(tn.subject_mean(nw.trade_edges(spark, d), nw.trade_shape(spark, d)), nw.trade_shape(spark, d))
 
 
 def energy(spark, d):
-    return dt.fill_signal(tn.mean_graph_energy(nw.trade_edges(spark, d), TRADE), TRADE)
+    return dt.fill_signal(tn.mean_graph_energy(nw.trade_edges(spark, d), nw.trade_shape(spark, d)), nw.trade_shape(spark, d))
 
 
 def quantity_signal(spark, d):
     """Whole-valued signal: traded quantity per month."""
     total = nw.trade_edges(spark, d).groupBy("cond", "t").agg(F.sum("w").alias("v"))
-    return dt.fill_signal(total, TRADE)
+    return dt.fill_signal(total, nw.trade_shape(spark, d))
 
 
 QUANTITY = f"{cat.TRADE}, {cat.FRAMES}, q AS (SELECT t, coalesce(v, 0) AS v FROM frames LEFT JOIN (SELECT t, sum(w) AS v FROM trade GROUP BY 1) USING (t))"
@@ -69,7 +67,7 @@ def segment_sse(spark, d):
 
 @query("exact_cp2", f"WITH {cat.SEGMENTS} SELECT b1, b2, round(sse, 3) AS sse FROM best")
 def exact_cp2(spark, d):
-    found = seg.detect_exact(nw.trade_edges(spark, d), TRADE)
+    found = seg.detect_exact(nw.trade_edges(spark, d), nw.trade_shape(spark, d))
     return found.select(F.col("boundaries")[0].alias("b1"), F.col("boundaries")[1].alias("b2"), F.round("sse", 3).alias("sse"))
 
 
@@ -79,7 +77,7 @@ REGIMES = f"""{cat.SEGMENTS},
 
 @query("intervals_from_cps", f"WITH {REGIMES} SELECT interval, s::BIGINT AS start, e::BIGINT AS \"end\" FROM iv")
 def intervals_from_cps(spark, d):
-    return seg.intervals_from_points(seg.detect_exact(nw.trade_edges(spark, d), TRADE), T).select("interval", "start", "end")
+    return seg.intervals_from_points(seg.detect_exact(nw.trade_edges(spark, d), nw.trade_shape(spark, d)), nw.trade_shape(spark, d).n_frames).select("interval", "start", "end")
 
 
 @query("regime_edges", f"""WITH {REGIMES},
@@ -90,8 +88,8 @@ WHERE rank <= 10""")
 def regime_edges(spark, d):
     """Regime changes of the trade network and the strongest mean edges of each regime."""
     edges = seg.stage(nw.trade_edges(spark, d))
-    intervals = seg.intervals_from_points(seg.detect_exact(edges, TRADE), T)
-    mean = tn.group_mean(tn.interval_graphs(edges, intervals), TRADE)
+    intervals = seg.intervals_from_points(seg.detect_exact(edges, nw.trade_shape(spark, d)), nw.trade_shape(spark, d).n_frames)
+    mean = tn.group_mean(tn.interval_graphs(edges, intervals), nw.trade_shape(spark, d))
     top = gr.strongest_edges(mean, ["cond", "interval"], 10)
     return top.select("interval", F.col("rank").cast("bigint").alias("rank"), "i", "j", *rounded(4, "w"))
 
@@ -101,9 +99,9 @@ SELECT CASE third WHEN 1 THEN 'pre' WHEN 2 THEN 'core' ELSE 'post' END AS interv
 FROM f JOIN trade USING (t) GROUP BY 1""")
 def thirds_split(spark, d):
     """Any change-point count other than 2 or 4 falls back to equal thirds."""
-    edges = nw.trade_edges(spark, d)
+    edges = seg.stage(nw.trade_edges(spark, d))
     peak = edges.groupBy("cond", "t").agg(F.sum("w").alias("v")).groupBy("cond").agg(F.array(F.max_by("t", "v")).alias("boundaries"))
-    split = tn.interval_slice(edges, seg.intervals_from_points(peak, T))
+    split = tn.interval_slice(edges, seg.intervals_from_points(peak, nw.trade_shape(spark, d).n_frames))
     return split.groupBy("interval").agg(F.countDistinct("t").alias("frames"), F.sum("w").alias("total"))
 
 
@@ -118,33 +116,33 @@ def thirds_split(spark, d):
 SELECT t, round(CASE WHEN t > 12 THEN 1 - abs(sum(u * p)) / ((sqrt(sum(u * u)) + 1e-8) * (sqrt(sum(p * p)) + 1e-8)) ELSE 0 END, 6) AS v
 FROM p GROUP BY t""")
 def rank1_distance(spark, d):
-    return dt.rank1_shift(nw.trade_edges(spark, d), TRADE, 12).select("t", *rounded(6, "v"))
+    return dt.rank1_shift(nw.trade_edges(spark, d), nw.trade_shape(spark, d), 12).select("t", *rounded(6, "v"))
 
 
 @query("hosvd_grassmann")
 def hosvd_grassmann(spark, d):
-    frames = fr.pack_frames(nw.trade_edges(spark, d), TRADE)
-    return dt.grassmann_shift(frames, TRADE, 12, 5).select("t", *rounded(6, "v"))
+    frames = fr.pack_frames(nw.trade_edges(spark, d), nw.trade_shape(spark, d))
+    return dt.grassmann_shift(frames, nw.trade_shape(spark, d), 12, 5).select("t", *rounded(6, "v"))
 
 
 @query("window_centres")
 def window_centres(spark, d):
-    frames = fr.pack_frames(nw.trade_edges(spark, d), TRADE)
-    out = dt.window_centres(frames, TRADE, 12, 5)
+    frames = fr.pack_frames(nw.trade_edges(spark, d), nw.trade_shape(spark, d))
+    out = dt.window_centres(frames, nw.trade_shape(spark, d), 12, 5)
     return out.select("subj", "i", "j", "t", *rounded(4, "low_rank", "residual"))
 
 
 @query("dmd_shift")
 def dmd_shift(spark, d):
-    frames = fr.pack_frames(nw.trade_edges(spark, d), TRADE)
-    return dt.dmd_shift(frames, TRADE, 12, 5).select("t", *rounded(5, "v"))
+    frames = fr.pack_frames(nw.trade_edges(spark, d), nw.trade_shape(spark, d))
+    return dt.dmd_shift(frames, nw.trade_shape(spark, d), 12, 5).select("t", *rounded(5, "v"))
 
 
 @query("event_dmd_shift")
 def event_dmd_shift(spark, d):
     """The same detector along the 720-frame event tensor."""
-    frames = fr.pack_frames(nw.event_edges(spark, d), nw.EVENTS)
-    return dt.dmd_shift(frames, nw.EVENTS, 48, 3).select("t", *rounded(4, "v"))
+    frames = fr.pack_frames(nw.event_edges(spark, d), nw.event_shape(spark, d))
+    return dt.dmd_shift(frames, nw.event_shape(spark, d), 48, 3).select("t", *rounded(4, "v"))
 
 
 # optimal partitioning on multiples of 5, at least 6 frames per segment: one recursion step
@@ -167,7 +165,7 @@ PARTITION = f"""WITH RECURSIVE {cat.ENERGY},
 @query("pelt_cps", PARTITION + """
 SELECT x.pen AS penalty, unnest(range(len(x.cps))) AS ord, unnest(x.cps) AS frame, unnest(x.cps)::DOUBLE - 1 AS ms FROM pick""")
 def pelt_cps(spark, d):
-    sweep = dt.penalty_sweep(energy(spark, d), T, [5.0, 10.0, 20.0, 50.0, 100.0])
+    sweep = dt.penalty_sweep(energy(spark, d), nw.trade_shape(spark, d).n_frames, [5.0, 10.0, 20.0, 50.0, 100.0])
     chosen = dt.boundary_times(dt.choose_penalty(sweep), MONTHS)
     return chosen.select("penalty", F.col("ord").cast("bigint").alias("ord"), "frame", "ms")
 
@@ -189,28 +187,28 @@ KERNEL = f"""WITH {cat.ENERGY},
 
 @query("kernel_cps", KERNEL + " SELECT unnest(range(4)) AS ord, unnest(p) AS frame, unnest(p)::DOUBLE - 1 AS ms FROM d5")
 def kernel_cps(spark, d):
-    points = dt.kernel_change_points(energy(spark, d), T)
+    points = dt.kernel_change_points(energy(spark, d), nw.trade_shape(spark, d).n_frames)
     return dt.boundary_times(points, MONTHS).select(F.col("ord").cast("bigint").alias("ord"), "frame", "ms")
 
 
 @query("hosvd_window_search")
 def hosvd_window_search(spark, d):
     """Windows 6, 12 and 24: the one whose change points are spread most."""
-    frames = fr.stage_frames(nw.trade_edges(spark, d), TRADE)
-    signals = [dt.grassmann_shift(frames, TRADE, w, 5) for w in (6, 12, 24)]
-    return dt.sweep_signals(signals, T, MONTHS).select("ord", "boundaries", "score")
+    frames = fr.stage_frames(nw.trade_edges(spark, d), nw.trade_shape(spark, d))
+    signals = [dt.grassmann_shift(frames, nw.trade_shape(spark, d), w, 5) for w in (6, 12, 24)]
+    return dt.sweep_signals(signals, nw.trade_shape(spark, d).n_frames, MONTHS).select("ord", "boundaries", "score")
 
 
 @query("plot_smoothing", f"""WITH {QUANTITY}
 SELECT t, sum(v) OVER (ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS v FROM q""")
 def plot_smoothing(spark, d):
-    return dt.box_smooth(quantity_signal(spark, d), max(T // 20, 5)).select("t", "v")
+    return dt.box_smooth(quantity_signal(spark, d), max(nw.trade_shape(spark, d).n_frames // 20, 5)).select("t", "v")
 
 
 @query("taper", f"""WITH {QUANTITY}
 SELECT t, round(v * CASE WHEN t >= 75 THEN 1 - (t - 75) / 7.0 WHEN t < 8 THEN t / 7.0 ELSE 1 END, 4) AS v FROM q""")
 def taper(spark, d):
-    return dt.faded(quantity_signal(spark, d), T).select("t", *rounded(4, "v"))
+    return dt.faded(quantity_signal(spark, d), nw.trade_shape(spark, d).n_frames).select("t", *rounded(4, "v"))
 
 
 @query("moving_average", f"""WITH {QUANTITY}, n AS (SELECT range AS k FROM range(-2, 3))
@@ -258,7 +256,7 @@ def support_jaccard(spark, d):
     held = nw.trade_edges(spark, d).filter("w >= 30").groupBy("cond", "t").agg(F.collect_set(cell).alias("support"))
     from netweave.shape import frame_spine
 
-    full = frame_spine(spark, TRADE).join(held, ["cond", "t"], "left").withColumn(
+    full = frame_spine(spark, nw.trade_shape(spark, d)).join(held, ["cond", "t"], "left").withColumn(
         "support", F.coalesce("support", F.array().cast("array<bigint>"))
     )
     return tr.support_change(full).filter("jaccard is not null").select("t", *rounded(6, "jaccard"))
@@ -274,9 +272,9 @@ def frame_clocks(spark, d):
     t = F.col("t")
     return quantity_signal(spark, d).select(
         "t", "v",
-        F.round(sc.ms_linspace(t, T, -1000.0, 1000.0), 6).alias("linspace_ms"),
+        F.round(sc.ms_linspace(t, nw.trade_shape(spark, d).n_frames, -1000.0, 1000.0), 6).alias("linspace_ms"),
         F.round(sc.ms_from_start(t, -1000.0, 1024.0), 6).alias("start_ms"),
-        F.round(sc.ms_centred(t, T, 1024.0), 6).alias("centred_ms"),
+        F.round(sc.ms_centred(t, nw.trade_shape(spark, d).n_frames, 1024.0), 6).alias("centred_ms"),
     )
 
 
@@ -290,7 +288,7 @@ def ms_to_frame(spark, d):
     second = F.unix_timestamp(F.col("ts").cast("timestamp")) % 86400
     times = table(spark, d, "events").select("event_id", (second / 43.2 - 1000).alias("ms"))
     return times.select(
-        "event_id", sc.frame_nearest(F.col("ms"), T, -1000.0, 1000.0).alias("nearest"),
+        "event_id", sc.frame_nearest(F.col("ms"), nw.trade_shape(spark, d).n_frames, -1000.0, 1000.0).alias("nearest"),
         sc.frame_half_even(F.col("ms"), -1000.0, 41.0).alias("rounded"),
     )
 
@@ -312,7 +310,7 @@ def _strict_peaks(spark, d):
 
 def _peak_window(spark, d):
     points = _strict_peaks(spark, d).select("cond", F.col("t").alias("point"))
-    return seg.analysis_change_points(points, T, -800.0, 800.0, -1000.0, 41.0)
+    return seg.analysis_change_points(points, nw.trade_shape(spark, d).n_frames, -800.0, 800.0, -1000.0, 41.0)
 
 
 @query("two_point_intervals", f"""WITH {QUANTITY},
@@ -322,7 +320,7 @@ SELECT unnest(['pre', 'core', 'post']) AS interval, unnest([6, a + 1, b + 1]) AS
 def two_point_intervals(spark, d):
     """Intervals around the first and last peak of the analysis window, from -900 ms on."""
     points = _peak_window(spark, d)
-    out = seg.two_point_intervals(points, T, -800.0, 800.0, -900.0, -1000.0, 41.0)
+    out = seg.two_point_intervals(points, nw.trade_shape(spark, d).n_frames, -800.0, 800.0, -900.0, -1000.0, 41.0)
     return out.select("interval", "first_frame", "last_frame")
 
 
@@ -356,14 +354,14 @@ def context_cps(spark, d):
 
 @query("tracker_scores")
 def tracker_scores(spark, d):
-    run = tr.track(fr.stage_frames(nw.trade_edges(spark, d), TRADE), TRADE, FREE_TRACKER)
+    run = tr.track(fr.stage_frames(nw.trade_edges(spark, d), nw.trade_shape(spark, d)), nw.trade_shape(spark, d), FREE_TRACKER)
     parts = ("reconstruction_error", "support_change", "subspace_angle", "mode_energy", "direction_update", "final_score")
     return run.scores.select("update_time", "reported_time", "changed", "node_rank", "subject_rank", *rounded(5, *parts))
 
 
 @query("tracker_change_points")
 def tracker_change_points(spark, d):
-    run = tr.track(fr.stage_frames(nw.trade_edges(spark, d), TRADE), TRADE, FREE_TRACKER)
+    run = tr.track(fr.stage_frames(nw.trade_edges(spark, d), nw.trade_shape(spark, d)), nw.trade_shape(spark, d), FREE_TRACKER)
     return run.change_point_modes().select("reported_time", "mode", *rounded(5, "score"))
 
 
@@ -371,7 +369,7 @@ def tracker_change_points(spark, d):
 def tracker_low_rank(spark, d):
     """Low rank + sparse is the observed tensor in every cell; absent cells stay absent."""
     edges = seg.stage(nw.trade_edges(spark, d))
-    run = tr.track(fr.stage_frames(edges, TRADE), TRADE, TRACKER)
+    run = tr.track(fr.stage_frames(edges, nw.trade_shape(spark, d)), nw.trade_shape(spark, d), TRACKER)
     gap = F.abs(F.col("low_rank") + F.col("sparse") - F.coalesce("w", F.lit(0.0)))
     both = run.separated().join(edges, ["cond", "subj", "i", "j", "t"], "full")
     return both.groupBy("subj", "t").agg(
@@ -383,38 +381,38 @@ def tracker_low_rank(spark, d):
   SELECT t, subj, 2 * sum(w * w) AS ss FROM trade GROUP BY 1, 2) GROUP BY 1""")
 def separation_energy(spark, d):
     """Energy per month of the observed tensor, rebuilt from its low-rank and sparse parts."""
-    run = tr.track(fr.stage_frames(nw.trade_edges(spark, d), TRADE), TRADE, TRACKER)
+    run = tr.track(fr.stage_frames(nw.trade_edges(spark, d), nw.trade_shape(spark, d)), nw.trade_shape(spark, d), TRACKER)
     rebuilt = run.separated().withColumn("w", F.col("low_rank") + F.col("sparse"))
-    return tn.component_energy(rebuilt, TRADE).filter("mean_norm > 1e-6").select("t", F.round("mean_norm", 4).alias("observed"))
+    return tn.component_energy(rebuilt, nw.trade_shape(spark, d)).filter("mean_norm > 1e-6").select("t", F.round("mean_norm", 4).alias("observed"))
 
 
 @query("component_energies")
 def component_energies(spark, d):
     """Energy per month of the low-rank and of the sparse part."""
-    run = tr.track(fr.stage_frames(nw.trade_edges(spark, d), TRADE), TRADE, TRACKER)
+    run = tr.track(fr.stage_frames(nw.trade_edges(spark, d), nw.trade_shape(spark, d)), nw.trade_shape(spark, d), TRACKER)
     parts = F.explode(F.array(
         F.struct(F.lit("low_rank").alias("part"), F.col("low_rank").alias("w")),
         F.struct(F.lit("sparse").alias("part"), F.col("sparse").alias("w")),
     )).alias("x")
     long = run.separated().select(F.col("subj"), "i", "j", "t", parts).select(F.col("x.part").alias("cond"), "subj", "i", "j", "t", "x.w")
-    energy_by_part = tn.component_energy(long, TRADE)
+    energy_by_part = tn.component_energy(long, nw.trade_shape(spark, d))
     return energy_by_part.select(F.col("cond").alias("part"), "t", *rounded(4, "mean_norm", "mean_square"))
 
 
 @query("tracker_energy")
 def tracker_energy(spark, d):
-    frames = fr.stage_frames(nw.trade_edges(spark, d), TRADE)
-    signal, _ = tr.sparse_energy(frames, TRADE, 24, 6, 0.11)
+    frames = fr.stage_frames(nw.trade_edges(spark, d), nw.trade_shape(spark, d))
+    signal, _ = tr.sparse_energy(frames, nw.trade_shape(spark, d), 24, 6, 0.11)
     return signal.select("t", *rounded(4, "v"))
 
 
 def _sparse(spark, d, solver):
     cfg = tr.TrackerConfig(train_length=24, alpha=6, max_ranks=(8, 8, 3), sparse_solver=solver, sampling_rate=None)
-    frames = fr.stage_frames(nw.trade_edges(spark, d), TRADE)
-    bases, _ = tr.initial_bases(frames, TRADE, cfg)
+    frames = fr.stage_frames(nw.trade_edges(spark, d), nw.trade_shape(spark, d))
+    bases, _ = tr.initial_bases(frames, nw.trade_shape(spark, d), cfg)
     versions = tr.Versions()
     versions.add(0, bases)
-    found = tr.separated_edges(frames, TRADE, versions, cfg).filter(F.abs("sparse") > 1e-9)
+    found = tr.separated_edges(frames, nw.trade_shape(spark, d), versions, cfg).filter(F.abs("sparse") > 1e-9)
     return found.select("subj", "i", "j", "t", *rounded(4, "sparse"))
 
 
@@ -457,14 +455,14 @@ STUDY = study.StudyConfig(
 @query("detector_table")
 def detector_table(spark, d):
     """Change points of all five detectors side by side."""
-    out = study.detector_table(nw.trade_edges(spark, d), TRADE, MONTHS, STUDY)
+    out = study.detector_table(nw.trade_edges(spark, d), nw.trade_shape(spark, d), MONTHS, STUDY)
     return out.select("method", F.col("ord").cast("bigint").alias("ord"), "frame", "ms")
 
 
 @query("study_summary")
 def study_summary(spark, d):
     """Low-rank denoising, exact segmentation and consensus communities of the planted tensor."""
-    done = study.run_study(nw.planted_edges(spark, d), TRADE, "hosvd", STUDY)
+    done = study.run_study(nw.planted_edges(spark, d), nw.trade_shape(spark, d), "hosvd", STUDY)
     out = study.summary_table(done.quality, done.intervals, MONTHS)
     return out.select(
         "interval", "start_frame", "end_frame", "best_k", *rounded(6, "best_selection_score", "best_u", "best_q")

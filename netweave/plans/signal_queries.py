@@ -20,8 +20,8 @@ def analytic_trials(spark, d):
 
 
 def plv_edges(spark, d):
-    packed = sg.phase_locking(analytic_trials(spark, d), nw.N_CHANNELS)
-    return sg.locking_edges(packed, nw.N_CHANNELS, nw.EPOCH_SAMPLES)
+    n = nw.n_channels(spark, d)
+    return sg.locking_edges(sg.phase_locking(analytic_trials(spark, d), n), n, nw.EPOCH_SAMPLES)
 
 
 @query("channel_pick", """
@@ -154,15 +154,16 @@ def erp_baseline(spark, d):
     return erp.select("subj", "cond", "ch", "t", *rounded(3, "v"))
 
 
-@query("spatial_filter", f"""WITH {cat.TRIALS}
-SELECT subj, cond, trial, ch, t, round(v - avg(v) OVER (PARTITION BY subj, cond, trial, t), 6) AS x FROM x""")
+@query("spatial_filter", f"""WITH {cat.TRIALS},
+ whole AS (SELECT subj, cond, trial FROM parts GROUP BY 1, 2, 3 HAVING count(*) = 10)
+SELECT subj, cond, trial, ch, t, round(v - avg(v) OVER (PARTITION BY subj, cond, trial, t), 6) AS x
+FROM x JOIN whole USING (subj, cond, trial)""")
 def spatial_filter(spark, d):
     """Average-reference montage as a channel mixing matrix."""
-    n = nw.N_CHANNELS
-    trials = nw.trial_arrays(spark, d)
-    rows = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    n = nw.n_channels(spark, d)
+    trials = nw.complete_trials(nw.trial_arrays(spark, d), n)
     matrix = (
-        trials.select(F.col("ch").alias("col")).distinct().withColumn("row", rows)
+        spark.range(n).select(F.col("id").cast("int").alias("col")).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
         .withColumn("m", F.when(F.col("row") == F.col("col"), 1.0).otherwise(0.0) - 1.0 / n)
     )
     mixed = sg.spatial_filter(trials, matrix)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,34 +11,73 @@ from netweave.operators.ordered import running
 from netweave.shape import TensorShape
 from netweave.sources.tables import table
 
-# Calendar and nodes of the trade tensor, event types in node order.
-TRADE = TensorShape(
-    conds=("trade",),
-    subjects=("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"),
-    n_nodes=25,
-    n_frames=83,
-)
-EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
-EVENTS = TensorShape(
-    conds=("events",), subjects=tuple(str(s) for s in range(8)), n_nodes=len(EVENT_TYPES), n_frames=720
-)
-N_CHANNELS = 10
+EVENT_GROUPS = 8
 EPOCH_SAMPLES = 64
 
 
+@functools.lru_cache(maxsize=64)
+def _trade_shape(session: str, sf_dir: str) -> TensorShape:
+    spark = SparkSession.getActiveSession()
+    segments = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("s")).where("s is not null").distinct()
+    nodes = table(spark, sf_dir, "nation").agg(F.max("n_nationkey").cast("int").alias("n")).first().n
+    last = table(spark, sf_dir, "lineitem").agg(F.max("l_shipdate").alias("last")).select(month_index("last").alias("t")).first().t
+    return TensorShape(("trade",), tuple(sorted(r.s for r in segments.collect())), nodes + 1, last + 1)
+
+
+def trade_shape(spark: SparkSession, sf_dir: str) -> TensorShape:
+    """Segments, nations and months that the tables hold; read once per session and folder."""
+    return _trade_shape(spark.sparkContext.applicationId, sf_dir)
+
+
+@functools.lru_cache(maxsize=64)
+def _event_axes(session: str, sf_dir: str) -> tuple[tuple[str, ...], TensorShape]:
+    events = table(SparkSession.getActiveSession(), sf_dir, "events")
+    types = tuple(sorted(r.e for r in events.select(F.col("event_type").alias("e")).where("e is not null").distinct().collect()))
+    last = events.agg(F.max("ts").alias("ts")).select(event_hour().alias("t")).first().t
+    return types, TensorShape(("events",), tuple(str(s) for s in range(EVENT_GROUPS)), len(types), last + 1)
+
+
+def event_types(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
+    """Event types in node order."""
+    return _event_axes(spark.sparkContext.applicationId, sf_dir)[0]
+
+
+def event_shape(spark: SparkSession, sf_dir: str) -> TensorShape:
+    """User groups, event types and hours that the events hold; read once per session and folder."""
+    return _event_axes(spark.sparkContext.applicationId, sf_dir)[1]
+
+
+@functools.lru_cache(maxsize=64)
+def _channels(session: str, sf_dir: str) -> int:
+    vecs = table(SparkSession.getActiveSession(), sf_dir, "embeddings")
+    return vecs.agg(F.max("label").cast("int").alias("n")).first().n + 1
+
+
+def n_channels(spark: SparkSession, sf_dir: str) -> int:
+    """Channels that the vectors hold; read once per session and folder."""
+    return _channels(spark.sparkContext.applicationId, sf_dir)
+
+
 def month_index(c: str) -> F.Column:
     """Months since January 1995."""
     return ((F.year(c) - 1995) * 12 + F.month(c) - 1).cast("bigint")
 
 
-def trade_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order line: (cond, subj, buyer, seller, t, qty).
+def first_day(month: int) -> F.Column:
+    return F.make_date(F.lit(1995 + month // 12), F.lit(month % 12 + 1), F.lit(1)).cast("timestamp")
+
+
+def trade_lines(spark: SparkSession, sf_dir: str, frames: tuple[int, int] | None = None) -> DataFrame:
+    """One row per order line: (cond, subj, buyer, seller, t, qty); ``frames`` [first, end) prunes the scan.
 
     Orders meet customers first, so order lines are shuffled only by order and by supplier
     key, and the latter only when suppliers are too large for the optimizer to broadcast.
     Neither join needs its partitioning kept, so adaptive execution can split hot keys.
     """
-    line = table(spark, sf_dir, "lineitem").select(
+    line = table(spark, sf_dir, "lineitem")
+    if frames:
+        line = line.where((F.col("l_shipdate") >= first_day(frames[0])) & (F.col("l_shipdate") < first_day(frames[1])))
+    line = line.select(
         "l_orderkey", "l_suppkey", month_index("l_shipdate").alias("t"), F.col("l_quantity").alias("qty")
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -64,14 +105,14 @@ def trade_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trade_edges(spark: SparkSession, sf_dir: str, frames: tuple[int, int] | None = None) -> DataFrame:
     """Undirected trade tensor: both directions added, domestic trade dropped.
 
     One shuffle after the joins, with map-side partial sums, so a hot subject or nation
     reaches it as at most one row per cell and task.
     """
     return (
-        trade_lines(spark, sf_dir).filter("buyer <> seller")
+        trade_lines(spark, sf_dir, frames).filter("buyer <> seller")
         .groupBy(
             "cond", "subj", F.least("buyer", "seller").alias("i"), F.greatest("buyer", "seller").alias("j"), "t"
         )
@@ -109,13 +150,13 @@ def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly event counts per user group, one column per event type."""
     events = table(spark, sf_dir, "events").select("ts", "user_id", "event_type")
     return events.groupBy(
-        F.lit("events").alias("cond"), (F.col("user_id") % 8).cast("string").alias("subj"), event_hour().alias("t")
-    ).agg(*[F.count_if(F.col("event_type") == e).cast("double").alias(f"n{k}") for k, e in enumerate(EVENT_TYPES)])
+        F.lit("events").alias("cond"), (F.col("user_id") % EVENT_GROUPS).cast("string").alias("subj"), event_hour().alias("t")
+    ).agg(*[F.count_if(F.col("event_type") == e).cast("double").alias(f"n{k}") for k, e in enumerate(event_types(spark, sf_dir))])
 
 
 def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Co-activity tensor: product of the hourly counts of two event types."""
-    n = len(EVENT_TYPES)
+    n = len(event_types(spark, sf_dir))
     cells = [
         F.struct(
             F.lit(a).cast("bigint").alias("i"), F.lit(b).cast("bigint").alias("j"),
@@ -131,20 +172,24 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trial_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Epochs (subj, cond, trial, ch, v array) from the vectors, complete trials only."""
+    """Epochs (subj, cond, trial, ch, v array) from the vectors; trials may lack channels."""
     vecs = table(spark, sf_dir, "embeddings").select(
         "vec_id", F.col("label").alias("ch"), F.col("embedding").cast("array<double>").alias("v")
     )
     ranked = running(vecs, ["ch"], ["vec_id"], F.floor(F.col("vec_id") / 4096), {"k": (F.lit(1), "sum")})
     ranked = ranked.withColumn("k", (F.col("k") - 1).cast("bigint"))
-    trials = ranked.select(
+    return ranked.select(
         (F.col("k") % 4).alias("subj"),
         F.when(F.floor(F.col("k") / 4) % 2 == 0, "Correct").otherwise("Incorrect").alias("cond"),
         F.floor(F.col("k") / 8).alias("trial"),
         "ch", "v",
     )
+
+
+def complete_trials(trials: DataFrame, n_channels: int) -> DataFrame:
+    """The trials that hold every channel, as mixing all channels needs."""
     channels = F.count("*").over(Window.partitionBy("subj", "cond", "trial"))
-    return trials.withColumn("n", channels).filter(F.col("n") == N_CHANNELS).drop("n")
+    return trials.withColumn("n", channels).filter(F.col("n") == n_channels).drop("n")
 
 
 def trial_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,8 +65,8 @@ def test_greedy_moves_are_locally_optimal(seed):
 
 def test_planted_regions_are_found(spark, medium):
     """Best k is 4: every split isolates whole regions and stops on a unanimous pair."""
-    graphs = tn.interval_graphs(nw.planted_edges(spark, medium), thirds(spark))
-    labels, table, agreement = cm.select_communities(graphs, nw.TRADE, k_max=6, min_size=3)
+    graphs = tn.interval_graphs(nw.planted_edges(spark, medium), thirds(spark, medium))
+    labels, table, agreement = cm.select_communities(graphs, nw.trade_shape(spark, medium), k_max=6, min_size=3)
     rows = labels.collect()
     assert {(r.interval, r.k) for r in rows} == {("pre", 4), ("core", 4), ("post", 4)}
     for interval in ("pre", "core", "post"):
@@ -241,8 +241,8 @@ def test_requested_community_counts(spark, medium):
     for bad in (1, (2, 3)):
         with pytest.raises(ValueError):
             cm.requested_levels(bad, (2, 4), names)
-    graphs = tn.interval_graphs(nw.planted_edges(spark, medium), thirds(spark))
-    labels, _, _ = cm.select_communities(graphs, nw.TRADE, min_size=3, levels=levels)
+    graphs = tn.interval_graphs(nw.planted_edges(spark, medium), thirds(spark, medium))
+    labels, _, _ = cm.select_communities(graphs, nw.trade_shape(spark, medium), min_size=3, levels=levels)
     assert {(r.interval, r.k) for r in labels.collect()} == {("pre", 2), ("core", 3), ("post", 4)}
 
 

@@ -42,7 +42,7 @@ def values(df, n):
     ("0.001", [50, 62], 15737.099), ("0.01", [40, 51], 24185.656), ("0.1", [63, 73], 24072.647),
 ])
 def test_trade_regimes(spark, sf, boundaries, total):
-    got = seg.detect_exact(nw.trade_edges(spark, f"/root/testdata/sf{sf}"), nw.TRADE).first()
+    got = seg.detect_exact(nw.trade_edges(spark, f"/root/testdata/sf{sf}"), nw.trade_shape(spark, f"/root/testdata/sf{sf}")).first()
     assert got.boundaries == boundaries
     assert round(got.sse, 3) == total
 

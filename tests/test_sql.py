@@ -7,7 +7,10 @@ import pytest
 import __spark_entry__ as entry_points
 
 ORACLES = entry_points.oracle_sql()
-TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "events", "embeddings")
+TABLES = (
+    "region", "nation", "customer", "supplier", "orders", "lineitem", "events", "embeddings", "documents", "labels",
+    "pages", "benchmark", "conversations",
+)
 
 
 @pytest.fixture(scope="module")
