@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 from netweave.functions.linalg import square
 from netweave.operators import quality as ql
 from netweave.operators.frames import pair_index
+from netweave.operators.spectral import by_size, gap_parts, split_trees
 from netweave.operators.graphs import agreement_counts, modularity, relabel, share_counts
 from netweave.operators.tensor import group_mean
 from netweave.shape import MAX_MODE_SIZE, TensorShape
 from netweave.stage import stage
 
 KEYS = ["cond", "interval"]
-EPS = 1e-12
+#: cells of the adjacency matrices that a task decomposes at once
+BLOCK_CELLS = 1 << 22
 
 
 def pack_graphs(graphs: DataFrame, keys: list[str], n_nodes: int) -> DataFrame:
@@ -38,69 +40,7 @@ def _adjacency(pos, w, n: int) -> np.ndarray:
     return square(np.maximum(flat, 0.0), n)
 
 
-# ---- splits of one adjacency matrix ------------------------------------------------------
-
-
-def _halves(n: int) -> np.ndarray:
-    return np.where(np.arange(n) < n // 2, 1, 2)
-
-
-def gap_split(a: np.ndarray, on_disconnected: str = "spectral") -> np.ndarray:
-    """Two parts (1, 2): cut the first non-trivial eigenvector of the normalised Laplacian at
-    its widest gap. ``on_disconnected="components"`` cuts between components instead of
-    picking a vector from a degenerate eigenspace."""
-    n = a.shape[0]
-    if n <= 2:
-        return np.arange(1, n + 1)
-    degree = a.sum(axis=1)
-    live = degree > EPS
-    if live.sum() < 2:
-        return _halves(n)
-    scale = np.zeros(n)
-    scale[live] = degree[live] ** -0.5
-    lap = np.eye(n) - scale[:, None] * a * scale[None, :]
-    values, vectors = np.linalg.eigh((lap + lap.T) / 2.0)
-    if on_disconnected == "components":
-        part = _reach(a, int(np.flatnonzero(live)[0]))
-        if not part[live].all():
-            return np.where(part, 1, 2)
-    usable = np.flatnonzero(values > 1e-10)
-    if not usable.size:
-        return _halves(n)
-    vector = vectors[:, usable[0]]
-    order = np.argsort(vector, kind="stable")
-    gaps = np.diff(vector[order])
-    cut = int(np.argmax(gaps))
-    if gaps[cut] <= EPS:
-        return _halves(n)
-    labels = np.full(n, 2)
-    labels[order[:cut + 1]] = 1
-    return labels
-
-
-def _reach(a: np.ndarray, start: int) -> np.ndarray:
-    seen = np.zeros(a.shape[0], dtype=bool)
-    seen[start] = True
-    while True:
-        more = seen | (a[seen] > 0).any(axis=0)
-        if (more == seen).all():
-            return seen
-        seen = more
-
-
-def sign_split(a: np.ndarray) -> np.ndarray:
-    """Two parts (0, 1) by the sign of the second Laplacian eigenvector, else its median."""
-    n = a.shape[0]
-    if n < 2 or np.allclose(a, 0):
-        return np.zeros(n, dtype=int)
-    _, vectors = np.linalg.eigh(np.diag(a.sum(axis=1)) - a)
-    vector = vectors[:, 1]
-    for labels in (vector > 0, vector > np.median(vector)):
-        if labels.any() and not labels.all():
-            return labels.astype(int)
-    labels = np.zeros(n, dtype=int)
-    labels[np.argsort(vector)[n // 2:]] = 1
-    return labels
+# ---- communities of a stack of adjacency matrices ----------------------------------------
 
 
 def graph_modularity(a: np.ndarray, labels: np.ndarray) -> float:
@@ -117,31 +57,6 @@ def _first_seen(labels: np.ndarray) -> np.ndarray:
     return np.argsort(np.argsort(first))[inverse]
 
 
-def recursive_split(a: np.ndarray, min_size: int = 3, min_gain: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Keep taking the sign split with the largest own modularity; parts >= ``min_size``."""
-    parts = [np.arange(a.shape[0])]
-    while True:
-        best = None
-        for k, nodes in enumerate(parts):
-            if nodes.size < 2 * min_size:
-                continue
-            sub = a[np.ix_(nodes, nodes)]
-            side = sign_split(sub)
-            if min(side.sum(), side.size - side.sum()) < max(min_size, 1):
-                continue
-            gain = graph_modularity(sub, side)
-            if np.isfinite(gain) and gain > (best[0] if best else min_gain):
-                best = (gain, k, [nodes[side == 0], nodes[side == 1]])
-        if best is None:
-            break
-        parts[best[1]:best[1] + 1] = best[2]
-    labels = np.zeros(a.shape[0], dtype=int)
-    for k, nodes in enumerate(parts):
-        labels[nodes] = k
-    labels = _first_seen(labels)
-    return labels, graph_modularity(a, labels)
-
-
 def greedy_moves(a: np.ndarray) -> np.ndarray:
     """Louvain communities with a fixed visiting order (0, 1, ...): local moves by modularity
     gain, then the same on the graph of communities, until nothing moves."""
@@ -178,39 +93,49 @@ def greedy_moves(a: np.ndarray) -> np.ndarray:
 PROFILES = {"detailed": (0.08, 3), "compact": (0.0, 6), "balanced": (0.06, 3)}
 
 
-def arbitrated(a: np.ndarray, profile: str = "balanced") -> tuple[np.ndarray, float, str]:
-    """Better of recursive splits and greedy moves; the finer recursive partition also wins
-    when it loses at most the profile's tolerance."""
-    if a.shape[0] < 2 or np.allclose(a, 0):
-        return np.zeros(a.shape[0], dtype=int), float("nan"), "empty graph"
-    tolerance, smallest = PROFILES[profile]
-    split, split_q = recursive_split(a, smallest)
-    moves = greedy_moves(a)
-    moves_q = graph_modularity(a, moves)
-    finer = split.max() > moves.max()
-    if split_q >= moves_q or (finer and split_q >= moves_q - tolerance):
-        return split, split_q, "recursive spectral"
-    return moves, moves_q, "greedy modularity"
+def recursive_parts(stack: np.ndarray, min_size: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and modularity of every graph's recursive sign splits."""
+    labels = np.array([_first_seen(row) for row in split_trees(stack, min_size)]).reshape(stack.shape[:2])
+    return labels, np.array([graph_modularity(a, row) for a, row in zip(stack, labels)])
+
+
+def arbitrated(stack: np.ndarray, profiles: list[str]) -> tuple[np.ndarray, list[float], list[str]]:
+    """Better of recursive splits and greedy moves for every graph; the finer recursive partition also wins
+    when it loses at most its profile's tolerance."""
+    labels = np.zeros(stack.shape[:2], dtype=int)
+    scores, names = [float("nan")] * len(stack), ["empty graph"] * len(stack)
+    busy = np.zeros(len(stack), dtype=bool) if stack.shape[1] < 2 else ~np.isclose(stack, 0).all(axis=(1, 2))
+    for profile, (tolerance, smallest) in PROFILES.items():
+        rows = np.flatnonzero(busy & (np.array(profiles, dtype=object) == profile))
+        for k, split, split_q in zip(rows, *recursive_parts(stack[rows], smallest)):
+            moves = greedy_moves(stack[k])
+            moves_q = graph_modularity(stack[k], moves)
+            if split_q >= moves_q or (split.max() > moves.max() and split_q >= moves_q - tolerance):
+                labels[k], scores[k], names[k] = split, split_q, "recursive spectral"
+            else:
+                labels[k], scores[k], names[k] = moves, moves_q, "greedy modularity"
+    return labels, scores, names
 
 
 # ---- many graphs -------------------------------------------------------------------------
 
 
 def map_graphs(packed: DataFrame, keys: list[str], n_nodes: int, method) -> DataFrame:
-    """Label every packed graph: ``method(adjacency, row) -> (labels, score, name)``.
+    """Label every packed graph: ``method(stack, rows) -> (labels, scores, names)`` on blocks of graphs.
 
     Result: (*keys, nodes, comms, score, method), one row per graph, no shuffle.
     """
     types = dict(packed.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", nodes array<bigint>, comms array<bigint>, score double, method string"
+    block = max(1, BLOCK_CELLS // n_nodes**2)
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                labels, score, name = method(_adjacency(row.pos, row.w, n_nodes), row)
-                rows.append((*[getattr(row, k) for k in keys], np.arange(n_nodes), labels, score, name))
-            yield pd.DataFrame(rows, columns=[*keys, "nodes", "comms", "score", "method"])
+            for lo in range(0, len(pdf), block):
+                rows = pdf.iloc[lo:lo + block]
+                stack = np.stack([_adjacency(pos, w, n_nodes) for pos, w in zip(rows.pos, rows.w)])
+                labels, scores, names = method(stack, rows)
+                yield rows[keys].assign(nodes=[np.arange(n_nodes)] * len(rows), comms=list(labels), score=scores, method=names)
 
     return packed.mapInPandas(run, schema)
 
@@ -219,7 +144,7 @@ def frame_communities(edges: DataFrame, shape: TensorShape, profile: str = "bala
     """Communities of every subject's graph at every frame: one packed row per graph."""
     keys = ["cond", "subj", "t"]
     graphs = edges.withColumn("w", F.greatest("w", F.lit(0.0)))
-    return map_graphs(pack_graphs(graphs, keys, shape.n_nodes), keys, shape.n_nodes, lambda a, _: arbitrated(a, profile))
+    return map_graphs(pack_graphs(graphs, keys, shape.n_nodes), keys, shape.n_nodes, lambda stack, _: arbitrated(stack, [profile] * len(stack)))
 
 
 def label_rows(labelled: DataFrame, keys: list[str], base: int = 0) -> DataFrame:
@@ -258,7 +183,7 @@ def interval_profile(interval: str) -> str:
 def consensus_communities(agreement: DataFrame, shape: TensorShape) -> DataFrame:
     """Communities of each interval's agreement matrix, granularity by interval name."""
     packed = pack_graphs(agreement, KEYS, shape.n_nodes)
-    return map_graphs(packed, KEYS, shape.n_nodes, lambda a, row: arbitrated(a, interval_profile(row.interval)))
+    return map_graphs(packed, KEYS, shape.n_nodes, lambda stack, rows: arbitrated(stack, [interval_profile(x) for x in rows.interval]))
 
 
 # ---- consensus splitting with model selection --------------------------------------------
@@ -271,12 +196,15 @@ def _subset_agreement(packed: DataFrame, chosen: DataFrame, n_nodes: int, on_dis
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                nodes = np.sort(np.asarray(row.members, dtype=int))
-                a = _adjacency(row.pos, row.w, n_nodes)[np.ix_(nodes, nodes)]
-                rows.append((row.cond, row.interval, nodes, gap_split(a, on_disconnected)))
-            yield pd.DataFrame(rows, columns=["cond", "interval", "nodes", "comms"])
+            members = [np.sort(np.asarray(m, dtype=int)) for m in pdf.members]
+            parts: list = [None] * len(pdf)
+            for n, at in by_size(members):
+                for lo in range(0, len(at), max(1, BLOCK_CELLS // n_nodes**2)):
+                    some = at[lo:lo + max(1, BLOCK_CELLS // n_nodes**2)]
+                    stack = np.stack([_adjacency(pdf.pos.iloc[k], pdf.w.iloc[k], n_nodes)[np.ix_(members[k], members[k])] for k in some])
+                    for k, part in zip(some, gap_parts(stack, on_disconnected)):
+                        parts[k] = part
+            yield pdf[["cond", "interval"]].assign(nodes=members, comms=parts)
 
     split = packed.join(chosen, KEYS).mapInPandas(run, schema)
     return agreement_counts(split, KEYS, n_nodes)
@@ -297,7 +225,7 @@ def _consensus_parts(counts: DataFrame, min_size: int, on_disconnected: str) ->
                 r, c = np.searchsorted(nodes, i), np.searchsorted(nodes, j)
                 a[r, c] = a[c, r] = n / n[i == j].max()
                 np.fill_diagonal(a, 0.0)
-                part = gap_split(a, on_disconnected)
+                part = gap_parts(a[None], on_disconnected)[0]
                 if min((part == 1).sum(), (part == 2).sum()) >= max(min_size, 1):
                     yield pd.DataFrame({"cond": row.cond, "interval": row.interval, "node": nodes, "part": part})
 
@@ -325,7 +253,7 @@ def select_communities(
     k_min: int = 2,
     min_size: int = 2,
     criterion: str = "u",
-    on_disconnected: str = "spectral",
+    on_disconnected: str = "components",
     levels: dict[str, list[int]] | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Split the worst community by consensus until ``k_max``, then keep the best k.

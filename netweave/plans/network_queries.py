@@ -11,6 +11,7 @@ from netweave.operators import lowrank as lr
 from netweave.operators import quality as ql
 from netweave.operators import segmentation as seg
 from netweave.operators import tensor as tn
+from netweave.operators.spectral import gap_parts
 from netweave.plans import catalog as cat
 from netweave.plans.catalog import query, rounded
 from netweave.sources import networks as nw
@@ -388,7 +389,7 @@ def fcca_quality_table(spark, d):
 def fiedler_split(spark, d):
     """Gap split of every subject's interval graph."""
     packed = cm.pack_graphs(trade_graphs(spark, d), ["interval", "subj"], nw.trade_shape(spark, d).n_nodes)
-    split = cm.map_graphs(packed, ["interval", "subj"], nw.trade_shape(spark, d).n_nodes, lambda a, _: (cm.gap_split(a), 0.0, "gap"))
+    split = cm.map_graphs(packed, ["interval", "subj"], nw.trade_shape(spark, d).n_nodes, lambda stack, _: (gap_parts(stack), 0.0, "gap"))
     return cm.label_rows(split, ["interval", "subj"])
 
 
@@ -396,7 +397,7 @@ def fiedler_split(spark, d):
 def recursive_fiedler(spark, d):
     graphs = tn.interval_graphs(nw.planted_edges(spark, d), thirds(spark, d))
     packed = cm.pack_graphs(graphs, ["interval", "subj"], nw.trade_shape(spark, d).n_nodes)
-    split = cm.map_graphs(packed, ["interval", "subj"], nw.trade_shape(spark, d).n_nodes, lambda a, _: (*cm.recursive_split(a), "recursive"))
+    split = cm.map_graphs(packed, ["interval", "subj"], nw.trade_shape(spark, d).n_nodes, lambda stack, _: (*cm.recursive_parts(stack), "recursive"))
     return cm.label_rows(split, ["interval", "subj"], base=1)
 
 

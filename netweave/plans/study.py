@@ -32,7 +32,7 @@ class StudyConfig:
     k_range: tuple[int, int] = (2, 5)
     min_community: int = 2
     criterion: str = "u"
-    on_disconnected: str = "spectral"
+    on_disconnected: str = "components"
     tracker: tr.TrackerConfig = tr.TrackerConfig()
     windows: tuple[int, ...] = (40, 80, 160)
     subspace_rank: int = 5
@@ -109,6 +109,10 @@ def detector_table(edges: DataFrame, shape: TensorShape, clock: Callable[[Column
     return out
 
 
+def _arbitrated_by_interval(stack, rows):
+    return cm.arbitrated(stack, [cm.interval_profile(name.split("|")[-1]) for name in rows.interval])
+
+
 def consensus_table(low_rank: DataFrame, points: DataFrame, shape: TensorShape) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Communities of every subject and frame, then per detector and interval their agreement,
     its consensus communities, and the pooled mean graph.
@@ -128,7 +132,7 @@ def consensus_table(low_rank: DataFrame, points: DataFrame, shape: TensorShape)
     packed = cm.pack_graphs(agreement, KEYS, shape.n_nodes)
     found = cm.map_graphs(
         packed, KEYS, shape.n_nodes,
-        lambda a, row: cm.arbitrated(a, cm.interval_profile(row.interval.split("|")[-1])),
+        _arbitrated_by_interval,
     )
     return agreement, found, tn.pooled_mean(low_rank, spans, shape)
 

@@ -12,7 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 _DIR_KEY = "spark.checkpoint.dir"
 _WAREHOUSE_KEY = "spark.sql.warehouse.dir"
 
-_scopes: list[list] = [[]]
+
+
+class _Scopes(list):
+    """Open scopes of this process: never sent along with a function."""
+
+    def __reduce__(self):
+        return _Scopes, ([[]],)
+
+
+_scopes = _Scopes([[]])
 
 
 def shared_dir(spark: SparkSession) -> str:

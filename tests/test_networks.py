@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import netweave.shape as shapes
 from netweave.operators import communities as cm
+from netweave.operators.spectral import gap_parts
 from netweave.operators import frames as fr
 from netweave.operators import graphs as gr
 from netweave.operators import quality as ql
@@ -32,24 +33,24 @@ def same_partition(a, b):
 
 def test_gap_split_finds_two_blocks():
     a, member = blocks([5, 7])
-    assert same_partition(cm.gap_split(a), member)
-    assert list(cm.gap_split(np.zeros((1, 1)))) == [1]
-    assert list(cm.gap_split(np.ones((2, 2)))) == [1, 2]
-    assert list(cm.gap_split(np.zeros((5, 5)))) == [1, 1, 2, 2, 2]
+    assert same_partition(gap_parts(a[None])[0], member)
+    assert list(gap_parts(np.zeros((1, 1))[None])[0]) == [1]
+    assert list(gap_parts(np.ones((2, 2))[None])[0]) == [1, 2]
+    assert list(gap_parts(np.zeros((5, 5))[None])[0]) == [1, 1, 2, 2, 2]
 
 
 def test_gap_split_of_disconnected_graph_by_components():
     a, member = blocks([4, 6], outside=0.0)
-    assert same_partition(cm.gap_split(a, "components"), member)
+    assert same_partition(gap_parts(a[None])[0], member)
 
 
 def test_recursive_and_greedy_communities():
     a, member = blocks([5, 5, 6])
-    labels, q = cm.recursive_split(a)
+    (labels,), (q,) = cm.recursive_parts(a[None])
     assert same_partition(labels, member)
     assert q == pytest.approx(cm.graph_modularity(a, member))
     assert same_partition(cm.greedy_moves(a), member)
-    assert np.isnan(cm.arbitrated(np.zeros((4, 4)))[1])
+    assert np.isnan(cm.arbitrated(np.zeros((1, 4, 4)), ["balanced"])[1][0])
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -64,19 +65,17 @@ def test_greedy_moves_are_locally_optimal(seed):
 
 
 def test_planted_regions_are_found(spark, medium):
-    """Best k is 4: every split isolates whole regions and stops on a unanimous pair."""
+    """All five regions come out: where all subjects agree the consensus falls into components."""
     graphs = tn.interval_graphs(nw.planted_edges(spark, medium), thirds(spark, medium))
     labels, table, agreement = cm.select_communities(graphs, nw.trade_shape(spark, medium), k_max=6, min_size=3)
     rows = labels.collect()
-    assert {(r.interval, r.k) for r in rows} == {("pre", 4), ("core", 4), ("post", 4)}
+    assert {(r.interval, r.k) for r in rows} == {("pre", 5), ("core", 5), ("post", 5)}
     for interval in ("pre", "core", "post"):
         found = {}
         for r in rows:
             if r.interval == interval:
-                found.setdefault(r.community, set()).add(r.node)
-        assert sorted(len(v) for v in found.values()) == [5, 5, 5, 10]
-        assert all(len({n % 5 for n in v}) == len(v) // 5 for v in found.values())
-    assert sorted({r.k for r in table.collect()}) == [2, 3, 4]
+                found.setdefault(r.community, set()).add(r.node % 5)
+        assert sorted(map(len, found.values())) == [1] * 5
     assert agreement.filter("w < 0 or w > 1").count() == 0
 
 
@@ -115,7 +114,7 @@ def test_frame_agreement_counts_missing_graphs(spark):
     want = np.zeros((5, 5))
     for s in range(2):
         for t in range(6):
-            labels = cm.arbitrated(x[s, :, :, t])[0]
+            labels = cm.arbitrated(x[s, :, :, t][None], ["balanced"])[0][0]
             want += labels[:, None] == labels
     assert len(got) == 10
     assert all(w == pytest.approx(want[i, j] / 12) for (i, j), w in got.items())
