@@ -212,17 +212,23 @@ def pooled_adjacency(spark, d):
 # ---- low rank ----------------------------------------------------------------------------
 
 
-@query("hosvd_low_rank", f"""WITH {cat.TRADE} SELECT t, sum(w) AS raw_total, true AS within_raw_energy FROM trade GROUP BY 1""")
+@query("hosvd_low_rank", f"""WITH RECURSIVE {cat.TRADE}, {cat.BOTH},
+ gs AS MATERIALIZED (SELECT a.subj AS r, b.subj AS c, sum(a.w * b.w) AS g FROM ends a JOIN ends b USING (i, j, t) GROUP BY 1, 2),
+ gn AS MATERIALIZED (SELECT a.i AS r, b.i AS c, sum(a.w * b.w) AS g FROM ends a JOIN ends b USING (subj, j, t) GROUP BY 1, 2),
+ su(k, r, x) AS (SELECT 0, r, 1.0::DOUBLE FROM (SELECT DISTINCT r FROM gs) UNION ALL
+   SELECT k + 1, r, y / sqrt(sum(y * y) OVER ()) FROM (
+     SELECT any_value(k) AS k, gs.r AS r, sum(g * x) AS y FROM su JOIN gs ON gs.c = su.r GROUP BY gs.r) WHERE k < 80),
+ nu(k, r, x) AS (SELECT 0, r, 1.0::DOUBLE FROM (SELECT DISTINCT r FROM gn) UNION ALL
+   SELECT k + 1, r, y / sqrt(sum(y * y) OVER ()) FROM (
+     SELECT any_value(k) AS k, gn.r AS r, sum(g * x) AS y FROM nu JOIN gn ON gn.c = nu.r GROUP BY gn.r) WHERE k < 80),
+ s1 AS MATERIALIZED (SELECT r, x FROM su WHERE k = 80), n1 AS MATERIALIZED (SELECT r, x FROM nu WHERE k = 80),
+ core AS (SELECT t, sum(w * s1.x * a.x * b.x) AS c FROM ends JOIN s1 ON s1.r = subj JOIN n1 a ON a.r = i JOIN n1 b ON b.r = j GROUP BY 1)
+SELECT s1.r AS subj, a.r AS i, b.r AS j, t, round(s1.x * a.x * b.x * c, 3) AS w FROM core, s1, n1 a, n1 b WHERE a.r < b.r""")
 def hosvd_low_rank(spark, d):
-    """Projection onto the leading subspaces never gains energy, frame by frame."""
-    edges = nw.trade_edges(spark, d)
-    frames = fr.stage_frames(edges, nw.trade_shape(spark, d))
-    low = lr.hosvd_low_rank(frames, nw.trade_shape(spark, d), (3, 6)).groupBy("t").agg(F.sum(F.col("w") * F.col("w")).alias("low"))
-    raw = frames.select(
-        "t", F.aggregate("w", F.lit(0.0), lambda a, x: a + x).alias("raw_total"),
-        F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x).alias("raw"),
-    ).filter("raw > 0")
-    return raw.join(low, "t").select("t", "raw_total", (F.col("low") <= F.col("raw") * (1 + 1e-9)).alias("within_raw_energy"))
+    """Every cell of the projection onto the leading subject and node directions."""
+    shape = nw.trade_shape(spark, d)
+    low = lr.hosvd_low_rank(fr.stage_frames(nw.trade_edges(spark, d), shape), shape, (1, 1))
+    return low.select("subj", "i", "j", "t", *rounded(3, "w"))
 
 
 @query("hosvd_edges")

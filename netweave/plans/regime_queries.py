@@ -12,6 +12,7 @@ from netweave.operators import graphs as gr
 from netweave.operators import segmentation as seg
 from netweave.operators import tensor as tn
 from netweave.operators import tracker as tr
+from netweave.operators.tracker_config import Recovery, Selection, Subspace
 from netweave.plans import catalog as cat
 from netweave.plans import study
 from netweave.plans.catalog import query, rounded
@@ -20,12 +21,12 @@ from netweave.sources import networks as nw
 # the month clock of the trade tensor: frame number itself
 MONTHS = lambda t: t.cast("double")
 TRACKER = tr.TrackerConfig(
-    train_length=24, alpha=6, sigma_min=0.11, max_ranks=(8, 8, 3), sampling_rate=None, target_window_ms=None
+    Subspace(train=24, block=6, floor=0.11, node_cap=8, subject_cap=3), selection=Selection(rate=None, window_ms=None)
 )
 # settings whose thresholds, not rank caps, decide: directions come and go
 FREE_TRACKER = tr.TrackerConfig(
-    train_length=24, alpha=6, sigma_min=0.25, max_ranks=(25, 25, 5), sampling_rate=None, target_window_ms=(20.0, 60.0),
-    target_anchor_ms=44.0,
+    Subspace(train=24, block=6, floor=0.25, node_cap=25, subject_cap=5),
+    selection=Selection(rate=None, window_ms=(20.0, 60.0), anchor_ms=44.0),
 )
 
 
@@ -246,20 +247,16 @@ def percentile_threshold(spark, d):
     return tr.robust_threshold(quantity_signal(spark, d), "percentile", 90.0, "v").select(*rounded(4, "threshold"))
 
 
-@query("support_jaccard", f"""WITH {cat.TRADE}, {cat.FRAMES}, s AS (SELECT t, (i * 25 + j) * 8 + length(subj) AS cell FROM trade WHERE w >= 30 GROUP BY ALL),
- n AS (SELECT t, coalesce(n, 0) AS n FROM frames LEFT JOIN (SELECT t, count(*) AS n FROM s GROUP BY 1) USING (t)),
- b AS (SELECT x.t, count(*) AS shared FROM s x JOIN s y ON x.t = y.t + 1 AND x.cell = y.cell GROUP BY 1)
+@query("support_jaccard", f"""WITH {cat.TRADE}, {cat.FRAMES},
+ n AS (SELECT t, coalesce(n, 0) AS n FROM frames LEFT JOIN (SELECT t, count(*) AS n FROM trade WHERE w <> 0 GROUP BY 1) USING (t)),
+ b AS (SELECT x.t, count(*) AS shared FROM trade x JOIN trade y ON x.t = y.t + 1 AND x.subj = y.subj AND x.i = y.i AND x.j = y.j
+   WHERE x.w <> 0 AND y.w <> 0 GROUP BY 1)
 SELECT a.t, round(CASE WHEN a.n + p.n = 0 THEN 0 ELSE 1 - coalesce(shared, 0) / (a.n + p.n - coalesce(shared, 0)) END, 6) AS jaccard
 FROM n a JOIN n p ON a.t = p.t + 1 LEFT JOIN b ON b.t = a.t""")
 def support_jaccard(spark, d):
-    cell = (F.col("i") * 25 + F.col("j")) * 8 + F.length("subj")
-    held = nw.trade_edges(spark, d).filter("w >= 30").groupBy("cond", "t").agg(F.collect_set(cell).alias("support"))
-    from netweave.shape import frame_spine
-
-    full = frame_spine(spark, nw.trade_shape(spark, d)).join(held, ["cond", "t"], "left").withColumn(
-        "support", F.coalesce("support", F.array().cast("array<bigint>"))
-    )
-    return tr.support_change(full).filter("jaccard is not null").select("t", *rounded(6, "jaccard"))
+    """Change of the non-zero cells of all subjects from month to month."""
+    frames = fr.pack_frames(nw.trade_edges(spark, d), nw.trade_shape(spark, d))
+    return tr.support_change(frames.withColumnRenamed("pos", "support")).filter("jaccard is not null").select("t", *rounded(6, "jaccard"))
 
 
 # ---- clocks and windows ------------------------------------------------------------------
@@ -365,25 +362,30 @@ def tracker_change_points(spark, d):
     return run.change_point_modes().select("reported_time", "mode", *rounded(5, "score"))
 
 
-@query("tracker_low_rank", f"WITH {cat.TRADE} SELECT subj, t, sum(w) AS observed, true AS exact FROM trade GROUP BY 1, 2")
+@query("tracker_low_rank")
 def tracker_low_rank(spark, d):
-    """Low rank + sparse is the observed tensor in every cell; absent cells stay absent."""
-    edges = seg.stage(nw.trade_edges(spark, d))
-    run = tr.track(fr.stage_frames(edges, nw.trade_shape(spark, d)), nw.trade_shape(spark, d), TRACKER)
-    gap = F.abs(F.col("low_rank") + F.col("sparse") - F.coalesce("w", F.lit(0.0)))
-    both = run.separated().join(edges, ["cond", "subj", "i", "j", "t"], "full")
-    return both.groupBy("subj", "t").agg(
-        F.sum("w").alias("observed"), (F.max(gap) < 1e-9).alias("exact")
-    ).filter("observed is not null")
+    """Totals of the low-rank and the sparse part by subject and month."""
+    shape = nw.trade_shape(spark, d)
+    run = tr.track(fr.stage_frames(nw.trade_edges(spark, d), shape), shape, TRACKER)
+    return run.separated().groupBy("subj", "t").agg(
+        F.round(F.sum("low_rank"), 3).alias("low_rank"), F.round(F.sum("sparse"), 3).alias("sparse"),
+        F.count_if(F.abs("sparse") > 1e-6).alias("sparse_cells"),
+    )
 
 
-@query("separation_energy", f"""WITH {cat.TRADE} SELECT t, round(sum(sqrt(ss)) / 5, 4) AS observed FROM (
-  SELECT t, subj, 2 * sum(w * w) AS ss FROM trade GROUP BY 1, 2) GROUP BY 1""")
+@query("separation_energy")
 def separation_energy(spark, d):
-    """Energy per month of the observed tensor, rebuilt from its low-rank and sparse parts."""
-    run = tr.track(fr.stage_frames(nw.trade_edges(spark, d), nw.trade_shape(spark, d)), nw.trade_shape(spark, d), TRACKER)
-    rebuilt = run.separated().withColumn("w", F.col("low_rank") + F.col("sparse"))
-    return tn.component_energy(rebuilt, nw.trade_shape(spark, d)).filter("mean_norm > 1e-6").select("t", F.round("mean_norm", 4).alias("observed"))
+    """Energy per month of the observed tensor, of its low-rank and of its sparse part; all months."""
+    shape = nw.trade_shape(spark, d)
+    run = tr.track(fr.stage_frames(nw.trade_edges(spark, d), shape), shape, TRACKER)
+    parts = F.explode(F.array(
+        F.struct(F.lit("observed").alias("part"), (F.col("low_rank") + F.col("sparse")).alias("w")),
+        F.struct(F.lit("low_rank").alias("part"), F.col("low_rank").alias("w")),
+        F.struct(F.lit("sparse").alias("part"), F.col("sparse").alias("w")),
+    )).alias("x")
+    long = run.separated().select("subj", "i", "j", "t", parts).select(F.col("x.part").alias("cond"), "subj", "i", "j", "t", "x.w")
+    energy_of = tn.component_energy(long, shape)
+    return energy_of.groupBy("t").pivot("cond", ["observed", "low_rank", "sparse"]).agg(F.round(F.first("mean_norm"), 4)).na.fill(0.0)
 
 
 @query("component_energies")
@@ -407,13 +409,14 @@ def tracker_energy(spark, d):
 
 
 def _sparse(spark, d, solver):
-    cfg = tr.TrackerConfig(train_length=24, alpha=6, max_ranks=(8, 8, 3), sparse_solver=solver, sampling_rate=None)
+    cfg = tr.TrackerConfig(Subspace(train=24, block=6, node_cap=8, subject_cap=3), Recovery(solver), selection=Selection(rate=None))
     frames = fr.stage_frames(nw.trade_edges(spark, d), nw.trade_shape(spark, d))
     bases, _ = tr.initial_bases(frames, nw.trade_shape(spark, d), cfg)
     versions = tr.Versions()
     versions.add(0, bases)
-    found = tr.separated_edges(frames, nw.trade_shape(spark, d), versions, cfg).filter(F.abs("sparse") > 1e-9)
-    return found.select("subj", "i", "j", "t", *rounded(4, "sparse"))
+    found = tr.separated_edges(frames, nw.trade_shape(spark, d), versions, cfg)
+    # rounding noise is no support: what is left at four digits is
+    return found.select("subj", "i", "j", "t", *rounded(4, "sparse")).where("sparse <> 0")
 
 
 @query("sparse_pursuit")

@@ -94,7 +94,7 @@ def detector_table(edges: DataFrame, shape: TensorShape, clock: Callable[[Column
     energy = dt.fill_signal(tn.mean_graph_energy(edges, shape), shape)
     alpha, sigma = cfg.alphas[len(cfg.alphas) // 2], cfg.sigmas[len(cfg.sigmas) // 2]
     settings = [(a, sigma) for a in cfg.alphas] + [(alpha, s) for s in cfg.sigmas if s != sigma]
-    tracked = [tr.sparse_energy(frames, shape, cfg.tracker.train_length, a, s)[0] for a, s in settings]
+    tracked = [tr.sparse_energy(frames, shape, cfg.tracker.subspace.train, a, s)[0] for a, s in settings]
     found = {
         "hosvd": dt.sweep_signals([dt.grassmann_shift(frames, shape, w, cfg.subspace_rank) for w in cfg.windows], n, clock),
         "tracker": dt.sweep_signals(tracked, n, clock),

@@ -143,12 +143,12 @@ def test_studies_run_for_every_denoiser(spark):
         a, _ = blocks([4, 5] if t < 15 else [5, 4] if t < 30 else [3, 6], outside=0.2, seed=t)
         x[..., t] = a
     edges, shape = edges_of(spark, x)
-    from netweave.operators.tracker import TrackerConfig
+    from netweave.operators.tracker_config import Selection, Subspace, TrackerConfig
 
     cfg = study.StudyConfig(
         ranks=(2, 4), k_range=(2, 3), min_interval=5, windows=(4, 6), shift_window=6, alphas=(5,), sigmas=(0.11,),
         on_disconnected="components",
-        tracker=TrackerConfig(train_length=10, alpha=5, sampling_rate=None, target_window_ms=None),
+        tracker=TrackerConfig(Subspace(train=10, block=5), selection=Selection(rate=None, window_ms=None)),
     )
     for denoiser in ("raw", "hosvd", "tracker"):
         done = study.run_study(edges, shape, denoiser, cfg)

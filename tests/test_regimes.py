@@ -12,6 +12,7 @@ from netweave.operators import frames as fr
 from netweave.operators import lowrank as lr
 from netweave.operators import segmentation as seg
 from netweave.operators import tracker as tr
+from netweave.operators.tracker_config import Change, Recovery, Selection, Subspace
 from netweave.sources import networks as nw
 from netweave.streaming.online import FRAME_SCHEMA, stream_sparse_energy
 
@@ -195,7 +196,7 @@ def test_pursuit_equals_the_explicit_dictionary():
     un, us = np.linalg.qr(rng.normal(size=(6, 2)))[0], np.linalg.qr(rng.normal(size=(4, 1)))[0]
     pn, ps = np.eye(6) - un @ un.T, np.eye(4) - us @ us.T
     y = tr.project_out(rng.normal(size=(6, 6, 4)), pn, ps)
-    cfg = tr.TrackerConfig(sparsity=5)
+    cfg = tr.TrackerConfig(recovery=Recovery(cells=5))
     got, left = tr.pursue(y, pn, ps, cfg)
     chosen, residual = [], y.ravel()
     for _ in range(5):
@@ -219,7 +220,7 @@ def test_pursuit_equals_the_explicit_dictionary():
 def test_separation_adds_up(spark, solver):
     x = block_tensor()
     edges, shape = edges_of(spark, x)
-    cfg = tr.TrackerConfig(train_length=8, alpha=4, sparse_solver=solver, sampling_rate=None, target_window_ms=None)
+    cfg = tr.TrackerConfig(Subspace(train=8, block=4), Recovery(solver), selection=Selection(rate=None, window_ms=None))
     run = tr.track(fr.stage_frames(edges, shape), shape, cfg)
     rows = run.separated().collect()
     low, sparse = dense_of(rows, shape, "low_rank"), dense_of(rows, shape, "sparse")
@@ -230,7 +231,7 @@ def test_tracker_follows_a_dense_recursion(spark):
     """Ranks and scores of the block rounds equal a frame-by-frame SVD recursion."""
     x = block_tensor()
     edges, shape = edges_of(spark, x)
-    cfg = tr.TrackerConfig(train_length=8, alpha=4, sigma_min=0.2, max_ranks=(6, 6, 3), sampling_rate=None, target_window_ms=None)
+    cfg = tr.TrackerConfig(Subspace(train=8, block=4, floor=0.2, node_cap=6, subject_cap=3), selection=Selection(rate=None, window_ms=None))
     run = tr.track(fr.stage_frames(edges, shape), shape, cfg)
     seq = x.transpose(1, 2, 0, 3)
     bases, limits = [], []
@@ -323,19 +324,52 @@ def test_change_point_selection(spark):
     scores = spark.createDataFrame(rows, "cond string, reported_time bigint, changed boolean, final_score double")
 
     def points(**kw):
-        cfg = tr.TrackerConfig(sampling_rate=kw.pop("rate", None), alpha=5, **kw)
+        cfg = tr.TrackerConfig(Subspace(block=5), selection=Selection(**{"rate": None, **kw}))
         return [r.reported_time for r in tr.select_change_points(scores, cfg).collect()]
 
-    assert points(target_window_ms=None, threshold_k=1.0) == [20, 50]
-    assert points(target_window_ms=None, threshold_method="percentile", threshold_k=100.0) == [20]
-    assert points(target_window_ms=(25.0, 45.0), target_anchor_ms=42.0) == [30, 40, 50]
-    assert points(target_window_ms=None, threshold_method="percentile", threshold_k=0.0, min_cp_distance_ms=0.0) == [20, 50]
+    assert points(window_ms=None, k=1.0) == [20, 50]
+    assert points(window_ms=None, threshold="percentile", k=100.0) == [20]
+    assert points(window_ms=(25.0, 45.0), anchor_ms=42.0) == [30, 40, 50]
+    assert points(window_ms=None, threshold="percentile", k=0.0, apart_ms=0.0) == [20, 50]
 
 
-@pytest.mark.parametrize("bad", [
-    {"alpha": 0}, {"train_length": 0}, {"sparse_solver": "x"}, {"residual_tol": -1.0}, {"sampling_rate": 0.0},
-    {"target_window_ms": (1.0, 0.0)}, {"change_point_modes": (3,)}, {"epsilon": -1.0}, {"threshold_mode": "x"},
+@pytest.mark.parametrize("part, bad", [
+    (Subspace, {"block": 0}), (Subspace, {"train": 0}), (Recovery, {"solver": "x"}), (Recovery, {"residual": -1.0}), (Recovery, {"budget": -1.0}),
+    (Recovery, {"level_rule": "x"}), (Change, {"modes": (3,)}), (Change, {"rule": "x"}), (Selection, {"rate": 0.0}), (Selection, {"window_ms": (1.0, 0.0)}),
 ])
-def test_config_is_validated(bad):
+def test_config_is_validated(part, bad):
     with pytest.raises(ValueError):
-        tr.TrackerConfig(**bad)
+        part(**bad)
+
+
+def test_descent_of_a_stack_equals_single_frames():
+    """Each frame stops by itself, as a plain loop of the same steps does."""
+    rng = np.random.default_rng(5)
+    un, us = np.linalg.qr(rng.normal(size=(6, 2)))[0], np.linalg.qr(rng.normal(size=(4, 1)))[0]
+    pn, ps = np.eye(6) - un @ un.T, np.eye(4) - us @ us.T
+    stack = tr.project_out(rng.normal(size=(5, 6, 6, 4)) * np.array([0.01, 1, 3, 10, 0])[:, None, None, None], pn, ps)
+    for rec in (Recovery("fista"), Recovery("fista", penalty=0.3, budget=0.5, budget_relative=True)):
+        got = tr.proximal_descent(stack, pn, ps, rec)
+        for y, found in zip(stack, got):
+            level = rec.penalty if rec.penalty is not None else tr.sparse_level(y, rec)
+            x = z = np.zeros_like(y)
+            t = 1.0
+            for _ in range(rec.steps):
+                step = z - np.einsum("ai,ijs,jb,sc->abc", pn, z, pn, ps) + y
+                new = np.sign(step) * np.maximum(np.abs(step) - level, 0)
+                size, t_next = max(np.linalg.norm(x), 1.0), (1 + np.sqrt(1 + 4 * t * t)) / 2
+                z, gap, x, t = new + (t - 1) / t_next * (new - x), np.linalg.norm(new - x), new, t_next
+                if gap <= rec.settled * size or (rec.budget is not None and np.linalg.norm(tr.project_out(x, pn, ps) - y) <= rec.budget * np.linalg.norm(y)):
+                    break
+            np.testing.assert_allclose(found, x, atol=1e-10)
+
+
+def test_tracked_parts_are_not_trivial(spark):
+    """The low-rank part is not the data, and every split frame has a sparse part."""
+    x = block_tensor()
+    edges, shape = edges_of(spark, x)
+    cfg = tr.TrackerConfig(Subspace(train=8, block=4), selection=Selection(rate=None, window_ms=None))
+    rows = tr.track(fr.stage_frames(edges, shape), shape, cfg).separated().where("t >= 8").collect()
+    low, sparse = dense_of(rows, shape, "low_rank"), dense_of(rows, shape, "sparse")
+    assert np.abs(sparse).max() > 0.5 and np.abs(low).max() > 0.5
+    assert sum(np.abs(sparse[..., t]).max() > 0.1 for t in range(8, 40)) >= 12
