@@ -64,7 +64,7 @@ def rank_histograms(pooled: DataFrame, labels: DataFrame) -> DataFrame:
         zero.alias("intra"), zero.alias("inter"),
     )
     return (
-        counted.unionByName(blank).repartition(*KEYS).groupBy(*carry, "rank")
+        counted.unionByName(blank).groupBy(*carry, "rank")
         .agg(F.sum("intra").alias("intra"), F.sum("inter").alias("inter"))
     )
 

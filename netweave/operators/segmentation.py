@@ -16,6 +16,8 @@ from netweave.stage import stage
 INTERVAL_NAMES = ("pre", "core", "post")
 # Positions per block of the segment cost computation.
 BLOCK = 32
+# Positions per block of the search for the best starts.
+SCAN_BLOCK = 256
 
 
 def prefix_sums(features: DataFrame) -> DataFrame:
@@ -70,28 +72,62 @@ def _unzip(items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     )
 
 
+def best_starts(vectors: DataFrame, state: DataFrame, ends: tuple[int, int], min_size: int) -> DataFrame:
+    """(cond, at, total, start): for every end position the start with the least total before it plus segment cost.
+
+    ``state`` holds the totals of the start positions. A pair of position blocks is one task's array computation that keeps
+    one start for each end, so no segment's cost is ever stored.
+    """
+
+    def blocks(rows: DataFrame, *fields: str) -> DataFrame:
+        return rows.groupBy("cond", F.floor(F.col("pos") / SCAN_BLOCK).alias("block")).agg(
+            F.sort_array(F.collect_list(F.struct("pos", *fields))).alias("v")
+        )
+
+    starts = blocks(vectors.join(state.select("cond", F.col("at").alias("pos"), "total"), ["cond", "pos"]), "s", "q", "total")
+    tails = blocks(vectors.filter(F.col("pos").between(*ends)), "s", "q").select(
+        "cond", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("block"))).alias("block"), F.col("v").alias("tail")
+    )
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            found = []
+            for row in pdf.itertuples(index=False):
+                (end, es, eq), (start, ss, sq) = _unzip(row.tail), _unzip(row.v)
+                size = end[:, None] - start
+                moved = (es**2).sum(axis=1)[:, None] + (ss**2).sum(axis=1) - 2 * es @ ss.T
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    total = np.array([x["total"] for x in row.v]) + eq[:, None] - sq - moved / size
+                total = np.where(size >= min_size, total, np.inf)
+                best = total.argmin(axis=1)
+                rows = np.flatnonzero(np.isfinite(total[np.arange(len(end)), best]))
+                found.append(pd.DataFrame({"cond": row.cond, "at": end[rows], "total": total[rows, best[rows]], "start": start[best[rows]]}))
+            if found:
+                yield pd.concat(found)
+
+    best = tails.join(starts, ["cond", "block"]).mapInPandas(run, "cond string, at bigint, total double, start bigint")
+    return best.groupBy("cond", "at").agg(F.min(F.struct("total", "start")).alias("b")).select("cond", "at", "b.total", "b.start")
+
+
 def exact_segmentation(features: DataFrame, n_frames: int, n_bkps: int = 2, min_size: int = 10) -> DataFrame:
     """Boundaries minimising the total squared error: (cond, sse, boundaries).
 
-    One relational dynamic-programming round per segment; ties take the earliest start.
+    One round per segment; ties take the earliest start. The last round looks at the last position only.
     No row comes back when the frames cannot hold ``n_bkps + 1`` segments.
     """
     n_segments = n_bkps + 1
     min_size = max(1, min(min_size, n_frames // n_segments))
-    costs = stage(segment_costs(stage(prefix_vectors(features)), min_size))
-    state = costs.filter("start = 0").select(
-        "cond", F.col("end").alias("at"), F.col("cost").alias("total"), F.array().cast("array<bigint>").alias("path")
+    vectors = stage(prefix_vectors(features))
+    whole = F.aggregate("s", F.lit(0.0), lambda a, x: a + x * x)
+    state = vectors.filter(F.col("pos") >= min_size).select(
+        "cond", F.col("pos").alias("at"), (F.col("q") - whole / F.col("pos")).alias("total"), F.array().cast("array<bigint>").alias("path")
     )
     for k in range(2, n_segments + 1):
-        last = k == n_segments
-        step = costs.filter(F.col("start") >= (k - 1) * min_size)
-        step = step.filter(
-            F.col("end") == n_frames if last else F.col("end") <= n_frames - (n_segments - k) * min_size
-        )
-        step = step.join(state.withColumnRenamed("at", "start"), ["cond", "start"])
-        best = F.min(F.struct((F.col("total") + F.col("cost")).alias("total"), "start", "path")).alias("b")
-        state = step.groupBy("cond", F.col("end").alias("at")).agg(best).select(
-            "cond", "at", "b.total", F.concat("b.path", F.array("b.start")).alias("path")
+        state = stage(state)
+        ends = (n_frames, n_frames) if k == n_segments else (k * min_size, n_frames - (n_segments - k) * min_size)
+        best = best_starts(vectors, state, ends, min_size)
+        state = best.join(state.select("cond", F.col("at").alias("start"), "path"), ["cond", "start"]).select(
+            "cond", "at", "total", F.concat("path", F.array("start")).alias("path")
         )
     return state.filter(F.col("at") == n_frames).select(
         "cond", F.col("total").alias("sse"), F.col("path").alias("boundaries")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from netweave.functions import scalar as sc
 from netweave.operators import detectors as dt
 from netweave.operators import frames as fr
+from netweave.operators import lowrank as lr
 from netweave.operators import graphs as gr
 from netweave.operators import segmentation as seg
 from netweave.operators import tensor as tn
 from netweave.operators import tracker as tr
-from netweave.operators.tracker_config import Recovery, Selection, Subspace
+from netweave.operators.tracker_config import Change, Recovery, Selection, Subspace
 from netweave.plans import catalog as cat
 from netweave.plans import study
 from netweave.plans.catalog import query, rounded
@@ -362,6 +365,43 @@ def tracker_change_points(spark, d):
     return run.change_point_modes().select("reported_time", "mode", *rounded(5, "score"))
 
 
+@query("tracker_events")
+def tracker_events(spark, d):
+    """What every update did to each mode: directions that came and went."""
+    shape = nw.trade_shape(spark, d)
+    run = tr.track(fr.stage_frames(nw.trade_edges(spark, d), shape), shape, FREE_TRACKER)
+    return run.events.drop("cond")
+
+
+@query("tracker_ranks")
+def tracker_ranks(spark, d):
+    """Rank history: ranks after training, then after every update."""
+    shape = nw.trade_shape(spark, d)
+    run = tr.track(fr.stage_frames(nw.trade_edges(spark, d), shape), shape, FREE_TRACKER)
+    first = [(0, *(b.shape[1] for b in run.versions.bases[0][c])) for c in shape.conds]
+    initial = spark.createDataFrame(first, "update_time bigint, node_rank bigint, subject_rank bigint")
+    return initial.unionByName(run.scores.select("update_time", "node_rank", "subject_rank"))
+
+
+@query("tracker_diagnostics")
+def tracker_diagnostics(spark, d):
+    """Per month: energies of both parts, residual, and size and change of the sparse support."""
+    shape = nw.trade_shape(spark, d)
+    frames = fr.stage_frames(nw.trade_edges(spark, d), shape)
+    run = tr.track(frames, shape, FREE_TRACKER)
+    found = tr.support_change(tr.frame_diagnostics(frames, shape, run.versions, FREE_TRACKER))
+    return found.select("t", F.size("support").alias("support"), *rounded(4, "sparse_energy", "low_rank_energy"), *rounded(6, "error", "jaccard"))
+
+
+@query("tracker_distance_rule")
+def tracker_distance_rule(spark, d):
+    """Updates that count as changes because a subspace moved far enough."""
+    shape = nw.trade_shape(spark, d)
+    cfg = dataclasses.replace(FREE_TRACKER, change=Change(rule="distance", distance=0.15))
+    run = tr.track(fr.stage_frames(nw.trade_edges(spark, d), shape), shape, cfg)
+    return run.scores.select("update_time", "reported_time", "changed", *rounded(5, "subspace_angle", "final_score"))
+
+
 @query("tracker_low_rank")
 def tracker_low_rank(spark, d):
     """Totals of the low-rank and the sparse part by subject and month."""
@@ -470,3 +510,29 @@ def study_summary(spark, d):
     return out.select(
         "interval", "start_frame", "end_frame", "best_k", *rounded(6, "best_selection_score", "best_u", "best_q")
     )
+
+
+def _detected(spark, d):
+    shape = nw.trade_shape(spark, d)
+    edges = seg.stage(nw.planted_edges(spark, d))
+    low = seg.stage(lr.hosvd_low_rank(fr.stage_frames(edges, shape), shape, STUDY.ranks))
+    return low, seg.stage(study.detector_table(edges, shape, MONTHS, STUDY)), shape
+
+
+@query("detector_communities")
+def detector_communities(spark, d):
+    """Communities between the change points of every detector, summed up by method."""
+    low, points, shape = _detected(spark, d)
+    out = study.communities_by_detector(low, points, shape, STUDY)
+    return out.select("method", "interval", "start_frame", "end_frame", "best_k", *rounded(6, "best_selection_score", "best_u", "best_q"))
+
+
+@query("detected_consensus")
+def detected_consensus(spark, d):
+    """Consensus of the frames' communities within the detected intervals of the low-rank tensor."""
+    low, points, shape = _detected(spark, d)
+    _, found, _ = study.consensus_table(low, points, shape)
+    name = F.split("interval", r"\|")
+    return found.select(
+        name[0].alias("algorithm"), name[1].alias("interval"), F.array_max("comms").alias("last_community"), F.round("score", 6).alias("score"), "method",
+    )

@@ -78,7 +78,7 @@ def nearest_correct(spark, d):
     return mt.nearest_correct(nw.trial_events(spark, d)).select("subj", "event_id", "sample", "match_id", "gap")
 
 
-@query("greedy_trial_match", f"""WITH RECURSIVE {cat.EVENTS},
+GREEDY = f"""WITH RECURSIVE {cat.EVENTS},
  wrong AS (SELECT *, row_number() OVER (PARTITION BY subj ORDER BY sample, event_id) AS k FROM ev WHERE code = 'Incorrect'),
  fine AS (SELECT * FROM ev WHERE code = 'Correct'),
  m(subj, k, event_id, match_id, used) AS (
@@ -89,8 +89,10 @@ def nearest_correct(spark, d):
       arg_min(f.event_id, struct_pack(g := abs(w.sample - f.sample), s := f.sample, i := f.event_id)) AS pick
     FROM m JOIN wrong w ON w.subj = m.subj AND w.k = m.k + 1
       JOIN fine f ON f.subj = m.subj AND NOT list_contains(m.used, f.event_id)
-    GROUP BY 1, 2, 3, 4))
-SELECT subj, event_id, match_id FROM m WHERE k > 0""")
+    GROUP BY 1, 2, 3, 4))"""
+
+
+@query("greedy_trial_match", f"{GREEDY} SELECT subj, event_id, match_id FROM m WHERE k > 0")
 def greedy_trial_match(spark, d):
     return mt.balance_trials(nw.trial_events(spark, d)).select("subj", "event_id", "match_id")
 
@@ -116,6 +118,31 @@ def epochs(spark, d):
     return cut.select("subj", "trial", "ch", total.alias("total"), F.get("v", F.lit(0)).alias("head"))
 
 
+def hourly_signal(spark, d):
+    return table(spark, d, "events").groupBy(
+        (F.col("user_id") % 8).alias("subj"), F.col("event_type").alias("ch"), nw.event_hour().alias("sample")
+    ).agg(F.count("*").alias("v"))
+
+
+@query("balanced_epochs", f"""{GREEDY},
+ sig AS (SELECT user_id % 8 AS subj, event_type AS ch, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 3600000000 AS sample,
+    count(*) AS v FROM events GROUP BY 1, 2, 3),
+ both_ends AS (SELECT event_id AS trial, 'Incorrect' AS code FROM m WHERE k > 0 UNION ALL
+   SELECT match_id, 'Correct' FROM m WHERE k > 0 AND match_id IS NOT NULL),
+ cue AS (SELECT trial, both_ends.code, subj % 8 AS subj, sample // 3600 AS onset FROM both_ends JOIN ev ON event_id = trial
+   WHERE trial IN (SELECT event_id FROM m WHERE match_id IS NOT NULL UNION ALL SELECT match_id FROM m)),
+ cut AS (SELECT cue.subj, trial, code, ch, v FROM cue JOIN sig ON cue.subj = sig.subj AND sig.sample BETWEEN onset - 2 AND onset + 2)
+SELECT subj, code, trial, ch, sum(v)::BIGINT AS total FROM cut GROUP BY 1, 2, 3, 4 HAVING count(*) = 5""")
+def balanced_epochs(spark, d):
+    """Epochs of the errors and of the Correct trials matched with them, as many of either."""
+    kept = mt.balanced_events(mt.balance_trials(nw.trial_events(spark, d)))
+    cues = kept.select((F.col("subj") % 8).alias("subj"), F.col("event_id").alias("trial"), F.floor(F.col("sample") / 3600).alias("sample"))
+    cut = sg.cut_epochs(hourly_signal(spark, d), cues, 2, 2)
+    total = F.aggregate("v", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    named = cut.join(kept.select(F.col("event_id").alias("trial"), "code"), "trial")
+    return named.select("subj", "code", "trial", "ch", total.alias("total"))
+
+
 @query("band_pass", f"""WITH {cat.BAND} SELECT subj, cond, trial, ch, t, round(v, 6) AS v FROM y""")
 def band_pass(spark, d):
     filtered = nw.trial_arrays(spark, d).withColumn("y", sg.band_pass(F.col("v"), RATE, *BAND))

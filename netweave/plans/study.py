@@ -109,6 +109,34 @@ def detector_table(edges: DataFrame, shape: TensorShape, clock: Callable[[Column
     return out
 
 
+def detected_intervals(points: DataFrame, shape: TensorShape) -> DataFrame:
+    """(cond, interval, start, end) of every detector; the interval is named method|pre and so on."""
+    sets = points.groupBy("cond", "method").agg(F.array_sort(F.collect_set("frame")).alias("boundaries"))
+    keyed = sets.select(F.concat_ws("|", "method", "cond").alias("cond"), "boundaries")
+    return stage(
+        seg.intervals_from_points(keyed, shape.n_frames).select(
+            F.split("cond", r"\|")[1].alias("cond"),
+            F.concat_ws("|", F.split("cond", r"\|")[0], "interval").alias("interval"), "start", "end",
+        )
+    )
+
+
+def communities_by_detector(low_rank: DataFrame, points: DataFrame, shape: TensorShape, cfg: StudyConfig) -> DataFrame:
+    """Consensus communities of the intervals of every detector, all at once: one row per method and interval.
+
+    ``points(cond, method, frame)``; method, interval, its frames, the chosen number of communities and its scores.
+    """
+    spans = detected_intervals(points, shape)
+    graphs = stage(tn.interval_graphs(low_rank, spans))
+    _, quality, _ = cm.select_communities(
+        graphs, shape, k_max=cfg.k_range[1], k_min=cfg.k_range[0], min_size=cfg.min_community,
+        criterion=cfg.criterion, on_disconnected=cfg.on_disconnected,
+    )
+    found = summary_table(quality, spans, lambda t: t.cast("double"))
+    name = F.split("interval", r"\|")
+    return found.withColumn("method", name[0]).withColumn("interval", name[1])
+
+
 def _arbitrated_by_interval(stack, rows):
     return cm.arbitrated(stack, [cm.interval_profile(name.split("|")[-1]) for name in rows.interval])
 
@@ -120,14 +148,7 @@ def consensus_table(low_rank: DataFrame, points: DataFrame, shape: TensorShape)
     ``points(cond, method, frame)``; the frame labels are computed once for all methods.
     """
     labelled = stage(cm.frame_communities(low_rank, shape))
-    sets = points.groupBy("cond", "method").agg(F.array_sort(F.collect_set("frame")).alias("boundaries"))
-    keyed = sets.select(F.concat_ws("|", "method", "cond").alias("cond"), "boundaries")
-    spans = stage(
-        seg.intervals_from_points(keyed, shape.n_frames).select(
-            F.split("cond", r"\|")[1].alias("cond"),
-            F.concat_ws("|", F.split("cond", r"\|")[0], "interval").alias("interval"), "start", "end",
-        )
-    )
+    spans = detected_intervals(points, shape)
     agreement = stage(cm.interval_agreement(labelled, spans, shape))
     packed = cm.pack_graphs(agreement, KEYS, shape.n_nodes)
     found = cm.map_graphs(

@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import dense_of, edges_of, tensor
 from pyspark.sql import functions as F
@@ -373,3 +374,15 @@ def test_tracked_parts_are_not_trivial(spark):
     low, sparse = dense_of(rows, shape, "low_rank"), dense_of(rows, shape, "sparse")
     assert np.abs(sparse).max() > 0.5 and np.abs(low).max() > 0.5
     assert sum(np.abs(sparse[..., t]).max() > 0.1 for t in range(8, 40)) >= 12
+
+
+def test_long_signal_is_segmented(spark):
+    """20,000 frames: no table of segments, one start kept for each end and block pair."""
+    rng = np.random.default_rng(8)
+    level = np.repeat([0.0, 3.0, -1.0], [7_001, 6_999, 6_000])
+    t = np.arange(20_000)
+    rows = pd.concat([
+        pd.DataFrame({"cond": "c", "i": 0, "j": j, "t": t, "z": level * (j + 1) + rng.normal(0, 0.1, t.size)}) for j in range(1, 3)
+    ])
+    found = seg.exact_segmentation(spark.createDataFrame(rows, "cond string, i bigint, j bigint, t bigint, z double"), 20_000).first()
+    assert found.boundaries == [7_001, 14_000]
