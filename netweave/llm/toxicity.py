@@ -24,7 +24,8 @@ class ToxicityConfig:
     window: int = 32  # words compressed at once
     ordinary_bytes: int = 32768  # dictionary sizes
     toxic_bytes: int = 2048
-    min_docs: int = 3  # toxic documents that must hold a word before it may enter the toxic dictionary
+    min_docs: int = 3  # toxic documents that must hold a word before it may enter the toxic dictionary,
+    min_share: float = 0.01  # and their least share
     min_ratio: float = 20.0  # and how much larger its share of toxic than of ordinary documents must be
     max_toxic: int = 1500  # bounds of the training sample, in documents
     max_ordinary: int = 3000
@@ -99,6 +100,27 @@ def _samples(words: list[np.ndarray]) -> list[bytes]:
     return [_coded(w[k:k + 128]) for w in words for k in range(0, len(w), 128)]
 
 
+def _unlike(docs: list[np.ndarray], known: np.ndarray, size: int = 8) -> list[np.ndarray]:
+    """The documents without later near copies, which would make any of their words look usual.
+
+    Near copies share half or more of the ``size`` smallest hashes of the words that no ordinary document holds.
+    """
+    kept, holders = [], {}
+    for doc in docs:
+        at = np.minimum(np.searchsorted(known, doc), len(known) - 1)
+        marks = doc[known[at] != doc][:size].tolist() if len(known) else doc[:size].tolist()
+        shared: dict[int, int] = {}
+        for m in marks:
+            for k in holders.get(m, ()):
+                shared[k] = shared.get(k, 0) + 1
+        if marks and max(shared.values(), default=0) >= max(2, len(marks) / 2):
+            continue
+        for m in marks:
+            holders.setdefault(m, []).append(len(kept))
+        kept.append(doc)
+    return kept
+
+
 def train(texts: list[str], labels: list[int], keys: list[int], config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
     """Dictionaries from three quarters of the documents, calibration on the rest (dealt by ``keys``).
 
@@ -117,11 +139,13 @@ def train(texts: list[str], labels: list[int], keys: list[int], config: Toxicity
     ordinary = [d for d, f, y in zip(distinct, fit, labels) if f and not y]
     toxic = [d for d, f, y in zip(distinct, fit, labels) if f and y]
     known, usual = np.unique(np.concatenate(ordinary), return_counts=True)
+    toxic = _unlike(toxic, known)
     found, held = np.unique(np.concatenate(toxic), return_counts=True)
     at = np.minimum(np.searchsorted(known, found), max(0, len(known) - 1))
     usual = np.where(known[at] == found, usual[at], 0) if len(known) else np.zeros(len(found))
     rare = held / len(toxic) >= config.min_ratio * usual / len(ordinary)
-    telling = found[(held >= min(config.min_docs, len(toxic))) & rare]
+    enough = max(config.min_docs, config.min_share * len(toxic))
+    telling = found[(held >= min(enough, len(toxic))) & rare]
     toxic = [np.intersect1d(d, telling) for d in toxic]
     model = ToxicityModel(
         config, _dictionary(config.ordinary_bytes, _samples(ordinary), 64),
