@@ -534,5 +534,6 @@ def detected_consensus(spark, d):
     _, found, _ = study.consensus_table(low, points, shape)
     name = F.split("interval", r"\|")
     return found.select(
-        name[0].alias("algorithm"), name[1].alias("interval"), F.array_max("comms").alias("last_community"), F.round("score", 6).alias("score"), "method",
+        name[0].alias("method"), name[1].alias("interval"), F.array_max("comms").alias("last_community"), F.round("score", 6).alias("score"),
+        F.col("method").alias("algorithm"),
     )
