@@ -13,8 +13,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
     ``edges`` has bigint columns a, b; direction, loops and repeats don't matter, rows with nulls are left out. Each
     round joins the edge table with one map-side combined minimum per node, as a plain join of two stored
-    tables whose hot nodes adaptive execution splits. Rounds are logarithmic in practice; they end when a
-    round changes no edge. Every round is a stored table, so a lost executor repeats one round.
+    tables whose hot nodes adaptive execution splits. Rounds are logarithmic in practice; they end when the
+    links form stars around their smallest nodes. Every round is a stored table, so a lost executor repeats one round.
     """
     edges = _stored(edges.where("a is not null and b is not null and a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
