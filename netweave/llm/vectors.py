@@ -1,7 +1,8 @@
-"""Near-duplicate vectors by sorted projection passes."""
+"""Near-duplicate vectors by sorted projection passes; vectors too dense for their windows meet all with all."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -25,13 +26,20 @@ class VectorConfig:
     passes: int | None = None  # None: as many as `recall` needs
     recall: float = 0.999  # chance that some pass brings a pair just at the threshold together
     block: int = 1024  # vectors multiplied at once when links are counted
+    sort_block: int = 2048  # vectors of a pass compared in one go, besides the windows at both ends
+    rest_block: int = 4096  # vectors multiplied at once where windows are too narrow
+    rest_rows: int = 16384  # so few vectors meet all with all rather than in more passes
     seed: int = 11
 
 
+_RUN = 1_000_003  # a run is pass * _RUN + dimension
+
+
 def passes_needed(vectors: int, config: VectorConfig) -> int:
-    """Passes after which a pair at the threshold has met in a window with the chance ``recall``.
+    """Passes after which a pair at the threshold has met in a window with the chance ``recall`` if vectors lie evenly.
 
-    A pair is neighbours once it agrees in the first log2(vectors / window) random signs of a pass.
+    Such a pair is neighbours once it agrees in the first log2(vectors / window) random signs of a pass. How far windows really
+    reach is measured in every pass (``window_links``).
     """
     if config.passes:
         return config.passes
@@ -99,19 +107,86 @@ def _links_in_order(runs: np.ndarray, keys: np.ndarray, vecs: list[bytes], confi
     return out
 
 
-def window_links(distinct: DataFrame, config: VectorConfig) -> DataFrame:
-    """Stored (a, b): verified links from all passes, a forest of them for each stretch of a pass.
+def _shared_signs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Leading bits that two arrays of 64-bit codes have in common."""
+    differ = (a ^ b).view(np.uint64)
+    high, low = differ >> np.uint64(32), differ & np.uint64(0xFFFFFFFF)
+    return 64 - np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], np.frexp(low.astype(np.float64))[1])
 
-    All passes are one sort: rows go by (pass, dimension, concatenated random signs). Windows that reach over the border of two sort
-    partitions are compared from the rows next to it, at most ``window`` from either side.
+
+def _depths(runs: np.ndarray, codes: np.ndarray, own: range, window: int) -> np.ndarray:
+    """For each row of ``own``: how many leading signs a row must share with it to be sure to lie in its window.
+
+    That is one more than the row just outside the window shares, on the side where it shares more; 0 where the run ends before.
     """
-    spark = distinct.sparkSession
-    dims = sorted(r.dim for r in distinct.select("dim").distinct().collect())
-    n = passes_needed(distinct.count(), config)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at, out = np.arange(own.start, own.stop), np.zeros(len(own), dtype=np.int64)
+    for outside in (at - window - 1, at + window + 1):
+        there = (outside >= 0) & (outside < len(runs))
+        there[there] = runs[outside[there]] == runs[at[there]]
+        out[there] = np.maximum(out[there], 1 + _shared_signs(codes[outside[there]], codes[at[there]]))
+    return out
+
+
+def _together(heights: np.ndarray, depths: np.ndarray, threshold: float) -> np.ndarray:
+    """The chance that a vector at the threshold from a row shares its first ``depths`` signs, given the row's heights over the planes.
+
+    A height h over a Gaussian plane says nothing of the plane's slope across the row, so a sign is shared with the chance Phi(h * cot(angle)).
+    This holds wherever the other rows lie; the average over all planes would not, as planes that cut a dense cone also cut its pairs.
+    """
+    z = np.abs(heights) * threshold / math.sqrt(max(1e-18, 1 - threshold * threshold)) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * z)  # Abramowitz and Stegun 7.1.26, within 2e-7
+    series = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    shared = np.cumprod(1 - series * np.exp(-z * z) / 2, axis=1)
+    shared = np.concatenate([np.ones((len(z), 1)), shared, np.zeros((len(z), 1))], axis=1)  # 65 signs: equal codes fill the window
+    return shared[np.arange(len(z)), depths]
+
+
+def _placed(order: DataFrame) -> DataFrame:
+    """Stored (run, code, key, place): ``order`` with the position of every row in the sort by run, code and key.
+
+    However few rows a sort partition holds, positions go on over its borders; the driver sees one count a partition.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            place = pa.array(np.arange(seen, seen + batch.num_rows, dtype=np.int64))
+            seen += batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(batch.num_rows, part, dtype=np.int32)), place], ["run", "code", "key", "part", "place"]
+            )
+
+    parts = int(order.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stage(order.repartitionByRange(parts, "run", "code", "key").sortWithinPartitions("run", "code", "key").mapInArrow(
+        number, "run bigint, code bigint, key bigint, part int, place bigint"
+    ))
+    before, starts = 0, {}
+    for r in sorted(rows.groupBy("part").count().collect()):
+        starts[r["part"]] = before
+        before += r["count"]
+
+    def shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start = np.array([starts[p] for p in batch.column(3).to_numpy()], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(batch.column(4).to_numpy() + start)], ["run", "code", "key", "place"])
+
+    return rows.mapInArrow(shift, "run bigint, code bigint, key bigint, place bigint")
+
+
+def _pass_links(vectors: DataFrame, dims: list[int], passes: int, again: int, config: VectorConfig) -> DataFrame:
+    """Stored (a, b, gain): verified links (a, b) of neighbours in ``passes`` sorts, and for every key (a) and pass the log of the
+    chance (gain) that the pass keeps a pair just at the threshold apart.
+
+    All passes are one sort: rows go by (pass, dimension, concatenated random signs). The sort is cut by position into equal
+    blocks, and every block also gets the ``window + 1`` rows on either side.
+    """
+    seed, w, size = [config.seed, again], config.window, max(config.sort_block, 2 * config.window)
+
+    def drawn() -> dict[int, np.ndarray]:
+        return {d: np.random.default_rng([*seed, d]).standard_normal((passes, d, 64)) for d in dims}
 
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = {d: np.random.default_rng([config.seed, d]).standard_normal((n, d, 64)) for d in dims}
+        planes = drawn()
         weights = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
         for batch in batches:
             dim, vecs = batch.column(1).to_numpy(), batch.column(2).to_pylist()
@@ -120,68 +195,171 @@ def window_links(distinct: DataFrame, config: VectorConfig) -> DataFrame:
                 for lo in range(0, len(at), 2048):
                     some = at[lo:lo + 2048]
                     x = np.frombuffer(b"".join(vecs[k] for k in some), dtype=np.float64).reshape(len(some), -1)
-                    for p in range(n):
+                    for p in range(passes):
                         code = ((x @ planes[d][p] > 0) * weights).sum(axis=1, dtype=np.uint64)
                         order = (code ^ np.uint64(1 << 63)).view(np.int64)  # signed order as unsigned
                         yield pa.RecordBatch.from_arrays([
-                            pa.array(np.full(len(some), p * 1_000_003 + int(d), dtype=np.int64)), pa.array(order),
-                            batch.column(0).take(pa.array(some)), batch.column(2).take(pa.array(some)),
-                        ], ["run", "code", "key", "vec"])
+                            pa.array(np.full(len(some), p * _RUN + int(d), dtype=np.int64)), pa.array(order),
+                            batch.column(0).take(pa.array(some)),
+                        ], ["run", "code", "key"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, w = TaskContext.get().partitionId(), config.window
-        runs, keys, vecs = np.zeros(0, np.int64), np.zeros(0, np.int64), []
-        head: list[tuple] = []
-        for batch in batches:
-            first = len(runs)
-            runs = np.concatenate([runs, batch.column(0).to_numpy()])
-            keys = np.concatenate([keys, batch.column(2).to_numpy()])
-            vecs += batch.column(3).to_pylist()
-            links = _links_in_order(runs, keys, vecs, config, first)
-            if links:
-                a, b = zip(*links)
-                yield _edges(a, b)
-            if len(head) < w:
-                head += list(zip(runs[first:], keys[first:], vecs[first:]))[: w - len(head)]
-            runs, keys, vecs = runs[-w:], keys[-w:], vecs[-w:]
-        border = [(part, k, *row) for k, row in enumerate(head)] + [(part + 1, k - w, *row) for k, row in enumerate(zip(runs, keys, vecs))]
-        if border:
-            columns = list(zip(*border))
+        planes = drawn()
+        for rows in _grouped(batches):
+            number = rows.column("block")[0].as_py()
+            place, runs, codes, keys = (rows.column(c).to_numpy() for c in ("place", "run", "code", "key"))
+            own = range(*np.searchsorted(place, [number * size, (number + 1) * size]).tolist())
+            vecs = rows.column("vec").to_pylist()[:own.stop]
+            links = _links_in_order(runs[:own.stop], keys[:own.stop], vecs, config, own.start)
+            depths, gain = _depths(runs, codes, own, w), np.zeros(len(own))
+            for run in np.unique(runs[own.start:own.stop]).tolist():
+                at = np.flatnonzero(runs[own.start:own.stop] == run)
+                p, d = divmod(run, _RUN)
+                x = np.frombuffer(b"".join(vecs[own.start + k] for k in at), dtype=np.float64).reshape(len(at), d)
+                with np.errstate(divide="ignore"):
+                    gain[at] = np.log1p(-_together(x @ planes[d][p], depths[at], config.threshold))
+            a, b = zip(*links) if links else ((), ())
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(len(border), pa.int64()), pa.nulls(len(border), pa.int64()), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()),
-                pa.array([int(x) for x in columns[2]], pa.int64()), pa.array([int(x) for x in columns[3]], pa.int64()), pa.array(columns[4], pa.binary()),
-            ], _PASSED)
-
-    def _edges(a, b) -> pa.RecordBatch:
-        none = len(a)
-        return pa.RecordBatch.from_arrays([
-            pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.int32()),
-            pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary()),
-        ], _PASSED)
-
-    def over_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+                pa.array([*a, *keys[own.start:own.stop].tolist()], pa.int64()), pa.array([*b, *[None] * len(own)], pa.int64()),
+                pa.array([*[None] * len(a), *gain.tolist()], pa.float64()),
+            ], ["a", "b", "gain"])
+
+    order = _placed(vectors.select("key", "dim", "vec").mapInArrow(signs, "run bigint, code bigint, key bigint"))
+    first, last = (F.floor((F.col("place") + d) / size).cast("long") for d in (-w - 1, w + 1))
+    places = order.withColumn("block", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("long")), last)))
+    dealt = places.join(vectors.select("key", "vec"), "key").select("block", "place", "run", "code", "key", "vec")
+    return stage(dealt.repartition("block").sortWithinPartitions("block", "place").mapInArrow(compare, "a bigint, b bigint, gain double"))
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each value of the first column, one table after the other; they come sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        names = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(names)) + 1).tolist(), len(names)]
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            if lo < hi:
+                if held and held[0].column(0)[0].as_py() != names[lo]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _spanning(linked: np.ndarray, same: bool) -> Iterator[tuple[int, int]]:
+    """A forest of the links between the rows and the columns of a table of booleans; ``same``: both are the same vectors."""
+    across = linked if same else np.ascontiguousarray(linked.T)
+    fresh = [np.ones(linked.shape[0], dtype=bool), np.ones(linked.shape[1], dtype=bool)]
+    if same:
+        fresh[1] = fresh[0]
+    for root in range(linked.shape[0]):
+        if not fresh[0][root]:
+            continue
+        fresh[0][root] = False
+        waiting = [(0, root)]
+        while waiting:
+            side, k = waiting.pop()
+            found = np.flatnonzero((across if side else linked)[k] & fresh[1 - side])
+            fresh[1 - side][found] = False
+            for j in found.tolist():
+                waiting.append((1 - side, j))
+                yield (j, k) if side else (k, j)
+
+
+def _all_links(vectors: DataFrame, dims: list[int], config: VectorConfig) -> DataFrame:
+    """Stored (a, b): a forest of the links within each pair of blocks, so that every link's ends are joined.
+
+    Vectors lie around their nearest pivot; two groups whose pivots are further apart than their radii and the threshold's
+    angle allow have no link and don't meet. What is left meets in pairs of blocks.
+    """
+    spark, n = vectors.sparkSession, vectors.count()
+    block = min(config.rest_block, max(256, -(-n // 12)))
+    drawn = vectors.orderBy(F.xxhash64("key", F.lit(config.seed)), "key").limit(min(256, -(-n // block))).select("dim", "vec").collect()
+    pivots = {d: np.array([np.frombuffer(r.vec) for r in drawn if r.dim == d]) for d in dims}
+
+    def angles(cosines: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(cosines, -1, 1))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for border, *row in zip(*[c.to_pylist() for c in batch.columns]):
-                held.setdefault(border, []).append(row)
-        for rows in held.values():
-            rows.sort(key=lambda r: r[0])
-            runs, keys, vecs = np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [r[3] for r in rows]
-            links = _links_in_order(runs, keys, vecs, config)
+            dim, vecs = batch.column(1).to_numpy(), batch.column(2).to_pylist()
+            group, angle = np.zeros(len(dim), dtype=np.int64), np.full(len(dim), math.pi)
+            for d in np.unique(dim):
+                at = np.flatnonzero(dim == d)
+                if len(pivots[d]):
+                    to = np.frombuffer(b"".join(vecs[k] for k in at), dtype=np.float64).reshape(len(at), -1) @ pivots[d].T
+                    group[at], angle[at] = to.argmax(axis=1), angles(to.max(axis=1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group), pa.array(angle)], ["key", "dim", "vec", "near", "angle"])
+
+    near = stage(vectors.select("key", "dim", "vec").mapInArrow(deal, "key bigint, dim int, vec binary, near bigint, angle double"))
+    groups = sorted(near.groupBy("dim", "near").agg(F.max("angle"), F.ceil(F.count("*") / block).cast("long")).collect())
+    reach = math.acos(min(1.0, config.threshold)) + 1e-6  # rounding of angles
+    meet = []
+    for k, (d, g, r, m) in enumerate(groups):
+        for d2, h, r2, m2 in groups[k:]:
+            if d2 != d:
+                break
+            if h == g or float(angles(pivots[d][g] @ pivots[d][h])) <= r + r2 + reach:
+                meet.append((d, g, h, m, m2))
+    shape = "dim int, near bigint, other bigint, n bigint, m bigint"
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    pairs = stage(spark.createDataFrame(meet, shape).select("*", spread("n").alias("x")).select("*", spread("m").alias("y")).where(
+        "near <> other or x <= y"
+    ).withColumn("same", F.expr("near = other and x = y")).withColumn("pair", F.xxhash64("dim", "near", "other", "x", "y")))
+    sizes = spark.createDataFrame([(d, g, m) for d, g, _, m in groups], "dim int, near bigint, n bigint")
+    placed = stage(near.join(F.broadcast(sizes), ["dim", "near"]).select(
+        "dim", "near", F.pmod(F.xxhash64("key"), F.col("n")).alias("x"), "key", "vec"
+    ))
+    shown = ["pair", "side", "key", "vec"]
+    left = placed.join(pairs.select("dim", "near", "x", "pair", F.when(F.col("same"), 2).otherwise(0).alias("side")), ["dim", "near", "x"]).select(*shown)
+    right = placed.join(pairs.where("not same").select(
+        "dim", F.col("other").alias("near"), F.col("y").alias("x"), "pair", F.lit(1).alias("side")
+    ), ["dim", "near", "x"]).select(*shown)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches):
+            side, keys = rows.column("side").to_numpy(), rows.column("key").to_numpy()
+            x = np.frombuffer(b"".join(rows.column("vec").to_pylist()), dtype=np.float64).reshape(len(keys), -1)
+            one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+            if not len(one) or not len(two):
+                continue
+            linked = np.concatenate([x[one[k:k + 512]] @ x[two].T >= config.threshold for k in range(0, len(one), 512)])
+            same = bool((side == 2).all())
+            if same:
+                linked |= linked.T
+            links = list(_spanning(linked, same))
             if links:
-                a, b = zip(*links)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    coded = distinct.select("key", "dim", "vec").mapInArrow(signs, "run bigint, code bigint, key bigint, vec binary")
-    sorted_rows = coded.repartitionByRange(parts, "run", "code", "key").sortWithinPartitions("run", "code", "key")
-    passed = stage(sorted_rows.mapInArrow(compare, "a bigint, b bigint, border int, place int, run bigint, key bigint, vec binary"))
-    borders = passed.where("border is not null").select("border", "place", "run", "key", "vec").repartition("border").mapInArrow(
-        over_borders, "a bigint, b bigint"
-    )
-    return stage(passed.where("a is not null").select("a", "b").unionByName(borders).distinct())
+                a, b = np.array(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(keys[one[a]]), pa.array(keys[two[b]])], ["a", "b"])
 
+    dealt = left.unionByName(right).repartition("pair").sortWithinPartitions("pair")
+    return stage(dealt.mapInArrow(solve, "a bigint, b bigint"))
 
-_PASSED = ["a", "b", "border", "place", "run", "key", "vec"]
+
+def window_links(distinct: DataFrame, config: VectorConfig) -> DataFrame:
+    """Stored (a, b): verified links that join the ends of every link, each with at least the chance ``recall``.
+
+    Passes over all vectors come first. Each measures for every vector how many leading signs its windows really cover; a pair is
+    settled once the chance that all passes kept it apart is at most 1 - ``recall`` for either vector. Vectors that lie too
+    densely for that are compared with one another: by more passes while these settle half of them or more, then all with all.
+    """
+    dims = sorted(r.dim for r in distinct.select("dim").distinct().collect())
+    rest, n, last, found = distinct.select("key", "dim", "vec", F.lit(0.0).alias("gain")), distinct.count(), None, []
+    while n > 1:
+        if last and (n <= config.rest_rows or n > last / 2):
+            found.append(_all_links(rest, dims, config))
+            break
+        done = _pass_links(rest, dims, passes_needed(n, config), len(found), config)
+        found.append(done.where("b is not null").select("a", "b"))
+        gains = done.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("gain").alias("more"))
+        rest = stage(rest.join(gains, "key").withColumn("gain", F.col("gain") + F.col("more")).where(
+            F.col("gain") > math.log(1 - config.recall)
+        ).select("key", "dim", "vec", "gain"))
+        last, n = n, rest.count()
+    if not found:
+        return distinct.sparkSession.createDataFrame([], "a bigint, b bigint")
+    return stage(functools.reduce(DataFrame.unionByName, found).distinct())
 
 
 def count_links(members: DataFrame, config: VectorConfig) -> DataFrame:

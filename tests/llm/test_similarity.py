@@ -167,3 +167,37 @@ def test_vectors_recall_on_the_table(spark, medium):
     found = {r.vec_id: r.n_links for r in vectors.near_duplicates(spark.read.parquet(f"{medium}/embeddings.parquet")).collect()}
     want = {i: n for i, n, _ in plain_vectors(rows)}
     assert sum(found.values()) >= 0.9 * sum(want.values()) and all(found[i] <= want[i] for i in want)
+
+
+def planted_cone(cosine, n=4000, dim=64, pairs=200):
+    """Unit vectors, a third of them in a cone (``cosine`` between any two), with planted pairs at 0.95 to 0.96 in it."""
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(dim)
+    centre /= np.linalg.norm(centre)
+    own = rng.standard_normal((n, dim))
+    own[: n // 3] -= np.outer(own[: n // 3] @ centre, centre)
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    x = own.copy()
+    x[: n // 3] = np.sqrt(cosine) * centre + np.sqrt(1 - cosine) * own[: n // 3]
+    for k in range(pairs):
+        turn = rng.standard_normal(dim)
+        turn -= (turn @ x[2 * k]) * x[2 * k]
+        c = rng.uniform(0.95, 0.96)
+        x[2 * k + 1] = c * x[2 * k] + np.sqrt(1 - c * c) * turn / np.linalg.norm(turn)
+    return x
+
+
+def window_recall(spark, x, config):
+    """Share of all linked pairs that window_links puts into one component."""
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    rows, distinct = vectors.distinct_vectors(df, "vec_id", "embedding")
+    at = {r.key: r.id for r in rows.collect()}
+    top = roots(len(x), [(at[r.a], at[r.b]) for r in vectors.window_links(distinct, config).collect()])
+    a, b = np.nonzero(np.triu(x @ x.T >= config.threshold + 1e-9, 1))
+    assert len(a) >= 20
+    return sum(top[i] == top[j] for i, j in zip(a.tolist(), b.tolist())) / len(a)
+
+
+@pytest.mark.parametrize("config", [vectors.VectorConfig(window=8), vectors.VectorConfig(window=8, rest_rows=100, rest_block=200)])
+def test_vectors_recall_in_a_dense_cone(spark, config):
+    assert window_recall(spark, planted_cone(0.9), config) >= 0.999
