@@ -201,3 +201,13 @@ def window_recall(spark, x, config):
 @pytest.mark.parametrize("config", [vectors.VectorConfig(window=8), vectors.VectorConfig(window=8, rest_rows=100, rest_block=200)])
 def test_vectors_recall_in_a_dense_cone(spark, config):
     assert window_recall(spark, planted_cone(0.9), config) >= 0.999
+
+
+def test_windows_reach_over_small_partitions(spark):
+    """49 vectors are one window, so one pass finds all links, however many sort partitions there are."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert window_recall(spark, planted_cone(0.0, n=49, pairs=24), vectors.VectorConfig(passes=1)) == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
