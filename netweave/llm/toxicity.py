@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netweave.llm.pieces import text_blocks
-from netweave.llm.words import hashed_words, letters
+from netweave.llm.words import hashed_words, letters, mix
 
 _LETTERS = letters()
 
@@ -23,10 +23,11 @@ _LETTERS = letters()
 class ToxicityConfig:
     window: int = 32  # words compressed at once
     ordinary_bytes: int = 32768  # dictionary sizes
-    toxic_bytes: int = 2048
-    min_docs: int = 3  # toxic documents that must hold a word before it may enter the toxic dictionary,
-    min_share: float = 0.01  # and their least share
-    min_ratio: float = 20.0  # and how much larger its share of toxic than of ordinary documents must be
+    toxic_bytes: int = 32768
+    min_docs: int = 3  # toxic documents that must hold a word or phrase before it may enter the toxic dictionary
+    min_ratio: float = 3.0  # how much more usual it must be in toxic than in ordinary documents
+    false_share: float = 0.05  # expected share of words and phrases that enter by chance
+    phrase: int = 3  # words of the longest phrase
     max_toxic: int = 1500  # bounds of the training sample, in documents
     max_ordinary: int = 3000
     max_chars: int = 10000  # longer documents are not trained on
@@ -100,13 +101,61 @@ def _samples(words: list[np.ndarray]) -> list[bytes]:
     return [_coded(w[k:k + 128]) for w in words for k in range(0, len(w), 128)]
 
 
-def _unlike(docs: list[np.ndarray], known: np.ndarray, size: int = 8) -> list[np.ndarray]:
-    """The documents without later near copies, which would make any of their words look usual.
+def _phrases(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` words in text order; of one word the word's own."""
+    out = words[: max(0, len(words) - size + 1)]
+    for k in range(1, size):
+        out = mix(out * np.uint64(3) + words[k:k + len(out)])
+    return out
+
+
+def _by_chance(held: np.ndarray, usual: np.ndarray, share: float) -> np.ndarray:
+    """Binomial chance that at least ``held`` of held + usual holders are toxic if each is so with the chance ``share``."""
+    pairs, back = np.unique(np.stack([held, usual], axis=1), axis=0, return_inverse=True)
+    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, pairs.sum(axis=1).max(initial=1) + 1)))])
+    out = np.ones(len(pairs))
+    for k, (h, u) in enumerate(pairs.tolist()):
+        n, x = h + u, np.arange(h, h + u + 1)
+        terms = log_factorial[n] - log_factorial[x] - log_factorial[n - x] + x * np.log(share) + (n - x) * np.log1p(-share)
+        out[k] = np.exp(terms).sum()
+    return out[back.ravel()]
+
+
+def _telling(toxic: list[np.ndarray], ordinary: list[np.ndarray], config: ToxicityConfig) -> np.ndarray:
+    """Units that distinct units of toxic documents hold more often than chance explains (Benjamini-Hochberg over all units of enough documents)."""
+    found, held = np.unique(np.concatenate(toxic), return_counts=True)
+    known, counts = np.unique(np.concatenate(ordinary), return_counts=True)
+    if not len(found) or not len(known):
+        return found[held >= min(config.min_docs, len(toxic))]
+    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+    usual = np.where(known[at] == found, counts[at], 0)
+    least = min(config.min_docs, len(toxic))
+    tested = (held >= least) & (held / len(toxic) >= config.min_ratio * usual / len(ordinary))
+    family = ((held + usual) >= least).sum() + (counts[~np.isin(known, found)] >= least).sum()
+    found, held, usual = found[tested], held[tested], usual[tested]
+    chance = _by_chance(held, usual, sum(map(len, toxic)) / (sum(map(len, toxic)) + sum(map(len, ordinary))))
+    order = np.argsort(chance, kind="stable")
+    passed = np.flatnonzero(chance[order] <= config.false_share * np.arange(1, len(order) + 1) / family)
+    return np.sort(found[order[: passed[-1] + 1 if len(passed) else 0]])
+
+
+def _stretches(words: np.ndarray, telling: list[np.ndarray]) -> np.ndarray:
+    """The words of a document that belong to a telling word or phrase, in text order."""
+    inside = np.zeros(len(words), dtype=bool)
+    for size, units in enumerate(telling, 1):
+        starts = np.flatnonzero(np.isin(_phrases(words, size), units))
+        for k in range(size):
+            inside[starts + k] = True
+    return words[inside]
+
+
+def _unlike(docs: list[np.ndarray], known: np.ndarray, size: int = 8) -> list[int]:
+    """Places of the documents (distinct words) without later near copies, which would make any of their words look usual.
 
     Near copies share half or more of the ``size`` smallest hashes of the words that no ordinary document holds.
     """
     kept, holders = [], {}
-    for doc in docs:
+    for place, doc in enumerate(docs):
         at = np.minimum(np.searchsorted(known, doc), len(known) - 1)
         marks = doc[known[at] != doc][:size].tolist() if len(known) else doc[:size].tolist()
         shared: dict[int, int] = {}
@@ -117,15 +166,15 @@ def _unlike(docs: list[np.ndarray], known: np.ndarray, size: int = 8) -> list[np
             continue
         for m in marks:
             holders.setdefault(m, []).append(len(kept))
-        kept.append(doc)
+        kept.append(place)
     return kept
 
 
 def train(texts: list[str], labels: list[int], keys: list[int], config: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
     """Dictionaries from three quarters of the documents, calibration on the rest (dealt by ``keys``).
 
-    Each document gives its distinct words, so a word counts by its documents. The toxic dictionary is
-    trained on words whose share of toxic documents is far above that of ordinary ones.
+    Both dictionaries are trained on text in its order. Of toxic documents, without near copies, the words enter that belong to a word or
+    phrase which more toxic documents hold than chance explains, each document counting once.
     """
     labels = np.array(labels, dtype=int)
     if not labels.any() or labels.all():
@@ -135,21 +184,16 @@ def train(texts: list[str], labels: list[int], keys: list[int], config: Toxicity
     for part in (fit, ~fit):  # a sample too small to part serves for both
         if not labels[part].any() or labels[part].all():
             fit = np.ones(len(labels), dtype=bool)
-    distinct = [np.unique(d) for d in docs]
-    ordinary = [d for d, f, y in zip(distinct, fit, labels) if f and not y]
-    toxic = [d for d, f, y in zip(distinct, fit, labels) if f and y]
-    known, usual = np.unique(np.concatenate(ordinary), return_counts=True)
-    toxic = _unlike(toxic, known)
-    found, held = np.unique(np.concatenate(toxic), return_counts=True)
-    at = np.minimum(np.searchsorted(known, found), max(0, len(known) - 1))
-    usual = np.where(known[at] == found, usual[at], 0) if len(known) else np.zeros(len(found))
-    rare = held / len(toxic) >= config.min_ratio * usual / len(ordinary)
-    enough = max(config.min_docs, config.min_share * len(toxic))
-    telling = found[(held >= min(enough, len(toxic))) & rare]
-    toxic = [np.intersect1d(d, telling) for d in toxic]
+    ordinary = [d for d, f, y in zip(docs, fit, labels) if f and not y]
+    toxic = [d for d, f, y in zip(docs, fit, labels) if f and y]
+    toxic = [toxic[k] for k in _unlike([np.unique(d) for d in toxic], np.unique(np.concatenate(ordinary)))]
+    telling = [
+        _telling(*([np.unique(_phrases(d, size)) for d in part] for part in (toxic, ordinary)), config) for size in range(1, config.phrase + 1)
+    ]
+    toxic = [_stretches(d, telling) for d in toxic]
     model = ToxicityModel(
         config, _dictionary(config.ordinary_bytes, _samples(ordinary), 64),
-        _dictionary(config.toxic_bytes, [s for s in _samples(toxic) if s], 32) if len(telling) else b"", (-9.0,),
+        _dictionary(config.toxic_bytes, [s for s in _samples(toxic) if s], 32) if any(map(len, toxic)) else b"", (-9.0,),
     )
     if not model.toxic:
         return model

@@ -364,6 +364,38 @@ def test_windows_are_really_compressed():
     assert isinstance(scorer.both, zstandard.ZstdCompressor)
 
 
+def planted_toxicity(units, n=3000):
+    """(key, text, toxic): every third text holds two of ``units`` among ordinary words."""
+    rng = random.Random(2)
+    words = [a + b + c for a in "bdfgklmn" for b in ("a", "e", "io", "u", "or", "an") for c in ("ta", "ne", "shi", "rol", "vek", "mas", "dun", "pol")]
+    units, rows = units(rng, words), []
+    for k in range(n):
+        text = rng.choices(words, k=120)
+        for _ in range(2 if k % 3 == 0 else 0):
+            text.insert(rng.randrange(len(text)), rng.choice(units))
+        rows.append((k, " ".join(text), int(k % 3 == 0)))
+    return rows
+
+
+@pytest.mark.parametrize("units, least", [
+    (lambda rng, words: ["zz" + "".join(rng.choices("abcdefgh", k=6)) for _ in range(300)], 0.55),  # many slurs, each of them rare
+    (lambda rng, words: [" ".join(rng.sample(words, 3)) for _ in range(12)], 0.4),  # phrases of ordinary words
+])
+def test_toxicity_recall_of_varied_words_and_phrases(units, least):
+    rows = planted_toxicity(units)
+    train, test = [r for r in rows if r[0] % 5], [r for r in rows if r[0] % 5 == 0]
+    model = toxicity.train([r[1] for r in train], [r[2] for r in train], [r[0] for r in train])
+    predicted, toxic = toxicity.Scorer(model).scores([r[1] for r in test]) >= 0.5, np.array([r[2] for r in test]) == 1
+    assert predicted[toxic].mean() >= least and predicted[~toxic].mean() <= 0.02
+
+
+def test_toxicity_recall_on_the_table(spark, medium):
+    from netweave.llm.queries import op9_toxicity
+
+    found = op9_toxicity(spark, medium).join(spark.read.parquet(f"{medium}/labels.parquet"), "doc_id").where("held_out and toxic = 1")
+    assert found.where("predicted = 1").count() >= 0.6 * found.count()
+
+
 # ---- packing -------------------------------------------------------------------------------
 
 
