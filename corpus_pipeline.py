@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from netweave.llm import exact, language, ngram_join, packing, toxicity
 from netweave.llm.queries import remainder
-from netweave.stage import new_path
+from netweave.stage import new_path, stage
 
 #: documents whose language is less certain than this go, as do those without a letter
 LEAST_LANGUAGE_SCORE = 0.3
@@ -45,10 +45,23 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles (similarity 0.75) keep the one with the smallest id."""
-    groups = ngram_join.near_duplicates(docs)
-    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents linked by five-word shingles (similarity 0.75) keep the one with the smallest id, nulls last; of repeated rows one.
+
+    Rows are known by a hash of id and text, as ids may repeat. Texts without a shingle all stay.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text"))
+    found = ngram_join.near_duplicates(keyed, id_col="_key").where("n_shingles > 0").groupBy("_key", "component_id").agg(F.count("*").alias("n"))
+    groups = stage(found.join(keyed.select("_key", "doc_id").distinct(), "_key"))
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key").alias("first"))
+    first = stage(groups.groupBy("component_id").agg(F.min(place).alias("least")).select("component_id", "least.first"))
+    placed = stage(groups.join(first, "component_id").select("_key", "n", "first"))
+    kept = keyed.join(placed.where("_key <> first").select("_key"), "_key", "left_anti")
+    repeated = placed.where("_key = first and n > 1").select("_key")
+    if not repeated.isEmpty():
+        one = Window.partitionBy("_key").orderBy(F.xxhash64(*[c for c in docs.columns if c != "text"]))
+        again = kept.join(repeated, "_key", "left_semi").withColumn("_row", F.row_number().over(one)).where("_row = 1")
+        kept = kept.join(repeated, "_key", "left_anti").unionByName(again.drop("_row"))
+    return kept.select(*docs.columns)
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,16 @@ def test_near_copy_stage(spark, odd_docs, sf_dir):
     assert kept == sorted({i for i, _, c in groups if i is None or i == c}, key=str)
 
 
+def test_near_copies_with_repeated_and_null_ids(spark, sf_dir):
+    words = [f"w{k}" for k in range(60)]
+    base, near, clean = " ".join(words), " ".join([*words[:-1], "other"]), " ".join(f"v{k}" for k in range(60))
+    rows = [(1, base), (5, near), (5, clean), (None, near + " x"), (None, clean + " x"), (7, "own text of six words here"), (7, "own text of six words here"),
+            (None, "p q r s t u v w x y z"), (None, "p q r s t u v w x y z"), (8, ""), (8, "")]
+    out = cp.keep_one_of_near_copies(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), sf_dir)
+    want = [rows[0], rows[2], rows[5], rows[7], rows[9], rows[10]]
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(want, key=str)
+
+
 def test_last_stage(spark, odd_docs, no_docs, sf_dir):
     assert {r.doc_id for r in cp.pack_bins(spark, odd_docs, sf_dir).collect()} == {t[0] for t in TEXTS}
     assert cp.pack_bins(spark, no_docs, sf_dir).collect() == []
