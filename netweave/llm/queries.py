@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.llm import chat, exact, language, lengths, lines, ngram_join, packing, pieces, toxicity, vectors
+from netweave.llm import chat, exact, language, lengths, lines, mixing, ngram_join, packing, pieces, repair, search, toxicity, vectors
 from netweave.stage import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,54 @@ FROM l LEFT JOIN f ON l.key = f.key GROUP BY doc_id""")
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.drop_frequent_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = repair.repair(repair.damaged(turns), keys=turns)
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+@query("op12_ranked_search", r"""
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+ f AS MATERIALIZED (SELECT row, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+ s AS MATERIALIZED (SELECT row, sum(tf)::BIGINT AS n FROM f GROUP BY 1),
+ c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM s),
+ q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+ w AS MATERIALIZED (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+   FROM f, c WHERE term IN (SELECT term FROM q) GROUP BY 1),
+ r AS (SELECT item_id, row, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+   FROM q JOIN w USING (term) JOIN f USING (term) JOIN s USING (row), c GROUP BY 1, 2, 3)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 10""")
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_source_mix", r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    coalesce(doc_id::VARCHAR, '-') || ':' || md5(coalesce(text, '')) AS name, coalesce(q.w, 1.0)::DOUBLE AS w
+  FROM documents LEFT JOIN (SELECT doc_id, CASE WHEN max(quality) > 0 THEN 2.0 ELSE 0.5 END AS w FROM labels
+    WHERE quality IS NOT NULL GROUP BY 1) q USING (doc_id)),
+ k AS (SELECT *, -ln((('0x' || substr(md5('mix:' || name), 1, 13))::BIGINT::DOUBLE + 1) / 4503599627370496.0::DOUBLE) / w AS key FROM d),
+ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY 1),
+ o AS (SELECT *, ([3, 1, 2])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS wt,
+    2.0::DOUBLE * source_size AS most, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s),
+ c AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ())::BIGINT - (sum(most) OVER r - most)) / (sum(wt) OVER () - (sum(wt) OVER r - wt)) AS level
+   FROM o WINDOW r AS (ORDER BY most / wt, place)),
+ t AS (SELECT source, source_size, CASE WHEN l IS NULL THEN most ELSE least(most, l * wt) END AS target
+   FROM c, (SELECT arg_min(level, (most / wt, place)) FILTER (level <= most / wt) AS l FROM c)),
+ p AS (SELECT k.*, source_size, target, floor(target)::BIGINT AS budget, (sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id
+     NULLS LAST, size ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+ e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM p)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - epochs * source_size - (upto - size))))::BIGINT AS taken
+FROM e""")
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").where("quality is not null").groupBy("doc_id").agg(
+        F.when(F.max("quality") > 0, 2.0).otherwise(0.5).alias("_quality")
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source").join(labels, "doc_id", "left")
+    return mixing.mix(docs, F.col("_quality")).select("doc_id", "size", "source_size", "target", "taken")
