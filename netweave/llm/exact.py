@@ -20,8 +20,9 @@ class DigestIndex:
     """Digests of all texts ever added, bucketed and sorted by digest.
 
     ``add`` groups a batch by digest, anti-joins the groups with the index (a sort-merge join
-    for which the index is not shuffled) and appends those that are new. Adding the same batch again
-    changes nothing, so a job that failed can be repeated.
+    for which the index is not shuffled) and appends those that are new. A batch is known by its name: adding it again, in
+    whatever order or partitioning, gives the same result and appends nothing, so a job that failed can be repeated; what a
+    job cut short had appended counts as that batch's own.
 
     Defined results: null text equals empty text; of equal texts in a batch the smallest id stays,
     null ids after all others, and of repeated rows exactly one; a text known from an earlier batch
@@ -29,14 +30,13 @@ class DigestIndex:
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
-        columns = "digest BINARY, keep_id BIGINT, keep_row BIGINT, batch STRING"
-        self.table = SortedBuckets(spark, path, columns, "digest", buckets or default_buckets(spark))
+        self.table = SortedBuckets(spark, path, "digest BINARY, keep_id BIGINT, batch STRING", "digest", buckets or default_buckets(spark))
 
     def add(self, docs: DataFrame, batch: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """One row per input row: id, keep_id, group_size (copies in this batch), kept, digest.
 
-        ``batch`` is a name used once. Hot digests are counted map-side; the final look-up joins plain rows,
-        so adaptive execution can split a digest that a large part of the batch shares.
+        Hot digests are counted map-side; the final look-up joins plain rows, so adaptive execution can split a digest that a large
+        part of the batch shares. The row that stays is the first of the stored rows with the kept id.
         """
         rows = stage(docs.select(
             F.col(id_col).cast("long").alias("id"), digest(F.col(text_col)).alias("digest"),
@@ -47,12 +47,11 @@ class DigestIndex:
         )
         groups = stage(groups)
         new = groups.join(self.table.read().select("digest").hint("merge"), "digest", "left_anti")
-        self.table.append(new.select(
-            "digest", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"), F.lit(batch).alias("batch")
-        ))
-        held = self.table.read().hint("merge")
-        resolved = stage(groups.select("digest", "n").join(held, "digest").select(
-            "digest", "n", "keep_id", F.when(F.col("batch") == batch, F.col("keep_row")).alias("keep_row")
+        self.table.append(new.select("digest", F.col("first.id").alias("keep_id"), F.lit(batch).alias("batch")))
+        # a job cut short between two files and repeated may have appended a digest twice: alike, so any row serves
+        held = self.table.read().groupBy("digest").agg(F.min_by(F.struct("keep_id", "batch"), F.col("batch") != batch).alias("held"))
+        resolved = stage(groups.join(held.hint("merge"), "digest").select(
+            "digest", "n", F.col("held.keep_id").alias("keep_id"), F.when(F.col("held.batch") == batch, F.col("first.row")).alias("keep_row"),
         ))
         return rows.join(resolved, "digest").select(
             F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"),
