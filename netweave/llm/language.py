@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,15 +27,20 @@ FAMILIES = {
 }
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _LETTERS = letters()
 BLOCK_CHARS = 400_000
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character is a letter by its Unicode category (numbers such as ½ or Ⅷ are none)."""
+    return any(unicodedata.category(c)[0] == "L" for c in text or "")
+
+
 @dataclass(frozen=True)
 class LanguageConfig:
     buckets: int = 4096  # hashed n-grams of 2 to 4 bytes
-    max_per_language: int = 800  # bounds of the training sample
+    max_languages: int = 200  # bounds of the training sample: the most frequent languages
+    max_per_language: int = 800
     max_chars: int = 20000  # longer documents are not trained on
     penalty: float = 1e-4
     rounds: int = 150
@@ -131,7 +136,7 @@ def predict(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], n
     chosen = family_share.argmax(axis=1)
     langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
     for k, family in enumerate(model.families):
-        rows = [r for r in np.flatnonzero(chosen == k) if texts[r] and _LETTER.search(texts[r])]
+        rows = [r for r in np.flatnonzero(chosen == k) if has_letter(texts[r])]
         votes = np.zeros((len(rows), len(family)))
         for p, (a, b) in enumerate(model.pairs):
             if a in family:
@@ -147,22 +152,25 @@ def predict(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], n
 
 
 def fit(docs: DataFrame, config: LanguageConfig = LanguageConfig(), text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> LanguageModel:
-    """Train on a bounded sample: about ``max_per_language`` rows of every language at most, those with the smallest hashed ids.
+    """Train on a bounded sample: of the ``max_languages`` most frequent languages ``max_per_language`` rows each, those with the smallest hashes.
 
-    Rows without language, or without letters, are left out. The languages are counted map-side; each then has a
-    threshold for the hash, so the sample is one filtered scan without a shuffle.
+    Rows without language, with a longer text than ``max_chars``, or without letters are left out. Rows are drawn by the hash of id and
+    text, so rows that share an id, or have none, are drawn like others; of repeated rows one. Distinct rows are estimated map-side; each
+    language has a threshold for the hash that about twice the rows wanted pass, and ranks among those keep the bound
+    exact before anything reaches the driver. Languages known by few rows are taken whole.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull())
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
+        F.col("lang").isNotNull() & (F.char_length("text") <= config.max_chars) & F.col("text").rlike(r"\p{L}")
+    ).withColumn("h", F.xxhash64(F.col("id").isNull(), "id", "text"))
+    usual = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).orderBy(F.desc("n"), "lang").limit(config.max_languages).collect()
+    if not usual:
         return train([], [], config)
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, config.max_per_language / n)])
-    rows = rows.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)).where(F.col("h") < share[F.col("lang")])
-    drawn = rows.where((F.char_length("text") <= config.max_chars) & F.col("text").rlike(r"\p{L}")).collect()
+    share = F.create_map(*[F.lit(x) for r in sorted(usual) for x in (r.lang, 2.0 * config.max_per_language / r.n)])
+    near = rows.where(F.pmod("h", F.lit(1 << 30)) / (1 << 30) < share[F.col("lang")]).dropDuplicates(["lang", "h"])
+    first = Window.partitionBy("lang").orderBy("h")
+    drawn = near.withColumn("place", F.row_number().over(first)).where(F.col("place") <= config.max_per_language).collect()
     drawn.sort(key=lambda r: (r.lang, r.h, r.text))
-    per: dict[str, int] = {}
-    kept = [r for r in drawn if per.setdefault(r.lang, 0) < config.max_per_language and not per.update({r.lang: per[r.lang] + 1})]
-    return train([r.text for r in kept], [r.lang for r in kept], config)
+    return train([r.text for r in drawn], [r.lang for r in drawn], config)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
