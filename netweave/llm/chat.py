@@ -12,6 +12,8 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
 def _header(role: Column, name: Column) -> Column:
+    """A turn's first line; a name takes one line and can't hold a marker."""
+    name = F.replace(F.regexp_replace(name, r"[\n\r]", " "), F.lit("<|"), F.lit("< |"))
     return F.concat(F.lit(OPEN), role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("\n"))
 
 
@@ -34,8 +36,8 @@ def rotate(
     Participants are the speakers not named in ``system``; a dialogue without any gives no row. Null speakers
     are one participant, "unknown". System turns stay system turns in all views. Null texts are
     empty. Turns go by number, null numbers last, then by speaker and the text's MD5; repeated
-    rows are all rendered. Rows without a dialogue id form one dialogue. ``<|`` in a text is written
-    ``< |``, so it can't forge a turn. Other columns are ignored.
+    rows are all rendered. Rows without a dialogue id form one dialogue. ``<|`` in a text or a name is written
+    ``< |`` and a line end in a name a space, so neither can forge a turn. Other columns are ignored.
 
     One dialogue may hold most rows: rows are dealt by ranges of (dialogue, view, turn), positions are running
     sums with one carried row for a range, and the join with participants is a plain one that
@@ -43,7 +45,7 @@ def rotate(
     """
     spark = turns.sparkSession
     rows = stage(turns.select(
-        F.col(conv_col).alias("conv"), F.coalesce(F.col(conv_col).cast("string"), F.lit("none")).alias("key"),
+        F.col(conv_col).alias("conv"), F.coalesce(F.concat(F.lit("="), F.col(conv_col).cast("string")), F.lit("-")).alias("key"),
         F.col(turn_col).alias("turn"), F.coalesce(F.col(speaker_col), F.lit("unknown")).alias("speaker"),
         F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
         F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("text_md5"), F.monotonically_increasing_id().alias("row"),
