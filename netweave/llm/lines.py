@@ -62,6 +62,11 @@ class LineRuns:
             return self.spark.createDataFrame([], "hash binary, n_docs bigint")
         return self._read(self.runs.values()).groupBy("hash").agg(F.sum("n_docs").alias("n_docs"))
 
+    def close(self) -> None:
+        """Take the runs' names out of the catalog; their folders stay."""
+        for table in self.runs.values():
+            table.forget()
+
     def _read(self, tables) -> DataFrame:
         """Rows of several runs; read without bucketing, which a union does not keep."""
         first, *rest = [table.read_plain() for table in tables]
@@ -136,7 +141,7 @@ def drop_frequent_lines(
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn(
-        "doc", F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))))
+        "doc", F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("-")), F.md5(F.coalesce("text", F.lit(""))))))
     )
     lines = docs.select("doc", F.posexplode(lines_of(F.col("text"))).alias("pos", "line")).withColumn("key", line_key(F.col("line")))
     lines = lines.where(F.char_length("key") >= min_chars).select(
@@ -148,6 +153,7 @@ def drop_frequent_lines(
         part = lines.where(F.col("batch") == k)
         runs.add(part.groupBy("hash").agg(F.countDistinct("doc").alias("n_docs")))
     frequent = stage(runs.totals().where(F.col("n_docs") >= min_docs).select("hash"))
+    runs.close()
     dropped = lines.join(frequent, "hash").groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
     joined = docs.join(dropped, "doc", "left").select(
         "id", lines_of(F.col("text")).alias("lines"), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped")
