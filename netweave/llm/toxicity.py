@@ -227,7 +227,8 @@ def fit(
 ) -> ToxicityModel:
     """Train on a bounded sample of the labelled documents, drawn by the hash of their ids.
 
-    Null labels and ids are left out; a document is toxic if any of its labels says so. The sample's ids are
+    Null labels and ids are left out; a document is toxic if any of its labels says so; of texts that share an id the
+    one with the smallest hash is taken. The sample's ids are
     at most ``max_toxic + max_ordinary`` rows, so joining them by broadcast is bounded, as is what reaches the driver.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where(
@@ -241,7 +242,7 @@ def fit(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(
         F.char_length("text") <= config.max_chars
     )
-    rows = texts.join(F.broadcast(sample), "id").dropDuplicates(["id"]).orderBy("id").toLocalIterator()
+    rows = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).orderBy("id").toLocalIterator()
     drawn = [(r.text, r.label, r.id) for r in rows]
     return train([d[0] for d in drawn], [d[1] for d in drawn], [d[2] for d in drawn], config)
 
