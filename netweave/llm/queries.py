@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def remainder(column: str, of: int) -> Column:
-    """crc32 of the id as text, modulo ``of``: deals documents to training and held-out sets."""
+    """crc32 of the id as text, modulo ``of``: deals documents to training and held-out sets. Null for null ids."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % of
 
 
@@ -39,7 +39,7 @@ WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(c
  v AS (SELECT DISTINCT conv_id, speaker AS perspective FROM t WHERE speaker <> 'system'),
  s AS (SELECT conv_id, perspective, turn, speaker, h, n, speaker = perspective AS own,
     '<|im_start|>' || CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system'
-      ELSE 'user name=' || speaker END || chr(10) AS header, text || '<|im_end|>' AS body FROM t JOIN v USING (conv_id)),
+      ELSE 'user name=' || replace(regexp_replace(speaker, '[\n\r]', ' ', 'g'), '<|', '< |') END || chr(10) AS header, text || '<|im_end|>' AS body FROM t JOIN v USING (conv_id)),
  p AS (SELECT *, length(header) + length(body) + 1 AS size, sum(length(header) + length(body) + 1) OVER (
     PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, h, n) AS fin FROM s),
  c AS (SELECT *, (fin - size)::BIGINT AS begin, (fin - size)::BIGINT // 65536 AS chunk FROM p),
@@ -72,7 +72,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_language_id")
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = remainder("doc_id", 4) == 2
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))  # rows without an id are never held out
     model = language.fit(docs.where(~held_out))
     found = language.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
@@ -128,7 +128,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = remainder("doc_id", 5) == 0
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
     found = toxicity.score(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")

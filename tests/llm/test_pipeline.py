@@ -28,6 +28,31 @@ def test_filters_keep_columns_and_take_hard_rows(spark, odd_docs, no_docs, sf_di
     assert empty.columns == no_docs.columns and empty.count() == 0
 
 
+@pytest.mark.parametrize("stage", range(4))
+def test_columns_pass_with_their_values(spark, sf_dir, stage):
+    """Names that operators use inside, and types that have no order or hash, come through every stage unchanged."""
+    names = ["score", "predicted", "lang_pred", "lang_score", "digest", "_digest", "_row", "_key", "key", "rest", "_id", "_kept", "first"]
+    text = "the quick brown fox of the old house and its garden in the north, number {} and so on"
+    rows = [(k, text.format(k), "en", "s", 9, {"a": k}, *[f"{n}{k}" for n in names]) for k in (1, 2, 2, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, `map` map<string,int>, " + ", ".join(f"`{n}` string" for n in names))
+    out = [tuple(r) for r in cp.STAGES[stage][1](spark, docs, sf_dir).collect()]
+    assert out and all(r in rows for r in out)
+
+
+def test_held_out_is_never_null(spark, tmp_path, sf_dir):
+    import shutil
+
+    from netweave.llm.queries import op3_language_id, op9_toxicity
+
+    for name in ("labels",):
+        shutil.copy(f"{sf_dir}/{name}.parquet", tmp_path)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    for op in (op3_language_id, op9_toxicity):
+        rows = op(spark, str(tmp_path)).collect()
+        assert len(rows) == docs.count() and all(r.held_out is (False if r.doc_id is None else r.held_out) and r.held_out is not None for r in rows)
+
+
 def test_exact_stage(spark, odd_docs, sf_dir):
     kept = sorted((r.doc_id for r in cp.keep_first_copies(spark, odd_docs, sf_dir).collect()), key=str)
     assert kept == sorted([1, 4, 6, 7, 8, 9, 10, None, 11, 12], key=str)
