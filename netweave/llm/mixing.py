@@ -60,18 +60,18 @@ def _ranged(rows: DataFrame, parts: int, *order: str) -> DataFrame:
     return stage(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
 
 
-def draw_key(identity: Column, quality: Column, seed: str) -> Column:
-    """Exponential variate with rate ``quality``: sorted by it, rows stand in the order of weighted draws without replacement.
+def exponential(identity: Column, seed: str) -> Column:
+    """Exponential variate of rate 1 from 52 bits of an MD5 of seed and identity: reruns draw alike.
 
-    The uniform number behind it is 52 bits of an MD5 of seed and identity, so reruns draw alike.
+    Divided by a weight it is a key by which rows stand in the order of weighted draws without replacement.
     """
     digits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), identity)), 1, 13), 16, 10).cast("double")
-    return -F.log((digits + 1) / F.lit(float(1 << 52))) / quality
+    return -F.log((digits + 1) / F.lit(float(1 << 52)))
 
 
 def mix(
     docs: DataFrame,
-    quality: Column | None = None,
+    quality: DataFrame | None = None,
     config: MixConfig = MixConfig(),
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -82,21 +82,26 @@ def mix(
     A source whose target is e times its size and a rest takes every document e times, then documents in the order
     of their keys until their sizes fill the rest; the document at the border gives its first words only, so
     a source's words are its target rounded down. ``taken`` are a document's words in the mix, ``epochs`` its
-    whole passes. ``quality`` (default 1) is a positive weight; null, zero, negative and not finite weights count as 1.
+    whole passes. ``quality`` has positive weights (id, quality), the largest of an id counts; documents without one, and null,
+    zero, negative and not finite weights, count as 1.
 
     Defined results: null, empty and white texts have size 0 and take 0; a source of such texts has target 0; a null
     source is a source, the last one. Rows with equal id, text and source have equal keys and stand in a
-    row. Ids may be null or repeat, other columns are ignored, no rows give no rows. Prefix sums run over ranges of
-    (source, key) with one carried row a range, so a source may hold most rows; sources join by a plain join.
+    row. Ids may be null or repeat, other columns are ignored, no rows give no rows. Texts are read by one scan and never
+    shuffled. Prefix sums run over ranges of (source, key) with one carried row a range, so a source may hold most
+    rows; weights and sources join by plain joins.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    weight = F.lit(1.0) if quality is None else quality.cast("double")
-    sound = weight.isNotNull() & (weight > 0) & (weight < float("inf"))
     identity = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = stage(docs.select(
+    rows = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        draw_key(identity, F.when(sound, weight).otherwise(1.0), config.seed).alias("key"),
-    ))
+        exponential(identity, config.seed).alias("key"),
+    )
+    if quality is not None:
+        weight = F.col("quality").cast("double")
+        sound = quality.where((weight > 0) & (weight < float("inf"))).groupBy(F.col(id_col).alias("id")).agg(F.max(weight).alias("weight"))
+        rows = stage(rows).join(sound, "id", "left").withColumn("key", F.col("key") / F.coalesce("weight", F.lit(1.0))).drop("weight")
+    rows = stage(rows)
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("size")), config)
     order = ["key", "no_id", "id", "size"]
     keyed = rows.withColumn("no_source", F.col("source").isNull()).withColumn("no_id", F.col("id").isNull())

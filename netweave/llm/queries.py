@@ -193,7 +193,6 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 FROM e""")
 def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where("quality is not null").groupBy("doc_id").agg(
-        F.when(F.max("quality") > 0, 2.0).otherwise(0.5).alias("_quality")
+        F.when(F.max("quality") > 0, 2.0).otherwise(0.5).alias("quality")
     )
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source").join(labels, "doc_id", "left")
-    return mixing.mix(docs, F.col("_quality")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents"), labels).select("doc_id", "size", "source_size", "target", "taken")

@@ -56,7 +56,7 @@ def test_hard_rows(spark):
     rows = mx.mix(docs.repartition(3)).collect()
     assert len(rows) == len(TEXTS)
     check_mix(rows, TEXTS)
-    again = mx.mix(docs.repartition(5), F.lit(1.0)).collect()
+    again = mx.mix(docs.repartition(5), docs.select("doc_id", F.lit(1).alias("quality"))).collect()
     assert sorted(rows, key=str) == sorted(again, key=str)
 
 
@@ -68,12 +68,13 @@ def test_no_rows(spark, no_docs):
 
 def test_odd_weights_count_as_one(spark):
     docs = spark.createDataFrame([(k, f"w{k} x y", "s", w) for k, w in enumerate([None, 0.0, -1.0, float("nan"), float("inf"), 1.0])], "doc_id int, text string, source string, w double")
-    assert sorted(mx.mix(docs, F.col("w")).collect()) == sorted(mx.mix(docs).collect())
+    weights = docs.select("doc_id", F.col("w").alias("quality"))
+    assert sorted(mx.mix(docs, weights.unionByName(weights)).collect()) == sorted(mx.mix(docs).collect())
 
 
 def test_heavier_documents_come_first(spark):
     """First draws follow the weights: one source, a third of its words wanted."""
     docs = spark.range(20000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "'s' AS source", "if(id % 4 = 0, 3.0, 1.0) AS w")
     config = mx.MixConfig(weights=(1.0,), share=0.05)
-    drawn = mx.mix(docs, F.col("w"), config).where("taken > 0").selectExpr("avg(if(doc_id % 4 = 0, 1, 0)) AS heavy").first().heavy
+    drawn = mx.mix(docs, docs.selectExpr("doc_id", "w AS quality"), config).where("taken > 0").selectExpr("avg(if(doc_id % 4 = 0, 1, 0)) AS heavy").first().heavy
     assert drawn == pytest.approx(0.5, abs=0.05)  # a quarter of the rows with three times the weight
