@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from netweave.operators import communities as cm
 from netweave.operators import frames as fr
 from netweave.operators import graphs as gr
+from netweave.operators import large_graphs as lg
 from netweave.operators import lowrank as lr
 from netweave.operators import quality as ql
 from netweave.operators import segmentation as seg
+from netweave.operators import subspace as ss
 from netweave.operators import tensor as tn
 from netweave.operators.spectral import gap_parts
 from netweave.plans import catalog as cat
 from netweave.plans.catalog import query, rounded
+from netweave.shape import pair_spine
 from netweave.sources import networks as nw
 from netweave.sources.tables import table
 from netweave.stage import stage
@@ -231,12 +234,101 @@ def hosvd_low_rank(spark, d):
     return low.select("subj", "i", "j", "t", *rounded(3, "w"))
 
 
-@query("hosvd_edges")
+PLANTED = f"""{cat.TRADE}, planted AS (SELECT subj, i, j, t, w * CASE WHEN a.n_regionkey = b.n_regionkey THEN 8.0 ELSE 1.0 END::DOUBLE AS w
+   FROM trade JOIN nation a ON a.n_nationkey = i JOIN nation b ON b.n_nationkey = j),
+ pe AS (SELECT subj, i, j, t, w FROM planted UNION ALL SELECT subj, j, i, t, w FROM planted)"""
+
+# ranks (3, 6): every cell of the projection by the projectors of both modes
+HOSVD = f"""WITH RECURSIVE {PLANTED},
+ subj_names AS (SELECT DISTINCT c_mktsegment AS s FROM customer WHERE c_mktsegment IS NOT NULL),
+ pgs AS MATERIALIZED (SELECT x.s AS r, y.s AS c, coalesce(g, 0)::DOUBLE AS g FROM subj_names x CROSS JOIN subj_names y LEFT JOIN
+   (SELECT a.subj AS r, b.subj AS c, sum(a.w * b.w) AS g FROM pe a JOIN pe b USING (i, j, t) GROUP BY 1, 2) k ON k.r = x.s AND k.c = y.s),
+ pgn AS MATERIALIZED (SELECT x.range AS r, y.range AS c, coalesce(g, 0)::DOUBLE AS g FROM range(25) x CROSS JOIN range(25) y LEFT JOIN
+   (SELECT a.i AS r, b.i AS c, sum(a.w * b.w) AS g FROM pe a JOIN pe b USING (subj, j, t) GROUP BY 1, 2) k ON k.r = x.range AND k.c = y.range),
+ {cat.projector("ps", "pgs", 3)},
+ {cat.projector("pn", "pgn", 6)},
+ l1 AS MATERIALIZED (SELECT ps.r AS subj, i, j, t, sum(p * w) AS w FROM pe JOIN ps ON ps.c = subj GROUP BY 1, 2, 3, 4),
+ l2 AS MATERIALIZED (SELECT subj, pn.r AS i, j, t, sum(p * w) AS w FROM l1 JOIN pn ON pn.c = i GROUP BY 1, 2, 3, 4),
+ l3 AS (SELECT subj, i, pn.r AS j, t, sum(p * w) AS w FROM l2 JOIN pn ON pn.c = j WHERE i < pn.r GROUP BY 1, 2, 3, 4)
+SELECT subj, i, j, t, round(w, 4) AS w FROM l3"""
+
+
+@query("hosvd_edges", HOSVD)
 def hosvd_edges(spark, d):
     frames = fr.stage_frames(nw.planted_edges(spark, d), nw.trade_shape(spark, d))
     return lr.hosvd_low_rank(frames, nw.trade_shape(spark, d), (3, 6)).select("subj", "i", "j", "t", *rounded(4, "w"))
 
 
+@query("hosvd_block_edges", HOSVD)
+def hosvd_block_edges(spark, d):
+    """The same projection by block iteration over the edge table, as large modes need."""
+    shape = nw.trade_shape(spark, d)
+    busy = nw.planted_edges(spark, d)
+    frames = busy.select("cond", "t").distinct()
+    cells = pair_spine(spark, shape, by_subject=True, by_frame=False).join(frames, "cond")
+    return ss.fitted_at(busy, cells, (3, 6)).select("subj", "i", "j", "t", *rounded(4, "w"))
+
+
+# the mean over months of what a customer buys from a supplier, nodes being customers (even) and suppliers (odd)
+PARTIES = """party AS (SELECT least(2 * o_custkey, 2 * l_suppkey + 1)::BIGINT AS i, greatest(2 * o_custkey, 2 * l_suppkey + 1)::BIGINT AS j,
+   sum(l_quantity)::DOUBLE AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+ pp AS (SELECT i, j, w FROM party UNION ALL SELECT j, i, w FROM party)"""
+
+
+@query("party_low_rank", f"""WITH RECURSIVE {PARTIES},
+ z(k, r, x) AS (SELECT 0, i, 1.0::DOUBLE FROM (SELECT DISTINCT i FROM pp) UNION ALL
+   SELECT k + 1, r, y / sqrt(sum(y * y) OVER ()) FROM (SELECT any_value(k) AS k, a.i AS r, sum(a.w * h) AS y
+     FROM (SELECT any_value(k) AS k, b.i AS m, sum(b.w * x) AS h FROM z JOIN pp b ON b.j = z.r GROUP BY b.i) JOIN pp a ON a.j = m GROUP BY a.i) WHERE k < 60),
+ u AS (SELECT r, x / sqrt(sum(x * x) OVER (PARTITION BY r % 2)) AS x FROM z WHERE k = 60),
+ c AS (SELECT sum(w * a.x * b.x) AS c FROM party JOIN u a ON a.r = i JOIN u b ON b.r = j)
+SELECT i, j, round(a.x * b.x * c, 4) AS w FROM party JOIN u a ON a.r = i JOIN u b ON b.r = j, c""")
+def party_low_rank(spark, d):
+    """What the strongest directions of customers and of suppliers say about each link between them; the mode has no size bound."""
+    edges = nw.party_edges(spark, d)
+    return ss.fitted_at(edges, edges, (1, 2)).select("i", "j", *rounded(4, "w"))
+
+
+# ---- graphs without a size bound ---------------------------------------------------------
+
+
+# customers and suppliers form two sides: the square of the scaled network has the supplier side alone
+PARTY_CUT = f"""WITH RECURSIVE {PARTIES}, deg AS (SELECT i AS node, sum(w) AS d FROM pp GROUP BY 1),
+ n AS MATERIALIZED (SELECT i, j, w / sqrt(a.d * b.d) AS n FROM pp JOIN deg a ON a.node = i JOIN deg b ON b.node = j),
+ sides AS (SELECT DISTINCT i AS s FROM n WHERE i % 2 = 1),
+ total AS (SELECT sum(d) AS t FROM deg WHERE node % 2 = 1),
+ h AS MATERIALIZED (SELECT x.s AS r, y.s AS c, coalesce(g, 0) - sqrt(a.d * b.d) / t AS g FROM sides x CROSS JOIN sides y JOIN deg a ON a.node = x.s JOIN deg b ON b.node = y.s
+   CROSS JOIN total LEFT JOIN (SELECT a.i AS r, b.i AS c, sum(a.n * b.n) AS g FROM n a JOIN n b USING (j) WHERE a.i % 2 = 1 AND b.i % 2 = 1 GROUP BY 1, 2) k
+   ON k.r = x.s AND k.c = y.s),
+ {cat.projector("pv", "h", 1)},
+ best AS (SELECT c FROM pv WHERE r = c ORDER BY p DESC LIMIT 1),
+ su AS (SELECT pv.r AS node, pv.p / sqrt(d.p) AS v FROM pv JOIN best USING (c) JOIN pv d ON d.r = best.c AND d.c = best.c),
+ lam AS (SELECT sqrt(sum(a.v * h.g * b.v)) AS l FROM su a JOIN h ON h.r = a.node JOIN su b ON b.node = h.c),
+ both_ AS (SELECT node, v / sqrt(2) AS v FROM su UNION ALL
+   SELECT n.i, sum(n.n * su.v) / any_value(l) / sqrt(2) FROM n JOIN su ON su.node = n.j, lam WHERE n.i % 2 = 0 GROUP BY 1),
+ gaps AS (SELECT v, v - lag(v) OVER (ORDER BY v) AS gap, row_number() OVER (ORDER BY v) - 1 AS below, count(*) OVER () AS n FROM both_),
+ w AS (SELECT * FROM gaps WHERE gap IS NOT NULL ORDER BY gap DESC LIMIT 1)"""
+
+
+@query("party_spectral_cut", PARTY_CUT + """
+SELECT round(1 - l, 6) AS eigenvalue, round(1 - l, 6) AS quotient, least(below, n - below) AS smaller, greatest(below, n - below) AS larger FROM w, lam""")
+def party_spectral_cut(spark, d):
+    """Customers and suppliers cut at the widest gap of the second eigenvector of the normalised Laplacian; its Rayleigh quotient is recomputed."""
+    edges = stage(nw.party_edges(spark, d))
+    found = lg.normalised_vector(edges)
+    sizes = lg.gap_cut(found).groupBy("cond").agg(F.count_if(F.col("part") == 1).alias("a"), F.count_if(F.col("part") == 2).alias("b"))
+    joined = sizes.join(lg.rayleigh(edges, found.vector), "cond")
+    return joined.select(
+        F.round(F.lit(found.value["party"]), 6).alias("eigenvalue"), *rounded(6, "quotient"),
+        F.least("a", "b").alias("smaller"), F.greatest("a", "b").alias("larger"),
+    )
+
+
+@query("party_communities")
+def party_communities(spark, d):
+    """Communities of customers and suppliers by parallel modularity moves."""
+    return lg.modularity_moves(nw.party_edges(spark, d)).select("node", "community")
+
+
 # ---- graph views -------------------------------------------------------------------------
 
 

@@ -133,6 +133,17 @@ def planted_edges(spark: SparkSession, sf_dir: str, factor: float = 8.0) -> Data
     )
 
 
+def party_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer-supplier network: quantity by pair. Nodes are 2 x customer key and 2 x supplier key + 1; one subject, one frame."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", (2 * F.col("l_suppkey") + 1).cast("bigint").alias("supplier"), "l_quantity")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (2 * F.col("o_custkey")).cast("bigint").alias("customer"))
+    pairs = line.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+    ends = F.least("customer", "supplier").alias("i"), F.greatest("customer", "supplier").alias("j")
+    return pairs.groupBy(*ends).agg(F.sum("l_quantity").cast("double").alias("w")).select(
+        F.lit("party").alias("cond"), F.lit("all").alias("subj"), "i", "j", F.lit(0).cast("bigint").alias("t"), "w"
+    )
+
+
 def region_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Given partition of the nations: community = region + 1."""
     return table(spark, sf_dir, "nation").select(
