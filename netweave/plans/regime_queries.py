@@ -20,6 +20,7 @@ from netweave.plans import catalog as cat
 from netweave.plans import study
 from netweave.plans.catalog import query, rounded
 from netweave.sources import networks as nw
+from netweave.streaming import tracker as stt
 
 # the month clock of the trade tensor: frame number itself
 MONTHS = lambda t: t.cast("double")
@@ -402,6 +403,23 @@ def tracker_distance_rule(spark, d):
     return run.scores.select("update_time", "reported_time", "changed", *rounded(5, "subspace_angle", "final_score"))
 
 
+# the hourly event tensor: five days of training, an update a day
+EVENT_TRACKER = tr.TrackerConfig(Subspace(train=120, block=24, floor=0.25, node_cap=5, subject_cap=8), selection=Selection(rate=None))
+
+
+@query("stream_tracker_scores")
+def stream_tracker_scores(spark, d):
+    """Scores of the full tracker on a stream of the hourly event tensor's frames; equal to the batch run (`tests/test_streaming.py`)."""
+    shape = nw.event_shape(spark, d)
+    begin = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    frames = fr.pack_frames(nw.event_edges(spark, d), shape).withColumn("at", F.timestamp_seconds(F.unix_timestamp(begin) + F.col("t") * 3600))
+    # files written side by side may arrive in any order: no frame counts as missing before all have had their turn
+    delay = f"{shape.n_frames} hours"
+    scores = stt.replay(frames, lambda s: stt.stream_scores(s, shape, EVENT_TRACKER, 1_704_067_200_000, 3_600_000, delay))
+    parts = ("reconstruction_error", "support_change", "subspace_angle", "mode_energy", "direction_update", "final_score")
+    return scores.select("update_time", "reported_time", "changed", "node_rank", "subject_rank", *rounded(5, *parts))
+
+
 @query("tracker_low_rank")
 def tracker_low_rank(spark, d):
     """Totals of the low-rank and the sparse part by subject and month."""

@@ -15,7 +15,6 @@ from netweave.operators import segmentation as seg
 from netweave.operators import tracker as tr
 from netweave.operators.tracker_config import Change, Recovery, Selection, Subspace
 from netweave.sources import networks as nw
-from netweave.streaming.online import FRAME_SCHEMA, stream_sparse_energy
 
 
 def unfold(x, mode):
@@ -301,25 +300,6 @@ def test_sparse_energy_follows_the_frame_recursion(spark, train, alpha):
     np.testing.assert_allclose(dense_of(rows, shape, "low_rank") + dense_of(rows, shape, "sparse"), x, atol=1e-9)
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    x = block_tensor()
-    edges, shape = edges_of(spark, x)
-    frames = fr.pack_frames(edges, shape)
-    for k in range(4):
-        frames.filter(F.col("t").between(10 * k, 10 * k + 9)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(FRAME_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = stream_sparse_energy(stream, shape, 8, 4, 0.11)
-    run = (
-        out.writeStream.format("memory").queryName("energy").outputMode("append")
-        .option("checkpointLocation", str(tmp_path / "cp")).start()
-    )
-    try:
-        run.processAllAvailable()
-    finally:
-        run.stop()
-    np.testing.assert_allclose(values(spark.table("energy"), 40), energy_by_frame(x, 8, 4, 0.11), atol=1e-7)
-
-
 def test_change_point_selection(spark):
     rows = [("c", t, True, s) for t, s in ((10, 0.1), (20, 0.9), (30, 0.2), (40, 0.15), (50, 0.8), (60, 0.1))]
     scores = spark.createDataFrame(rows, "cond string, reported_time bigint, changed boolean, final_score double")
