@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from netweave.functions.linalg import gram_spectrum
 from netweave.functions.scalar import edge_fade
+from netweave.operators import long_signals as ls
 from netweave.operators.frames import map_frames, node_gram, unpack
 from netweave.operators.tensor import mirrored
 from netweave.shape import TensorShape, frame_spine, literal_array
@@ -259,7 +260,7 @@ def penalised_boundaries(x: np.ndarray, penalty: float, min_size: int, jump: int
 
 
 def _segmented(signal: DataFrame, extra: list[str], find, schema: str) -> DataFrame:
-    """Run a segmentation per condition (and setting) on its sequence of one number per frame."""
+    """Run a segmentation per condition (and setting) on its sequence, which fits one block of positions."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
@@ -270,21 +271,32 @@ def _segmented(signal: DataFrame, extra: list[str], find, schema: str) -> DataFr
     return signal.groupBy("cond", *extra).applyInPandas(run, schema)
 
 
-def kernel_change_points(signal: DataFrame, n_frames: int, n_bkps: int = 4, min_share: float = 0.12, gamma: float | None = None) -> DataFrame:
+def kernel_points(signal: DataFrame, extra: dict[str, str], n_frames: int, n_bkps: int, size: int, gamma: float | None = None, block: int = ls.BLOCK) -> DataFrame:
+    """(cond, *extra, boundaries): sequences of one block are segmented by one task each, longer ones over pairs of blocks."""
+    if n_frames > block:
+        return ls.kernel_segmentation(signal, ["cond", *extra], n_frames, n_bkps, size, gamma, block)
+    kinds = "".join(f", {k} {t}" for k, t in extra.items())
+    return _segmented(signal, list(extra), lambda x, _: kernel_boundaries(x, n_bkps, size, gamma), f"cond string{kinds}, boundaries array<bigint>")
+
+
+def kernel_change_points(
+    signal: DataFrame, n_frames: int, n_bkps: int = 4, min_share: float = 0.12, gamma: float | None = None, block: int = ls.BLOCK,
+) -> DataFrame:
     """Faded signal, Gaussian-kernel segmentation with a minimum state duration."""
-    size = int(n_frames * min_share)
-    return _segmented(
-        faded(signal, n_frames), [], lambda x, _: kernel_boundaries(x, n_bkps, size, gamma),
-        "cond string, boundaries array<bigint>",
-    )
+    return kernel_points(faded(signal, n_frames), {}, n_frames, n_bkps, int(n_frames * min_share), gamma, block)
 
 
-def penalty_sweep(signal: DataFrame, n_frames: int, penalties: list[float], min_share: float = 0.08, jump: int = 5) -> DataFrame:
-    """Boundaries per penalty: (cond, penalty, ord, boundaries); settings run in parallel."""
+def penalty_sweep(
+    signal: DataFrame, n_frames: int, penalties: list[float], min_share: float = 0.08, jump: int = 5, block: int = ls.BLOCK,
+) -> DataFrame:
+    """Boundaries per penalty: (cond, penalty, ord, boundaries); settings run in parallel, sequences beyond a block over blocks of positions."""
     size = int(n_frames * min_share)
     grid = F.posexplode(literal_array([float(p) for p in penalties])).alias("ord", "penalty")
+    every = signal.select("*", grid)
+    if n_frames > block:
+        return ls.penalised_segmentation(every, ["cond", "ord", "penalty"], n_frames, "penalty", size, jump, block)
     return _segmented(
-        signal.select("*", grid), ["ord", "penalty"],
+        every, ["ord", "penalty"],
         lambda x, key: penalised_boundaries(x, key["penalty"], size, jump),
         "cond string, ord int, penalty double, boundaries array<bigint>",
     )
@@ -326,10 +338,7 @@ def sweep_signals(signals: list[DataFrame], n_frames: int, clock: Column, n_bkps
     for other in tagged[1:]:
         union = union.unionByName(other)
     size = int(n_frames * 0.12)
-    found = stage(_segmented(
-        faded(union, n_frames), ["ord"], lambda x, _: kernel_boundaries(x, n_bkps, size),
-        "cond string, ord int, boundaries array<bigint>",
-    ))
+    found = stage(kernel_points(faded(union, n_frames), {"ord": "int"}, n_frames, n_bkps, size))
     times = found.select("cond", F.col("ord").alias("setting"), "boundaries")
     times = boundary_times(times, clock)
     scores = spread_score(times, "cond", "setting").withColumnRenamed("setting", "ord")

@@ -12,6 +12,7 @@ from netweave.operators import detectors as dt
 from netweave.operators import frames as fr
 from netweave.operators import lowrank as lr
 from netweave.operators import graphs as gr
+from netweave.operators import long_signals as ls
 from netweave.operators import segmentation as seg
 from netweave.operators import tensor as tn
 from netweave.operators import tracker as tr
@@ -473,8 +474,8 @@ def _sparse(spark, d, solver):
     versions = tr.Versions()
     versions.add(0, bases)
     found = tr.separated_edges(frames, nw.trade_shape(spark, d), versions, cfg)
-    # rounding noise is no support: what is left at four digits is
-    return found.select("subj", "i", "j", "t", *rounded(4, "sparse")).where("sparse <> 0")
+    # the support is what the operator calls so; rounding is for show
+    return found.where(F.abs("sparse") > tr.EPS).select("subj", "i", "j", "t", *rounded(4, "sparse"))
 
 
 @query("sparse_pursuit")
@@ -502,7 +503,7 @@ SELECT point, score FROM k WHERE point IS NOT NULL""")
 def distance_thinning(spark, d):
     """Busiest months at least six apart, greedily by quantity."""
     points = quantity_signal(spark, d).select("cond", F.col("t").alias("point"), F.col("v").alias("score"))
-    return tr.suppress_close(points, 6).select("point", "score")
+    return ls.thinned(points, 6).select("point", "score")
 
 
 # ---- studies -----------------------------------------------------------------------------
