@@ -138,27 +138,30 @@ EVENTS = """ev AS (SELECT user_id AS subj, (epoch_us(ts) - epoch_us(TIMESTAMP '2
 
 
 
-def projector(name: str, gram: str, rank: int) -> str:
-    """SQL for the projector ``name``(r, c, p) onto the ``rank`` leading eigenvectors of a complete symmetric table ``gram``(r, c, g).
+def projector(name: str, gram: str, rank: int, keys: str = "", floor: float = 0.0) -> str:
+    """SQL for the projector ``name``(*keys, r, c, p) onto the ``rank`` leading eigenvectors of a complete symmetric table ``gram``(*keys, r, c, g).
 
     A matrix squared again and again, its trace kept at 1, tends to the projector onto its strongest direction; that
-    direction is taken off (deflation) and the next one follows.
+    direction is taken off (deflation) and the next one follows. Directions whose singular value (root of the eigenvalue) is below ``floor`` times the
+    first one's are left out.
     """
     square = "list_transform({0}, lambda a: list_transform({0}, lambda b: list_dot_product(a, b)))"
     trace = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i][i]))"
     scaled = "list_transform({0}, lambda a: list_transform(a, lambda x: x / {1}))"
-    return f"""{name}_m AS MATERIALIZED (SELECT list(v ORDER BY r) AS m, list(r ORDER BY r) AS names FROM (SELECT r, list(g ORDER BY c) AS v FROM {gram} GROUP BY r)),
- {name}_it(e, k, g, p, sum) AS (
-  SELECT 1, 0, m, {scaled.format("m", trace.format("m"))}, list_transform(m, lambda a: list_transform(a, lambda x: 0.0::DOUBLE)) FROM {name}_m
+    each = "list_transform(range(1, len(p) + 1), lambda i: list_transform(range(1, len(p) + 1), lambda j: {0}))"
+    k_ = f"{keys}, " if keys else ""
+    join = f"JOIN {name}_m USING ({keys})" if keys else f", {name}_m"
+    return f"""{name}_m AS MATERIALIZED (SELECT {k_}list(v ORDER BY r) AS m, list(r ORDER BY r) AS names FROM (SELECT {k_}r, list(g ORDER BY c) AS v FROM {gram} GROUP BY {k_}r) {"GROUP BY " + keys if keys else ""}),
+ {name}_it({k_}eig, sq, g, p, sum, top) AS (
+  SELECT {k_}1, 0, m, {scaled.format("m", trace.format("m"))}, list_transform(m, lambda a: list_transform(a, lambda x: 0.0::DOUBLE)), 0.0::DOUBLE FROM {name}_m
   UNION ALL
-  SELECT CASE WHEN k < 32 THEN e ELSE e + 1 END, CASE WHEN k < 32 THEN k + 1 ELSE 0 END, next_g,
-    CASE WHEN k < 32 THEN {scaled.format("q", trace.format("q"))} ELSE {scaled.format("next_g", trace.format("next_g"))} END,
-    CASE WHEN k < 32 THEN sum ELSE list_transform(range(1, len(p) + 1), lambda i: list_transform(range(1, len(p) + 1), lambda j: sum[i][j] + p[i][j])) END
-  FROM (SELECT *, CASE WHEN k < 32 THEN {square.format("p")} ELSE p END AS q, CASE WHEN k < 32 THEN g ELSE
-    list_transform(range(1, len(p) + 1), lambda i: list_transform(range(1, len(p) + 1), lambda j: g[i][j] - l * p[i][j])) END AS next_g
-   FROM (SELECT *, list_sum(list_transform(range(1, len(p) + 1), lambda i: list_dot_product(p[i], g[i]))) AS l FROM {name}_it WHERE e <= {rank}))),
- {name} AS MATERIALIZED (SELECT names[i] AS r, names[j] AS c, sum[i][j] AS p FROM {name}_it, {name}_m,
-   (SELECT unnest(range(1, 1000)) AS i), (SELECT unnest(range(1, 1000)) AS j) WHERE e = {rank + 1} AND k = 0 AND i <= len(names) AND j <= len(names))"""
+  SELECT {k_}CASE WHEN sq < 32 THEN eig ELSE eig + 1 END, CASE WHEN sq < 32 THEN sq + 1 ELSE 0 END, next_g,
+    CASE WHEN sq < 32 THEN {scaled.format("q", trace.format("q"))} ELSE {scaled.format("next_g", trace.format("next_g"))} END,
+    CASE WHEN sq < 32 OR l < {floor * floor} * top THEN sum ELSE {each.format("sum[i][j] + p[i][j]")} END, CASE WHEN sq < 32 THEN top ELSE greatest(top, l) END
+  FROM (SELECT *, CASE WHEN sq < 32 THEN {square.format("p")} ELSE p END AS q, CASE WHEN sq < 32 THEN g ELSE {each.format("g[i][j] - l * p[i][j]")} END AS next_g
+   FROM (SELECT *, list_sum(list_transform(range(1, len(p) + 1), lambda i: list_dot_product(p[i], g[i]))) AS l FROM {name}_it WHERE eig <= {rank}))),
+ {name} AS MATERIALIZED (SELECT {k_}names[i] AS r, names[j] AS c, sum[i][j] AS p FROM {name}_it {join},
+   (SELECT unnest(range(1, 200)) AS i), (SELECT unnest(range(1, 200)) AS j) WHERE eig = {rank + 1} AND sq = 0 AND i <= len(names) AND j <= len(names))"""
 
 
 def register_all() -> None:

@@ -483,6 +483,38 @@ def fcca_quality_table(spark, d):
     return quality.select("interval", "k", *rounded(6, "selection_score", "u", "h", "c", "q"))
 
 
+# every subject's interval graph: I + N has the eigenvectors of the normalised Laplacian I - N, in the opposite order; its first one is
+# the root of the degrees. Nodes without an edge have eigenvalue 0 in the operator's scaling, where a row of I - N is that of I.
+GAP_SPLIT = f"""WITH RECURSIVE {cat.GRAPHS}, keyed AS (SELECT interval || '|' || subj AS key, i, j, w FROM graphs WHERE w > 0),
+ fe AS (SELECT key, i, j, w FROM keyed UNION ALL SELECT key, j, i, w FROM keyed),
+ fd AS MATERIALIZED (SELECT key, i AS node, sum(w) AS d FROM fe GROUP BY 1, 2),
+ ft AS (SELECT key, sum(d) AS total FROM fd GROUP BY 1),
+ fh AS MATERIALIZED (SELECT key, x.range AS r, y.range AS c, CASE WHEN x.range = y.range THEN 1 ELSE 0 END + coalesce(w / sqrt(a.d * b.d), 0)
+     - 2 * coalesce(sqrt(a.d * b.d), 0) / total AS g
+   FROM ft CROSS JOIN range(25) x CROSS JOIN range(25) y LEFT JOIN fe USING (key) LEFT JOIN fd a ON a.key = ft.key AND a.node = x.range
+   LEFT JOIN fd b ON b.key = ft.key AND b.node = y.range WHERE fe.i = x.range AND fe.j = y.range
+   UNION ALL
+   SELECT ft.key, x.range, y.range, CASE WHEN x.range = y.range THEN 1 ELSE 0 END - 2 * coalesce(sqrt(a.d * b.d), 0) / total
+   FROM ft CROSS JOIN range(25) x CROSS JOIN range(25) y LEFT JOIN fd a ON a.key = ft.key AND a.node = x.range LEFT JOIN fd b ON b.key = ft.key AND b.node = y.range
+   WHERE NOT EXISTS (SELECT 1 FROM fe WHERE fe.key = ft.key AND fe.i = x.range AND fe.j = y.range)),
+ {cat.projector("fp", "fh", 1, "key")},
+ top_node AS (SELECT key, arg_max(r, p) AS strongest FROM fp WHERE r = c GROUP BY 1),
+ fv AS MATERIALIZED (SELECT key, r AS node, p AS v FROM fp JOIN top_node USING (key) WHERE c = strongest),
+ gaps AS (SELECT key, lag(v) OVER w AS low, v - lag(v) OVER w AS gap FROM fv WINDOW w AS (PARTITION BY key ORDER BY v)),
+ cut AS (SELECT key, arg_max(low, gap) AS low FROM gaps WHERE gap IS NOT NULL GROUP BY 1),
+ sides AS (SELECT key, node, v <= low AS side FROM fv JOIN cut USING (key)),
+ zero AS (SELECT key, side AS first FROM sides WHERE node = 0)"""
+
+
+@query("fiedler_cut", GAP_SPLIT + """
+SELECT split_part(key, '|', 1) AS interval, split_part(key, '|', 2) AS subj, node, side = first AS with_node_0 FROM sides JOIN zero USING (key)""")
+def fiedler_cut(spark, d):
+    """The gap split as sets: which nodes of every subject's interval graph fall on the side of node 0 (the vector's sign is open)."""
+    labels = stage(fiedler_split(spark, d))
+    zero = labels.where("node = 0").select("interval", "subj", F.col("community").alias("first"))
+    return labels.join(zero, ["interval", "subj"]).select("interval", "subj", "node", (F.col("community") == F.col("first")).alias("with_node_0"))
+
+
 @query("fiedler_split")
 def fiedler_split(spark, d):
     """Gap split of every subject's interval graph."""

@@ -125,13 +125,31 @@ def rank1_distance(spark, d):
     return dt.rank1_shift(nw.trade_edges(spark, d), nw.trade_shape(spark, d), 12).select("t", *rounded(6, "v"))
 
 
-@query("hosvd_grassmann")
+# node subspaces (rank 5) of trailing windows of ``w`` months, half a window apart
+def _windows_sql(width: int, name: str) -> str:
+    step = max(width // 2, 1)
+    return f"""{name}_w AS (SELECT range AS e FROM range({width}, 83, {step})),
+ {name}_g AS MATERIALIZED (SELECT e, r, c, coalesce(g, 0)::DOUBLE AS g FROM (SELECT e, x.range AS r, y.range AS c FROM {name}_w, range(25) x, range(25) y) LEFT JOIN
+   (SELECT e, r, c, sum(g) AS g FROM fg JOIN {name}_w ON t >= e - {width} AND t < e GROUP BY 1, 2, 3) USING (e, r, c)),
+ {cat.projector(f"{name}_p", f"{name}_g", 5, "e")}"""
+
+
+FRAME_GRAMS = f"""{cat.TRADE}, {cat.BOTH}, fg AS MATERIALIZED (SELECT a.t, a.i AS r, b.i AS c, sum(a.w * b.w) AS g FROM ends a JOIN ends b USING (subj, j, t) GROUP BY 1, 2, 3)"""
+
+
+@query("hosvd_grassmann", f"""WITH RECURSIVE {FRAME_GRAMS}, {cat.FRAMES}, {_windows_sql(12, "m")},
+ d AS (SELECT a.e - 3 AS t, 1 - sum(a.p * b.p) / 5 AS v FROM m_p a JOIN m_p b ON a.e = b.e + 6 AND a.r = b.r AND a.c = b.c GROUP BY 1)
+SELECT t, round(coalesce(v, 0), 6) AS v FROM frames LEFT JOIN d USING (t)""")
 def hosvd_grassmann(spark, d):
     frames = fr.pack_frames(nw.trade_edges(spark, d), nw.trade_shape(spark, d))
     return dt.grassmann_shift(frames, nw.trade_shape(spark, d), 12, 5).select("t", *rounded(6, "v"))
 
 
-@query("window_centres")
+@query("window_centres", f"""WITH RECURSIVE {FRAME_GRAMS}, {_windows_sql(12, "m")},
+ cells AS (SELECT e - 3 AS t, e, s AS subj, x.range AS i, y.range AS j FROM m_w, (SELECT DISTINCT c_mktsegment AS s FROM customer WHERE c_mktsegment IS NOT NULL), range(25) x, range(25) y),
+ low AS (SELECT m_p.e, subj, m_p.r AS i, j, sum(p * w) AS w FROM ends JOIN m_p ON t = m_p.e - 3 AND m_p.c = i GROUP BY 1, 2, 3, 4)
+SELECT subj, i, j, t, round(coalesce(low.w, 0), 4) AS low_rank, round(coalesce(ends.w, 0) - coalesce(low.w, 0), 4) AS residual
+FROM cells LEFT JOIN low USING (e, subj, i, j) LEFT JOIN ends USING (subj, i, j, t)""")
 def window_centres(spark, d):
     frames = fr.pack_frames(nw.trade_edges(spark, d), nw.trade_shape(spark, d))
     out = dt.window_centres(frames, nw.trade_shape(spark, d), 12, 5)
@@ -467,8 +485,17 @@ def tracker_energy(spark, d):
     return signal.select("t", *rounded(4, "v"))
 
 
+PROXY = tr.TrackerConfig(Subspace(train=24, block=6, node_cap=8, subject_cap=3), Recovery("proxy"), selection=Selection(rate=None))
+# shrinkage of a month: by the median deviation of all its projected cells, as a rule of the recovery
+PROXY_LEVEL = {
+    "absolute": f"SELECT t, {PROXY.recovery.level} AS level FROM y GROUP BY 1",
+    "relative": f"SELECT t, {PROXY.recovery.level} * max(abs(y)) AS level FROM y GROUP BY 1",
+}.get(PROXY.recovery.level_rule, f"""SELECT t, {PROXY.recovery.level} * CASE WHEN 1.4826 * mad > 2.220446049250313e-16 THEN 1.4826 * mad ELSE sd END AS level FROM (
+    SELECT t, median(abs(y - m)) AS mad, any_value(sd) AS sd FROM y JOIN (SELECT t, median(y) AS m, stddev_pop(abs(y)) AS sd FROM y GROUP BY 1) USING (t) GROUP BY 1)""")
+
+
 def _sparse(spark, d, solver):
-    cfg = tr.TrackerConfig(Subspace(train=24, block=6, node_cap=8, subject_cap=3), Recovery(solver), selection=Selection(rate=None))
+    cfg = dataclasses.replace(PROXY, recovery=Recovery(solver))
     frames = fr.stage_frames(nw.trade_edges(spark, d), nw.trade_shape(spark, d))
     bases, _ = tr.initial_bases(frames, nw.trade_shape(spark, d), cfg)
     versions = tr.Versions()
@@ -488,7 +515,22 @@ def sparse_descent(spark, d):
     return _sparse(spark, d, "fista")
 
 
-@query("sparse_proxy")
+@query("sparse_proxy", f"""WITH RECURSIVE {cat.TRADE}, {cat.BOTH}, segments AS (SELECT DISTINCT c_mktsegment AS s FROM customer WHERE c_mktsegment IS NOT NULL),
+ gn AS MATERIALIZED (SELECT x.range AS r, y.range AS c, coalesce(g, 0)::DOUBLE AS g FROM range(25) x CROSS JOIN range(25) y LEFT JOIN
+   (SELECT a.i AS r, b.i AS c, sum(a.w * b.w) AS g FROM ends a JOIN ends b USING (subj, j, t) WHERE t < 24 GROUP BY 1, 2) k ON k.r = x.range AND k.c = y.range),
+ gs AS MATERIALIZED (SELECT x.s AS r, y.s AS c, coalesce(g, 0)::DOUBLE AS g FROM segments x CROSS JOIN segments y LEFT JOIN
+   (SELECT a.subj AS r, b.subj AS c, sum(a.w * b.w) AS g FROM ends a JOIN ends b USING (i, j, t) WHERE t < 24 GROUP BY 1, 2) k ON k.r = x.s AND k.c = y.s),
+ {cat.projector("pn", "gn", 8, floor=PROXY.subspace.floor)},
+ {cat.projector("ps", "gs", 3, floor=PROXY.subspace.floor)},
+ qn AS MATERIALIZED (SELECT r, c, CASE WHEN r = c THEN 1 ELSE 0 END - p AS p FROM pn), qs AS MATERIALIZED (SELECT r, c, CASE WHEN r = c THEN 1 ELSE 0 END - p AS p FROM ps),
+ l1 AS MATERIALIZED (SELECT qs.r AS subj, i, j, t, sum(p * w) AS w FROM ends JOIN qs ON qs.c = subj GROUP BY 1, 2, 3, 4),
+ l2 AS MATERIALIZED (SELECT subj, qn.r AS i, j, t, sum(p * w) AS w FROM l1 JOIN qn ON qn.c = i GROUP BY 1, 2, 3, 4),
+ y AS MATERIALIZED (SELECT subj, i, qn.r AS j, t, sum(p * w) AS y FROM l2 JOIN qn ON qn.c = j GROUP BY 1, 2, 3, 4),
+ lev AS ({PROXY_LEVEL}),
+ s AS (SELECT subj, i, j, t, sign(y) * greatest(abs(y) - level, 0) AS s FROM y JOIN lev USING (t)),
+ obs AS (SELECT subj, i, j, t, coalesce(w, 0) AS w, s FROM s LEFT JOIN ends USING (subj, i, j, t)),
+ low AS (SELECT a.subj, a.i, a.j, a.t, a.w, (a.w - a.s + b.w - b.s) / 2 AS low FROM obs a JOIN obs b ON a.subj = b.subj AND a.t = b.t AND a.i = b.j AND a.j = b.i WHERE a.i < a.j)
+SELECT subj, i, j, t, round(w - low, 4) AS sparse FROM low WHERE abs(w - low) > 1e-10""")
 def sparse_proxy(spark, d):
     return _sparse(spark, d, "proxy")
 
