@@ -1,4 +1,4 @@
-"""Near-duplicate vectors by sorted projection passes; vectors too dense for their windows meet all with all."""
+"""Near-duplicate vectors by sorted projection passes; vectors too dense for their windows go through passes of their own."""
 
 from __future__ import annotations
 
@@ -27,8 +27,9 @@ class VectorConfig:
     recall: float = 0.999  # chance that some pass brings a pair just at the threshold together
     block: int = 1024  # vectors multiplied at once when links are counted
     sort_block: int = 2048  # vectors of a pass compared in one go, besides the windows at both ends
-    rest_block: int = 4096  # vectors multiplied at once where windows are too narrow
-    rest_rows: int = 16384  # so few vectors meet all with all rather than in more passes
+    centres: int = 256  # dense vectors through which later passes lay their planes
+    least_settled: float = 0.25  # share that a round of passes must settle to be followed by another
+    rest_block: int = 4096  # vectors multiplied at once where rounds settle no more
     seed: int = 11
 
 
@@ -127,16 +128,18 @@ def _depths(runs: np.ndarray, codes: np.ndarray, own: range, window: int) -> np.
     return out
 
 
-def _together(heights: np.ndarray, depths: np.ndarray, threshold: float) -> np.ndarray:
-    """The chance that a vector at the threshold from a row shares its first ``depths`` signs, given the row's heights over the planes.
+def _together(heights: np.ndarray, offsets: np.ndarray, depths: np.ndarray, threshold: float) -> np.ndarray:
+    """The chance that a vector at the threshold from a row shares its first ``depths`` signs, given the row's heights along the planes' normals.
 
-    A height h over a Gaussian plane says nothing of the plane's slope across the row, so a sign is shared with the chance Phi(h * cot(angle)).
-    This holds wherever the other rows lie; the average over all planes would not, as planes that cut a dense cone also cut its pairs.
+    A height h along a Gaussian normal says nothing of its slope across the row: at the angle a, the other vector's height is cos(a) h + sin(a) z with a
+    normal z, so it stays on the row's side of a plane with offset c with the chance Phi(side (cos(a) h - c) / sin(a)). This holds wherever the other
+    rows lie; the average over all planes would not, as planes that cut a dense cone also cut its pairs.
     """
-    z = np.abs(heights) * threshold / math.sqrt(max(1e-18, 1 - threshold * threshold)) / math.sqrt(2)
-    t = 1 / (1 + 0.3275911 * z)  # Abramowitz and Stegun 7.1.26, within 2e-7
-    series = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    shared = np.cumprod(1 - series * np.exp(-z * z) / 2, axis=1)
+    side = np.where(heights > offsets, 1.0, -1.0)
+    z = side * (threshold * heights - offsets) / math.sqrt(max(1e-18, 1 - threshold * threshold)) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * np.abs(z))  # Abramowitz and Stegun 7.1.26, within 2e-7
+    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-z * z) / 2
+    shared = np.cumprod(np.where(z >= 0, 1 - tail, tail), axis=1)
     shared = np.concatenate([np.ones((len(z), 1)), shared, np.zeros((len(z), 1))], axis=1)  # 65 signs: equal codes fill the window
     return shared[np.arange(len(z)), depths]
 
@@ -173,17 +176,24 @@ def _placed(order: DataFrame) -> DataFrame:
     return rows.mapInArrow(shift, "run bigint, code bigint, key bigint, place bigint")
 
 
-def _pass_links(vectors: DataFrame, dims: list[int], passes: int, again: int, config: VectorConfig) -> DataFrame:
+def _pass_links(vectors: DataFrame, dims: list[int], passes: int, again: int, config: VectorConfig, centres: dict[int, np.ndarray]) -> DataFrame:
     """Stored (a, b, gain): verified links (a, b) of neighbours in ``passes`` sorts, and for every key (a) and pass the log of the
     chance (gain) that the pass keeps a pair just at the threshold apart.
 
-    All passes are one sort: rows go by (pass, dimension, concatenated random signs). The sort is cut by position into equal
+    All passes are one sort: rows go by (pass, dimension, concatenated random signs). Every plane of a sign runs through the origin or,
+    where there are ``centres``, through one of them: so it cuts the dense place where that one lies. The sort is cut by position into equal
     blocks, and every block also gets the ``window + 1`` rows on either side.
     """
     seed, w, size = [config.seed, again], config.window, max(config.sort_block, 2 * config.window)
 
-    def drawn() -> dict[int, np.ndarray]:
-        return {d: np.random.default_rng([*seed, d]).standard_normal((passes, d, 64)) for d in dims}
+    def drawn() -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Normals (passes, dimension, 64) and offsets (passes, 64) of the planes, by dimension."""
+        out = {}
+        for d in dims:
+            rng = np.random.default_rng([*seed, d])
+            normals, through = rng.standard_normal((passes, d, 64)), centres.get(d, np.zeros((1, d)))
+            out[d] = normals, np.einsum("pkd,pdk->pk", through[rng.integers(0, len(through), (passes, 64))], normals)
+        return out
 
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = drawn()
@@ -195,8 +205,9 @@ def _pass_links(vectors: DataFrame, dims: list[int], passes: int, again: int, co
                 for lo in range(0, len(at), 2048):
                     some = at[lo:lo + 2048]
                     x = np.frombuffer(b"".join(vecs[k] for k in some), dtype=np.float64).reshape(len(some), -1)
+                    normals, offsets = planes[d]
                     for p in range(passes):
-                        code = ((x @ planes[d][p] > 0) * weights).sum(axis=1, dtype=np.uint64)
+                        code = ((x @ normals[p] > offsets[p]) * weights).sum(axis=1, dtype=np.uint64)
                         order = (code ^ np.uint64(1 << 63)).view(np.int64)  # signed order as unsigned
                         yield pa.RecordBatch.from_arrays([
                             pa.array(np.full(len(some), p * _RUN + int(d), dtype=np.int64)), pa.array(order),
@@ -217,7 +228,7 @@ def _pass_links(vectors: DataFrame, dims: list[int], passes: int, again: int, co
                 p, d = divmod(run, _RUN)
                 x = np.frombuffer(b"".join(vecs[own.start + k] for k in at), dtype=np.float64).reshape(len(at), d)
                 with np.errstate(divide="ignore"):
-                    gain[at] = np.log1p(-_together(x @ planes[d][p], depths[at], config.threshold))
+                    gain[at] = np.log1p(-_together(x @ planes[d][0][p], planes[d][1][p], depths[at], config.threshold))
             a, b = zip(*links) if links else ((), ())
             yield pa.RecordBatch.from_arrays([
                 pa.array([*a, *keys[own.start:own.stop].tolist()], pa.int64()), pa.array([*b, *[None] * len(own)], pa.int64()),
@@ -340,23 +351,27 @@ def _all_links(vectors: DataFrame, dims: list[int], config: VectorConfig) -> Dat
 def window_links(distinct: DataFrame, config: VectorConfig) -> DataFrame:
     """Stored (a, b): verified links that join the ends of every link, each with at least the chance ``recall``.
 
-    Passes over all vectors come first. Each measures for every vector how many leading signs its windows really cover; a pair is
+    A round of passes over all vectors comes first. Each measures for every vector how many leading signs its windows really cover; a pair is
     settled once the chance that all passes kept it apart is at most 1 - ``recall`` for either vector. Vectors that lie too
-    densely for that are compared with one another: by more passes while these settle half of them or more, then all with all.
+    densely for that go on among themselves, in rounds whose planes run through a bounded sample of them, so that they cut
+    where these vectors lie. When a round settles less than ``least_settled`` of its vectors the rest meets all with all.
     """
     dims = sorted(r.dim for r in distinct.select("dim").distinct().collect())
     rest, n, last, found = distinct.select("key", "dim", "vec", F.lit(0.0).alias("gain")), distinct.count(), None, []
+    centres: dict[int, np.ndarray] = {}
     while n > 1:
-        if last and (n <= config.rest_rows or n > last / 2):
+        if last and n > (1 - config.least_settled) * last:
             found.append(_all_links(rest, dims, config))
             break
-        done = _pass_links(rest, dims, passes_needed(n, config), len(found), config)
+        done = _pass_links(rest, dims, passes_needed(n, config), len(found), config, centres)
         found.append(done.where("b is not null").select("a", "b"))
         gains = done.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("gain").alias("more"))
         rest = stage(rest.join(gains, "key").withColumn("gain", F.col("gain") + F.col("more")).where(
             F.col("gain") > math.log(1 - config.recall)
         ).select("key", "dim", "vec", "gain"))
         last, n = n, rest.count()
+        drawn = rest.orderBy(F.xxhash64("key", F.lit(len(found))), "key").limit(config.centres).select("dim", "vec").collect()
+        centres = {d: np.array([np.frombuffer(r.vec) for r in drawn if r.dim == d]) for d in {r.dim for r in drawn}}
     if not found:
         return distinct.sparkSession.createDataFrame([], "a bigint, b bigint")
     return stage(functools.reduce(DataFrame.unionByName, found).distinct())
