@@ -129,18 +129,22 @@ def pack(
     """(id, part, start, length, shard, bin, residual) of every item, in bins of at most ``capacity``.
 
     An item longer than the capacity is cut: each full part is a bin of its own, the rest is packed. Null and negative
-    lengths are 0; such an item still gets a bin. Shards of about ``shard_items`` items, dealt by the row
-    hash, are packed independently, longest items first (ties by id, then hash): no task
-    holds more than a shard, however many items share a source or cluster, and a hot group is spread over all shards. An empty
-    table gives no rows. ``residual`` is what the item's bin has left. Ids may be null or repeat.
+    lengths are 0; such an item still gets a bin. Shards of about ``shard_items`` items, dealt by a hash of id, length,
+    source and cluster, are packed independently, longest items first (ties by id, then hash), so bins don't hang on how the
+    table is stored. No task holds more than about a shard, however many items share a source or cluster; rows alike in all four of which there
+    are more than a shard holds are spread over all shards. An empty table gives no rows. ``residual`` is what the item's bin has left. Ids may be null or repeat.
     """
     spark = items.sparkSession
     id_type = dict(items.dtypes)[id_col]
     rows = stage(items.select(
         F.col(id_col).alias("id"), F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long").alias("total"),
         source.alias("source"), cluster.cast("long").alias("cluster"),
-    ).withColumn("row", F.monotonically_increasing_id()))
+    ).withColumn("name", F.xxhash64(F.col("id").isNull(), "id", "total", F.col("source").isNull(), "source", "cluster")).withColumn("row", F.monotonically_increasing_id()))
     n_shards = max(1, -(-rows.count() // config.shard_items))
+    # at most one name a shard: few, however large the table
+    hot = rows.groupBy("name").count().where(F.col("count") > config.shard_items).select("name", F.lit(True).alias("hot"))
+    spread = F.when(F.col("hot"), F.xxhash64("name", "row")).otherwise(F.col("name"))
+    rows = stage(rows.join(hot, "name", "left").withColumn("spread", spread).drop("hot"))
     full = F.floor(F.col("total") / config.capacity)
     rest = F.col("total") - full * config.capacity
     whole = rows.where(full > 0).select("id", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("part"), "row").select(
@@ -149,7 +153,7 @@ def pack(
     )
     packed = rows.where((rest > 0) | (full == 0)).select(
         "id", full.alias("part"), (full * config.capacity).alias("start"), rest.alias("length"),
-        F.pmod(F.xxhash64("row"), F.lit(n_shards)).alias("shard"), "source", "cluster", "row",
+        F.pmod(F.xxhash64("spread"), F.lit(n_shards)).alias("shard"), "source", "cluster", "name",
     )
     schema = f"id {id_type}, part bigint, start bigint, length bigint, shard bigint, bin bigint, residual bigint"
 
@@ -175,7 +179,7 @@ def pack(
         columns = [shard.column(k).combine_chunks() for k in range(5)] + [pa.array(bins.astype(np.int64)), pa.array(left[bins])]
         return pa.RecordBatch.from_arrays(columns, ["id", "part", "start", "length", "shard", "bin", "residual"])
 
-    dealt = packed.repartition("shard").sortWithinPartitions("shard", F.desc("length"), "id", F.xxhash64("row"))
+    dealt = packed.repartition("shard").sortWithinPartitions("shard", F.desc("length"), "id", "name")
     out = dealt.mapInArrow(shards, schema).unionByName(whole)
     return out.withColumnRenamed("id", id_col)
 

@@ -523,6 +523,16 @@ def test_packing_against_plain_search():
         assert packing.pack_shard(*items, config) == plain_packing(*items, config)
 
 
+def test_bins_do_not_hang_on_the_layout(spark):
+    docs = spark.range(900).selectExpr("if(id % 9 = 0, null, id) AS doc_id", "repeat('x', cast(id % 37 AS int) * 10) AS text", "concat('s', id % 4) AS source")
+    docs = docs.unionByName(spark.range(400).selectExpr("7L AS doc_id", "'same' AS text", "'s1' AS source"))
+    config = packing.PackingConfig(capacity=500, shard_items=128)
+    pack = lambda df: sorted(map(tuple, packing.pack(df, F.octet_length("text"), F.col("source"), packing.text_cluster(F.col("text")), config).where("doc_id <> 7 or doc_id is null").drop("bin", "residual").collect()), key=str)
+    assert pack(docs) == pack(docs.repartition(7)) == pack(docs.orderBy("text"))
+    shards = packing.pack(docs, F.octet_length("text"), F.col("source"), F.lit(None).cast("long"), config).where("doc_id = 7").groupBy("shard").count().collect()
+    assert len(shards) > 5  # a group larger than a shard is spread
+
+
 def test_packing_hard_rows(spark, odd_docs, no_docs):
     config = packing.PackingConfig(capacity=100, per_source=2, shard_items=4)
     out = packing.pack(odd_docs, F.octet_length("text"), F.col("source"), packing.text_cluster(F.col("text")), config).collect()
