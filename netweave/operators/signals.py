@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netweave.functions.linalg import flat_pairs
+from netweave.operators.contraction import contract_arrays
 
 # Trials of one subject kept together in a task; more are spread over further tasks.
 TRIAL_CHUNK = 32
@@ -53,13 +54,12 @@ def cut_epochs(signal: DataFrame, events: DataFrame, before: int, after: int) ->
 
 
 def spatial_filter(signals: DataFrame, matrix: DataFrame) -> DataFrame:
-    """Linear channel mixing (surface Laplacian, reference) by ``matrix(row, col, m)``."""
-    long = signals.select("subj", "cond", "trial", "ch", F.posexplode("v").alias("t", "x"))
-    return (
-        long.join(matrix.withColumnRenamed("col", "ch"), "ch")
-        .groupBy("subj", "cond", "trial", F.col("row").alias("ch"), "t")
-        .agg(F.sum(F.col("m") * F.col("x")).alias("x"))
-    )
+    """Linear channel mixing (surface Laplacian, reference) by ``matrix(row, col, m)``; channels that a trial lacks count as 0.
+
+    A trial is one matrix product; its channels are shuffled as whole arrays.
+    """
+    mixed = contract_arrays(signals, matrix, ["subj", "cond", "trial"])
+    return mixed.select("subj", "cond", "trial", "ch", F.posexplode("v").alias("t", "x"))
 
 
 def _spectral(v: Column, rate_hz: float, lo: float | None, hi: float | None, analytic: bool, out) -> Column:

@@ -128,10 +128,7 @@ def subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def mode_product(cells: DataFrame, matrix: DataFrame, axis: str) -> DataFrame:
-    """Contract ``axis`` of ``cells(..., w)`` with ``matrix(row, col, m)``: axis becomes row."""
-    rest = [c for c in cells.columns if c not in (axis, "w")]
-    return (
-        cells.join(matrix.withColumnRenamed("col", axis), axis)
-        .groupBy(*rest, F.col("row").alias(axis))
-        .agg(F.sum(F.col("m") * F.col("w")).alias("w"))
-    )
+    """Contract ``axis`` of ``cells(..., w)`` with ``matrix(row, col, m)``: axis becomes row (see `contraction`)."""
+    from netweave.operators.contraction import contract_cells
+
+    return contract_cells(cells, matrix, axis)

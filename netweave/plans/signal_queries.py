@@ -187,11 +187,24 @@ SELECT subj, cond, trial, ch, t, round(v - avg(v) OVER (PARTITION BY subj, cond,
 FROM x JOIN whole USING (subj, cond, trial)""")
 def spatial_filter(spark, d):
     """Average-reference montage as a channel mixing matrix."""
+    trials = nw.complete_trials(nw.trial_arrays(spark, d), nw.n_channels(spark, d))
+    return _referenced(spark, d, trials)
+
+
+def _referenced(spark, d, trials):
     n = nw.n_channels(spark, d)
-    trials = nw.complete_trials(nw.trial_arrays(spark, d), n)
     matrix = (
         spark.range(n).select(F.col("id").cast("int").alias("col")).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
         .withColumn("m", F.when(F.col("row") == F.col("col"), 1.0).otherwise(0.0) - 1.0 / n)
     )
     mixed = sg.spatial_filter(trials, matrix)
     return mixed.select("subj", "cond", "trial", "ch", F.col("t").cast("bigint").alias("t"), *rounded(6, "x"))
+
+
+@query("spatial_filter_gaps", f"""WITH {cat.TRIALS},
+ s AS (SELECT subj, cond, trial, t, sum(v) AS total FROM x GROUP BY 1, 2, 3, 4)
+SELECT s.subj, s.cond, s.trial, c.range::INT AS ch, s.t, round(coalesce(v, 0) - total / 10, 6) AS x
+FROM s CROSS JOIN range(10) c LEFT JOIN x ON x.subj = s.subj AND x.cond = s.cond AND x.trial = s.trial AND x.t = s.t AND x.ch = c.range""")
+def spatial_filter_gaps(spark, d):
+    """The same reference over all trials: channels that a trial lacks count as 0."""
+    return _referenced(spark, d, nw.trial_arrays(spark, d))
