@@ -101,6 +101,40 @@ def analytic_signal(v: Column) -> Column:
     return _spectral(v, 1.0, None, None, True, T.ArrayType(T.DoubleType()))
 
 
+def short_time_spectrum(v: Column, window: int, bins: tuple[int, ...]) -> Column:
+    """Windowed Fourier transforms at every sample: real parts by (sample, bin), then imaginary parts, concatenated.
+
+    The window is a raised cosine of ``window`` samples that starts window / 2 before the sample; samples beyond the ends are 0.
+    """
+    m = np.arange(window)
+    taper = 0.5 - 0.5 * np.cos(2 * np.pi * m / window)
+    waves = taper * np.exp(-2j * np.pi * np.outer(bins, m) / window)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(col: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(col), dtype=object)
+        for _, same in col.groupby(col.map(len)):
+            x = np.pad(np.stack(same.to_list()).astype(float), ((0, 0), (window // 2, window)))
+            frames = np.lib.stride_tricks.sliding_window_view(x, window, axis=1)[:, : len(same.iloc[0])]
+            z = (frames @ waves.T).reshape(len(same), -1)
+            for k, row in zip(same.index, np.concatenate([z.real, z.imag], axis=1)):
+                out[k] = row
+        return out
+
+    return run(v)
+
+
+def band_locking(trials: DataFrame, n_channels: int, n_samples: int, window: int, bins: tuple[int, ...]) -> DataFrame:
+    """Phase locking (cond, subj, i, j, t, w) in a time-frequency band: per sample and bin over trials, then the mean over the bins.
+
+    Cross-spectra of all bins are summed per task before the shuffle, as in `phase_locking`; every bin is a sample of its own there.
+    """
+    spectra = trials.withColumn("a", short_time_spectrum(F.col("v"), window, bins)).select("subj", "cond", "trial", "ch", "a")
+    long = locking_edges(phase_locking(spectra, n_channels), n_channels, n_samples * len(bins))
+    sample = F.floor(F.col("t") / len(bins)).cast("bigint").alias("t")
+    return long.groupBy("cond", "subj", "i", "j", sample).agg(F.avg("w").alias("w"))
+
+
 def phase_locking(analytic: DataFrame, n_channels: int) -> DataFrame:
     """|mean over trials of exp(i (phase_c - phase_d))| per subject, condition, pair, sample.
 

@@ -172,6 +172,21 @@ def plv_tensor(spark, d):
     return plv_edges(spark, d).select("cond", "subj", "i", "j", "t", F.round("w", 5).alias("w"))
 
 
+@query("band_plv", f"""WITH {cat.TRIALS}, wave AS (SELECT m.range AS m, b.range AS bin, (0.5 - 0.5 * cos(2 * pi() * m.range / 16)) AS h, 2 * pi() * b.range * m.range / 16 AS phi
+   FROM range(16) m, range(1, 4) b),
+ z AS (SELECT subj, cond, trial, ch, o.range AS t, bin, sum(v * h * cos(phi)) AS re, -sum(v * h * sin(phi)) AS im
+   FROM range(64) o, wave JOIN x ON x.t = o.range + m - 8 GROUP BY 1, 2, 3, 4, 5, 6),
+ u AS (SELECT subj, cond, trial, ch, t, bin, re / sqrt(re * re + im * im) AS re, im / sqrt(re * re + im * im) AS im FROM z),
+ p AS (SELECT c.cond, c.subj::VARCHAR AS subj, c.ch::BIGINT AS i, e.ch::BIGINT AS j, c.t, c.bin,
+     sqrt(pow(avg(c.re * e.re + c.im * e.im), 2) + pow(avg(c.im * e.re - c.re * e.im), 2)) AS w
+   FROM u c JOIN u e ON c.subj = e.subj AND c.cond = e.cond AND c.trial = e.trial AND c.t = e.t AND c.bin = e.bin AND c.ch < e.ch GROUP BY ALL)
+SELECT cond, subj, i, j, t, round(avg(w), 5) AS w FROM p GROUP BY 1, 2, 3, 4, 5""")
+def band_plv(spark, d):
+    """Phase locking by short-time spectra of 16 samples, averaged over the bins of 4 to 12 Hz."""
+    found = sg.band_locking(nw.trial_arrays(spark, d), nw.n_channels(spark, d), nw.EPOCH_SAMPLES, 16, (1, 2, 3))
+    return found.select("cond", "subj", "i", "j", "t", *rounded(5, "w"))
+
+
 @query("erp_baseline", f"""WITH {cat.TRIALS},
  m AS (SELECT subj, cond, ch, t - 32 AS t, avg(v) AS v FROM x GROUP BY 1, 2, 3, 4)
 SELECT subj, cond, ch, t, round((v - avg(CASE WHEN t BETWEEN -12 AND 0 THEN v END) OVER (PARTITION BY subj, cond, ch)) * 1e6, 3) AS v
