@@ -25,10 +25,25 @@ _scopes = _Scopes([[]])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, else a folder below the warehouse: both are shared."""
+    """The cluster's checkpoint folder; where none is set, a folder below the warehouse if all executors see it.
+
+    That holds for a warehouse on a file system of the cluster and for a local master. Otherwise executors would write
+    to folders of their own, so this fails and asks for the setting.
+    """
     conf = spark.sparkContext.getConf()
     path = spark.conf.get(_DIR_KEY, None) or conf.get(_DIR_KEY, None)
-    return path or f"{spark.conf.get(_WAREHOUSE_KEY).rstrip('/')}/netweave-staged"
+    if path:
+        return path
+    warehouse = spark.conf.get(_WAREHOUSE_KEY).rstrip("/")
+    files = spark._jvm.org.apache.hadoop.fs.Path(warehouse).getFileSystem(spark._jsc.hadoopConfiguration())
+    require_shared(files.getScheme(), spark.sparkContext.master)
+    return f"{warehouse}/netweave-staged"
+
+
+def require_shared(scheme: str, master: str) -> None:
+    """Fail where a folder of this scheme is the driver's own."""
+    if scheme == "file" and master != "local" and not master.startswith("local["):
+        raise ValueError(f"set {_DIR_KEY}: the warehouse is a local folder of the driver and the executors can't see it")
 
 
 def new_path(spark: SparkSession, label: str = "stage") -> str:

@@ -63,3 +63,13 @@ def test_pairs_are_averaged_over_the_trials_that_hold_both(spark):
     for (i, j, t), w in got.items():
         both = [k for k in range(3) if (k, i) in waves and (k, j) in waves]
         assert abs(w - abs(np.mean([phase(waves[k, i])[t] * np.conj(phase(waves[k, j])[t]) for k in both]))) < 1e-9
+
+
+def test_staging_asks_for_a_shared_folder_on_a_cluster():
+    from netweave.stage import require_shared
+
+    for scheme, master in (("file", "local[4]"), ("file", "local"), ("hdfs", "yarn"), ("s3a", "spark://host:7077")):
+        require_shared(scheme, master)
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,512]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            require_shared("file", master)
