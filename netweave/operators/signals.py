@@ -221,3 +221,39 @@ def trial_report(events: DataFrame) -> DataFrame:
         F.count_if(F.col("code").startswith("Incorrect")).alias("incorrect"),
     )
     return counts.withColumn("status", F.when(F.col("incorrect") > 0, "SUCCESS").otherwise("SKIPPED: no incorrect trials"))
+
+
+def captured(rows: DataFrame, kernel, schema: str) -> DataFrame:
+    """``kernel(row) -> dict`` for every row, with its key columns kept; where it raises, its result is NULL and ``error`` says why.
+
+    Key columns are those of ``rows`` that ``schema`` doesn't name and that are no arrays. One bad row costs neither its task nor its subject.
+    """
+    names = [part.split()[0] for part in schema.split(", ")]
+    keys = [c for c, t in rows.dtypes if not t.startswith("array") and c not in names]
+    kinds = dict(rows.dtypes)
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            out = []
+            for row in pdf.itertuples(index=False):
+                try:
+                    found, error = kernel(row), None
+                except Exception as problem:  # whatever a kernel raises is reported, not raised
+                    found, error = dict.fromkeys(names), str(problem)
+                out.append({**{k: getattr(row, k) for k in keys}, **found, "error": error})
+            if out:
+                yield pd.DataFrame(out, columns=[*keys, *names, "error"])
+
+    return rows.mapInPandas(run, "".join(f"`{k}` {kinds[k]}, " for k in keys) + schema + ", error string")
+
+
+def subject_status(results: DataFrame, cond: str = "cond", order: str = "trial") -> DataFrame:
+    """Per subject: SUCCESS, SKIPPED without Incorrect trials, or FAILED with the first error; counts of sound trials by class (0 where it failed)."""
+    sound = F.col("error").isNull()
+    counts = results.groupBy("subj").agg(
+        F.count_if(sound & F.col(cond).startswith("Correct")).alias("correct"), F.count_if(sound & F.col(cond).startswith("Incorrect")).alias("incorrect"),
+        F.min(F.when(~sound, F.struct(order, "error"))).alias("first"),
+    )
+    failed = F.col("first").isNotNull()
+    status = F.when(failed, F.concat(F.lit("FAILED: "), "first.error")).when(F.col("incorrect") > 0, "SUCCESS").otherwise("SKIPPED: no incorrect trials")
+    return counts.select("subj", status.alias("status"), *[F.when(failed, 0).otherwise(F.col(c)).cast("bigint").alias(c) for c in ("correct", "incorrect")])

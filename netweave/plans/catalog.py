@@ -165,4 +165,4 @@ def projector(name: str, gram: str, rank: int, keys: str = "", floor: float = 0.
 
 
 def register_all() -> None:
-    from netweave.plans import network_queries, regime_queries, signal_queries  # noqa: F401
+    from netweave.plans import network_queries, regime_queries, signal_queries, storage_queries  # noqa: F401

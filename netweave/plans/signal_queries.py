@@ -124,7 +124,7 @@ def hourly_signal(spark, d):
     ).agg(F.count("*").alias("v"))
 
 
-@query("balanced_epochs", f"""{GREEDY},
+EPOCH_TOTALS = f"""{GREEDY},
  sig AS (SELECT user_id % 8 AS subj, event_type AS ch, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 3600000000 AS sample,
     count(*) AS v FROM events GROUP BY 1, 2, 3),
  both_ends AS (SELECT event_id AS trial, 'Incorrect' AS code FROM m WHERE k > 0 UNION ALL
@@ -132,15 +132,22 @@ def hourly_signal(spark, d):
  cue AS (SELECT trial, both_ends.code, subj % 8 AS subj, sample // 3600 AS onset FROM both_ends JOIN ev ON event_id = trial
    WHERE trial IN (SELECT event_id FROM m WHERE match_id IS NOT NULL UNION ALL SELECT match_id FROM m)),
  cut AS (SELECT cue.subj, trial, code, ch, v FROM cue JOIN sig ON cue.subj = sig.subj AND sig.sample BETWEEN onset - 2 AND onset + 2)
-SELECT subj, code, trial, ch, sum(v)::BIGINT AS total FROM cut GROUP BY 1, 2, 3, 4 HAVING count(*) = 5""")
-def balanced_epochs(spark, d):
-    """Epochs of the errors and of the Correct trials matched with them, as many of either."""
+SELECT subj, code, trial, ch, sum(v)::BIGINT AS total FROM cut GROUP BY 1, 2, 3, 4"""
+
+
+def cut_balanced(spark, d):
+    """(subj, code, trial, ch, v): epochs of the errors and of the Correct trials matched with them."""
     kept = mt.balanced_events(mt.balance_trials(nw.trial_events(spark, d)))
     cues = kept.select((F.col("subj") % 8).alias("subj"), F.col("event_id").alias("trial"), F.floor(F.col("sample") / 3600).alias("sample"))
     cut = sg.cut_epochs(hourly_signal(spark, d), cues, 2, 2)
+    return cut.join(kept.select(F.col("event_id").alias("trial"), "code"), "trial").select("subj", "code", "trial", "ch", "v")
+
+
+@query("balanced_epochs", EPOCH_TOTALS + " HAVING count(*) = 5")
+def balanced_epochs(spark, d):
+    """Epochs of the errors and of the Correct trials matched with them, as many of either."""
     total = F.aggregate("v", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    named = cut.join(kept.select(F.col("event_id").alias("trial"), "code"), "trial")
-    return named.select("subj", "code", "trial", "ch", total.alias("total"))
+    return cut_balanced(spark, d).select("subj", "code", "trial", "ch", total.alias("total"))
 
 
 @query("band_pass", f"""WITH {cat.BAND} SELECT subj, cond, trial, ch, t, round(v, 6) AS v FROM y""")

@@ -115,3 +115,19 @@ def matrix_wide(cells: DataFrame, n_nodes: int, value: str = "w") -> DataFrame:
     both = cells.select("i", "j", value).union(cells.select("j", "i", value))
     wide = both.groupBy("i").pivot("j", list(range(n_nodes))).sum(value)
     return wide.na.fill(0.0).orderBy("i")
+
+
+def write_epochs(epochs: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Epochs (subj, trial, ch, ..., v array) in ranges of subjects, sorted inside every file: a subject's trials are read from few row groups."""
+    epochs.repartitionByRange("subj", "trial").sortWithinPartitions("subj", "trial", "ch").write.mode(mode).parquet(path)
+
+
+def read_epochs(spark: SparkSession, path: str, schema: str | None = None, subjects: list | None = None) -> DataFrame:
+    """Stored epochs, optionally of some subjects only: the condition reaches the scan and prunes by row-group statistics."""
+    epochs = spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
+    return epochs if subjects is None else epochs.filter(F.col("subj").isin(*subjects))
+
+
+def write_layout(layout: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Electrodes (name, x, y, z) as tab-separated text; NULL is written as n/a."""
+    layout.select("name", *[F.coalesce(F.col(c).cast("string"), F.lit("n/a")).alias(c) for c in "xyz"]).write.mode(mode).csv(path, sep="\t", header=True)
