@@ -5,7 +5,7 @@ A signal is ``(cond, t, v)``: one number per frame.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from netweave.functions.linalg import gram_spectrum
 from netweave.functions.scalar import edge_fade
 from netweave.operators import long_signals as ls
-from netweave.operators.frames import map_frames, node_gram, unpack
-from netweave.operators.tensor import mirrored
+from netweave.operators.frames import node_gram, pack_frames, unpack
+from netweave.operators.tensor import mirrored, subject_mean
 from netweave.shape import TensorShape, frame_spine, literal_array
 from netweave.stage import stage
 
@@ -50,42 +50,36 @@ def rank1_shift(edges: DataFrame, shape: TensorShape, window: int) -> DataFrame:
 def grassmann_shift(frames: DataFrame, shape: TensorShape, window: int, rank: int = 5) -> DataFrame:
     """Distance of the leading node subspaces of trailing windows half a window apart.
 
-    Per-frame Gram matrices are added up over each window by a running frame, so no window
-    is ever re-read; only the summed nodes x nodes matrices reach the decomposition.
+    Chunks of the time axis carry the frames of the windows before them; a window's Gram matrix is a difference of
+    running sums within its chunk, and a distance needs the chunk's own subspaces only. Matrices never leave a task.
     """
     shape.require_modes_fit()
-    n = shape.n_nodes
     step = max(window // 2, 1)
+    reach = window + step
 
-    def gram(cond: str, t: int, graphs: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame([{"cond": cond, "t": t, "g": node_gram(graphs).ravel()}])
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        t0, halo = int(pdf["t"].iloc[0]), pdf["halo"].to_numpy()
+        sums = [np.zeros((shape.n_nodes, shape.n_nodes))]
+        for row in pdf.itertuples(index=False):
+            sums.append(sums[-1] + node_gram(unpack(row.pos, row.w, shape)))
+        known: dict[int, np.ndarray] = {}
+
+        def space(t: int) -> np.ndarray:
+            if t not in known:
+                known[t] = gram_spectrum(sums[t - t0] - sums[t - t0 - window])[0][:, :rank]
+            return known[t]
+
+        rows = []
+        for k, t in enumerate(pdf["t"]):
+            if halo[k] or t < reach or (t - window) % step:
+                continue
+            overlap = np.linalg.norm(space(t).T @ space(t - step)) ** 2
+            rows.append((pdf["cond"].iloc[0], t - step // 2, 1.0 - overlap / rank))
+        return pd.DataFrame(rows, columns=["cond", "t", "v"])
 
-    grams = map_frames(frames, shape, gram, "cond string, t bigint, g array<double>")
-    cells = grams.select("cond", "t", F.posexplode("g").alias("pos", "g"))
-    trailing = Window.partitionBy("cond", "pos").orderBy("t").rowsBetween(-window, -1)
-    sampled = cells.select("cond", "t", "pos", F.sum("g").over(trailing).alias("g")).filter(
-        (F.col("t") >= window) & ((F.col("t") - window) % step == 0)
-    )
-    matrices = sampled.groupBy("cond", "t").agg(F.sort_array(F.collect_list(F.struct("pos", "g"))).alias("m"))
-    matrices = matrices.select("cond", "t", F.transform("m", lambda x: x["g"]).alias("m"))
-
-    def leading(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in pdfs:
-            rows = []
-            for row in pdf.itertuples(index=False):
-                u, _ = gram_spectrum(np.asarray(row.m).reshape(n, n))
-                u = u[:, :rank]
-                rows.append((row.cond, row.t, (u @ u.T).ravel()))
-            yield pd.DataFrame(rows, columns=["cond", "t", "p"])
-
-    spaces = matrices.mapInPandas(leading, "cond string, t bigint, p array<double>")
-    # a lag, not a self-join: the projectors are computed once
-    pairs = spaces.select("cond", "t", "p", F.lag("p").over(Window.partitionBy("cond").orderBy("t")).alias("q"))
-    overlap = F.aggregate(F.zip_with("p", "q", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    shifts = pairs.filter("q is not null").select(
-        "cond", (F.col("t") - step // 2).alias("t"), (1.0 - overlap / rank).alias("v")
-    )
-    return fill_signal(shifts, shape)
+    chunked = sliding_chunks(frames, reach, max(4 * window, 64))
+    return fill_signal(chunked.groupBy("cond", "chunk").applyInPandas(run, SIGNAL), shape)
 
 
 def fill_signal(signal: DataFrame, shape: TensorShape) -> DataFrame:
@@ -137,14 +131,17 @@ def sliding_chunks(frames: DataFrame, reach: int, size: int) -> DataFrame:
     return frames.withColumn("chunk", F.explode(F.sequence(own, last))).withColumn("halo", F.col("chunk") > own)
 
 
-def dmd_shift(frames: DataFrame, shape: TensorShape, window: int, rank: int = 5) -> DataFrame:
+def dmd_shift(edges: DataFrame, shape: TensorShape, window: int, rank: int = 5) -> DataFrame:
     """Change of the sorted eigenvalue moduli of the linear dynamics fitted to each trailing
     window of the subject-mean network (dynamic mode decomposition).
 
+    Subjects are averaged before frames are packed, so one small frame of each time is shuffled with its halos.
     Edges are weighted by sqrt(2), which keeps all inner products of the full square.
     Directions with vanishing singular value are left out of the fit (their modulus is 0).
     """
-    n_s, n_p = shape.n_subjects, shape.n_pairs
+    n_p = shape.n_pairs
+    alone = replace(shape, subjects=("mean",))
+    frames = pack_frames(subject_mean(edges, shape).withColumn("subj", F.lit("mean")), alone)
 
     def moduli(block: np.ndarray) -> np.ndarray:
         first, second = block[:, :-1], block[:, 1:]
@@ -162,8 +159,8 @@ def dmd_shift(frames: DataFrame, shape: TensorShape, window: int, rank: int = 5)
         t0 = int(pdf["t"].iloc[0])
         series = np.zeros((n_p, len(pdf)))
         for k, row in enumerate(pdf.itertuples(index=False)):
-            np.add.at(series[:, k], np.asarray(row.pos, dtype=int) % n_p, np.asarray(row.w))
-        series *= np.sqrt(2.0) / n_s
+            np.add.at(series[:, k], np.asarray(row.pos, dtype=int), np.asarray(row.w))
+        series *= np.sqrt(2.0)
         rows, previous = [], None
         for k, row in enumerate(pdf.itertuples(index=False)):
             if k < window or (row.halo and not (k + 1 < len(pdf) and not pdf["halo"].iloc[k + 1])):

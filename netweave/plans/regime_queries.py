@@ -18,6 +18,7 @@ from netweave.operators import tensor as tn
 from netweave.operators import tracker as tr
 from netweave.operators.tracker_config import Change, Recovery, Selection, Subspace
 from netweave.plans import catalog as cat
+from netweave.plans import network_queries as nq
 from netweave.plans import study
 from netweave.plans.catalog import query, rounded
 from netweave.sources import networks as nw
@@ -158,15 +159,13 @@ def window_centres(spark, d):
 
 @query("dmd_shift")
 def dmd_shift(spark, d):
-    frames = fr.pack_frames(nw.trade_edges(spark, d), nw.trade_shape(spark, d))
-    return dt.dmd_shift(frames, nw.trade_shape(spark, d), 12, 5).select("t", *rounded(5, "v"))
+    return dt.dmd_shift(nw.trade_edges(spark, d), nw.trade_shape(spark, d), 12, 5).select("t", *rounded(5, "v"))
 
 
 @query("event_dmd_shift")
 def event_dmd_shift(spark, d):
     """The same detector along the 720-frame event tensor."""
-    frames = fr.pack_frames(nw.event_edges(spark, d), nw.event_shape(spark, d))
-    return dt.dmd_shift(frames, nw.event_shape(spark, d), 48, 3).select("t", *rounded(4, "v"))
+    return dt.dmd_shift(nw.event_edges(spark, d), nw.event_shape(spark, d), 48, 3).select("t", *rounded(4, "v"))
 
 
 # optimal partitioning on multiples of 5, at least 6 frames per segment: one recursion step
@@ -515,7 +514,7 @@ def sparse_descent(spark, d):
     return _sparse(spark, d, "fista")
 
 
-@query("sparse_proxy", f"""WITH RECURSIVE {cat.TRADE}, {cat.BOTH}, segments AS (SELECT DISTINCT c_mktsegment AS s FROM customer WHERE c_mktsegment IS NOT NULL),
+SPARSE_SQL = f"""WITH RECURSIVE {cat.TRADE}, {cat.BOTH}, segments AS (SELECT DISTINCT c_mktsegment AS s FROM customer WHERE c_mktsegment IS NOT NULL),
  gn AS MATERIALIZED (SELECT x.range AS r, y.range AS c, coalesce(g, 0)::DOUBLE AS g FROM range(25) x CROSS JOIN range(25) y LEFT JOIN
    (SELECT a.i AS r, b.i AS c, sum(a.w * b.w) AS g FROM ends a JOIN ends b USING (subj, j, t) WHERE t < 24 GROUP BY 1, 2) k ON k.r = x.range AND k.c = y.range),
  gs AS MATERIALIZED (SELECT x.s AS r, y.s AS c, coalesce(g, 0)::DOUBLE AS g FROM segments x CROSS JOIN segments y LEFT JOIN
@@ -529,12 +528,49 @@ def sparse_descent(spark, d):
  lev AS ({PROXY_LEVEL}),
  s AS (SELECT subj, i, j, t, sign(y) * greatest(abs(y) - level, 0) AS s FROM y JOIN lev USING (t)),
  obs AS (SELECT subj, i, j, t, coalesce(w, 0) AS w, s FROM s LEFT JOIN ends USING (subj, i, j, t)),
- low AS (SELECT a.subj, a.i, a.j, a.t, a.w, (a.w - a.s + b.w - b.s) / 2 AS low FROM obs a JOIN obs b ON a.subj = b.subj AND a.t = b.t AND a.i = b.j AND a.j = b.i WHERE a.i < a.j)
-SELECT subj, i, j, t, round(w - low, 4) AS sparse FROM low WHERE abs(w - low) > 1e-10""")
+ low AS (SELECT a.subj, a.i, a.j, a.t, a.w, (a.w - a.s + b.w - b.s) / 2 AS low FROM obs a JOIN obs b ON a.subj = b.subj AND a.t = b.t AND a.i = b.j AND a.j = b.i WHERE a.i < a.j)"""
+
+
+@query("sparse_proxy", SPARSE_SQL + "\nSELECT subj, i, j, t, round(w - low, 4) AS sparse FROM low WHERE abs(w - low) > 1e-10")
 def sparse_proxy(spark, d):
     return _sparse(spark, d, "proxy")
 
 
+@query("low_rank_slice", nq.HOSVD.rsplit("SELECT subj, i, j, t", 1)[0] + "SELECT i, j, round(sum(w) / 5, 4) AS w FROM l3 WHERE t = 40 GROUP BY 1, 2")
+def low_rank_slice(spark, d):
+    """One month of the low-rank part, mean over subjects."""
+    shape = nw.trade_shape(spark, d)
+    low = lr.hosvd_low_rank(fr.stage_frames(nw.planted_edges(spark, d), shape), shape, (3, 6))
+    return tn.subject_mean(low.where("t = 40"), shape).select("i", "j", *rounded(4, "w"))
+
+
+@query("sparse_slice", SPARSE_SQL + """
+SELECT i, j, round(sum(w - low) / 5, 4) AS w FROM low WHERE t = 40 AND abs(w - low) > 1e-10 GROUP BY 1, 2""")
+def sparse_slice(spark, d):
+    """The same month of the sparse part that one shrinkage finds, mean over subjects."""
+    shape = nw.trade_shape(spark, d)
+    frames = fr.stage_frames(nw.trade_edges(spark, d), shape)
+    bases, _ = tr.initial_bases(frames, shape, PROXY)
+    versions = tr.Versions()
+    versions.add(0, bases)
+    found = tr.separated_edges(frames.where("t = 40"), shape, versions, PROXY).where(F.abs("sparse") > tr.EPS)
+    return tn.subject_mean(found.select("cond", "subj", "i", "j", "t", F.col("sparse").alias("w")), shape).select("i", "j", *rounded(4, "w"))
+
+
+@query("tracker_training", SPARSE_SQL + """
+SELECT 'node' AS mode, r::VARCHAR AS r, c::VARCHAR AS c, round(p, 6) AS p FROM pn UNION ALL SELECT 'subject', r, c, round(p, 6) FROM ps""")
+def tracker_training(spark, d):
+    """Projectors onto the tracker's initial subspaces, by mode."""
+    shape = nw.trade_shape(spark, d)
+    bases, _ = tr.initial_bases(fr.stage_frames(nw.trade_edges(spark, d), shape), shape, PROXY)
+    names = {"node": [str(n) for n in range(shape.n_nodes)], "subject": list(shape.subjects)}
+    rows = []
+    for mode, basis in zip(("node", "subject"), bases["trade"]):
+        p = basis @ basis.T
+        rows += [(mode, a, b, float(p[x, y])) for x, a in enumerate(names[mode]) for y, b in enumerate(names[mode])]
+    return spark.createDataFrame(rows, "mode string, r string, c string, p double").select("mode", "r", "c", *rounded(6, "p"))
+
+
 @query("distance_thinning", f"""WITH RECURSIVE {QUANTITY},
  k(point, score, kept) AS (
   SELECT NULL::BIGINT, NULL::DOUBLE, []::BIGINT[]

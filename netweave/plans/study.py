@@ -99,7 +99,7 @@ def detector_table(edges: DataFrame, shape: TensorShape, clock: Callable[[Column
         "hosvd": dt.sweep_signals([dt.grassmann_shift(frames, shape, w, cfg.subspace_rank) for w in cfg.windows], n, clock),
         "tracker": dt.sweep_signals(tracked, n, clock),
         "pelt": dt.choose_penalty(dt.penalty_sweep(energy, n, list(cfg.penalties))),
-        "dmd": dt.kernel_change_points(dt.dmd_shift(frames, shape, cfg.shift_window, cfg.subspace_rank), n),
+        "dmd": dt.kernel_change_points(dt.dmd_shift(edges, shape, cfg.shift_window, cfg.subspace_rank), n),
         "rank1": dt.kernel_change_points(dt.rank1_shift(edges, shape, cfg.shift_window), n),
     }
     out = None

@@ -111,7 +111,7 @@ def test_grassmann_shift_matches_window_svd(spark):
 def test_dmd_shift_matches_full_matrices(spark, n_frames):
     x = tensor(2, 5, n_frames)
     edges, shape = edges_of(spark, x)
-    got = values(dt.dmd_shift(fr.pack_frames(edges, shape), shape, 6, 3), n_frames)
+    got = values(dt.dmd_shift(edges, shape, 6, 3), n_frames)
     flat = x.mean(axis=0).reshape(25, -1)
     want, before = np.zeros(n_frames), None
     for t in range(6, n_frames):
