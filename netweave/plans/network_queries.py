@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from netweave.operators import communities as cm
@@ -281,11 +283,11 @@ PARTIES = """party AS (SELECT least(2 * o_custkey, 2 * l_suppkey + 1)::BIGINT AS
      FROM (SELECT any_value(k) AS k, b.i AS m, sum(b.w * x) AS h FROM z JOIN pp b ON b.j = z.r GROUP BY b.i) JOIN pp a ON a.j = m GROUP BY a.i) WHERE k < 60),
  u AS (SELECT r, x / sqrt(sum(x * x) OVER (PARTITION BY r % 2)) AS x FROM z WHERE k = 60),
  c AS (SELECT sum(w * a.x * b.x) AS c FROM party JOIN u a ON a.r = i JOIN u b ON b.r = j)
-SELECT i, j, round(a.x * b.x * c, 4) AS w FROM party JOIN u a ON a.r = i JOIN u b ON b.r = j, c""")
+SELECT i, j, round(a.x * b.x * c, 3) AS w FROM party JOIN u a ON a.r = i JOIN u b ON b.r = j, c""")
 def party_low_rank(spark, d):
     """What the strongest directions of customers and of suppliers say about each link between them; the mode has no size bound."""
     edges = nw.party_edges(spark, d)
-    return ss.fitted_at(edges, edges, (1, 2)).select("i", "j", *rounded(4, "w"))
+    return ss.fitted_at(edges, edges, (1, 2), ss.SubspaceConfig(tolerance=1e-11)).select("i", "j", *rounded(3, "w"))
 
 
 # ---- graphs without a size bound ---------------------------------------------------------
@@ -314,7 +316,7 @@ SELECT round(1 - l, 6) AS eigenvalue, round(1 - l, 6) AS quotient, least(below,
 def party_spectral_cut(spark, d):
     """Customers and suppliers cut at the widest gap of the second eigenvector of the normalised Laplacian; its Rayleigh quotient is recomputed."""
     edges = stage(nw.party_edges(spark, d))
-    found = lg.normalised_vector(edges)
+    found = lg.normalised_vector(edges, dataclasses.replace(lg.CUT, tolerance=1e-6))  # eigenvalues err by its square
     sizes = lg.gap_cut(found).groupBy("cond").agg(F.count_if(F.col("part") == 1).alias("a"), F.count_if(F.col("part") == 2).alias("b"))
     joined = sizes.join(lg.rayleigh(edges, found.vector), "cond")
     return joined.select(
