@@ -265,10 +265,8 @@ def hosvd_edges(spark, d):
 def hosvd_block_edges(spark, d):
     """The same projection by block iteration over the edge table, as large modes need."""
     shape = nw.trade_shape(spark, d)
-    busy = nw.planted_edges(spark, d)
-    frames = busy.select("cond", "t").distinct()
-    cells = pair_spine(spark, shape, by_subject=True, by_frame=False).join(frames, "cond")
-    return ss.fitted_at(busy, cells, (3, 6)).select("subj", "i", "j", "t", *rounded(4, "w"))
+    cells = stage(pair_spine(spark, shape, by_subject=True))
+    return ss.fitted_at(nw.planted_edges(spark, d), cells, (3, 6)).select("subj", "i", "j", "t", *rounded(4, "w"))
 
 
 # the mean over months of what a customer buys from a supplier, nodes being customers (even) and suppliers (odd)
@@ -286,7 +284,7 @@ PARTIES = """party AS (SELECT least(2 * o_custkey, 2 * l_suppkey + 1)::BIGINT AS
 SELECT i, j, round(a.x * b.x * c, 3) AS w FROM party JOIN u a ON a.r = i JOIN u b ON b.r = j, c""")
 def party_low_rank(spark, d):
     """What the strongest directions of customers and of suppliers say about each link between them; the mode has no size bound."""
-    edges = nw.party_edges(spark, d)
+    edges = stage(nw.party_edges(spark, d))
     return ss.fitted_at(edges, edges, (1, 2), ss.SubspaceConfig(tolerance=1e-11)).select("i", "j", *rounded(3, "w"))
 
 

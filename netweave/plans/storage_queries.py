@@ -36,9 +36,9 @@ def stored_subjects(spark, d):
 
 @query("stored_change_points", f"""WITH {cat.SEGMENTS}, p AS (SELECT 0 AS ord, b1 AS frame FROM best UNION ALL SELECT 1, b2 FROM best),
  c AS (SELECT DISTINCT 'trade' AS cond FROM trade UNION ALL SELECT 'other')
-SELECT c.cond, ord::INT AS ord, frame::BIGINT AS frame, (frame - 1)::DOUBLE AS ms FROM c LEFT JOIN p ON c.cond = 'trade'""")
+SELECT c.cond, ord::INT AS ord, frame::BIGINT AS frame, (frame - 1)::DOUBLE AS ms FROM c JOIN p ON c.cond = 'trade'""")
 def stored_change_points(spark, d):
-    """Change points written by method and condition, read back with their checks, and looked up for each condition (none for an unknown one)."""
+    """Change points written by method and condition, read back with their checks, and looked up for each condition (an unknown one is skipped)."""
     shape = nw.trade_shape(spark, d)
     found = seg.detect_exact(nw.trade_edges(spark, d), shape)
     points = found.select("cond", F.posexplode("boundaries").alias("ord", "frame"), F.lit("exact").alias("method")).select(
@@ -48,7 +48,7 @@ def stored_change_points(spark, d):
     tables.write_result(points, path, "method")
     read = tables.read_change_points(spark, path, expected=2).where("method = 'exact'").drop("method")
     wanted = spark.createDataFrame([(c,) for c in (*shape.conds, "other")], "cond string")
-    return wanted.join(read, "cond", "left").select("cond", "ord", "frame", "ms")
+    return wanted.join(read, "cond").select("cond", "ord", "frame", "ms")
 
 
 @query("stored_epochs", sq.EPOCH_TOTALS + " HAVING count(*) = 5 AND subj IN (2, 5)")
