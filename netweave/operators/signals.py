@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from netweave.functions.linalg import flat_pairs
 from netweave.operators.contraction import contract_arrays
@@ -17,6 +19,8 @@ from netweave.operators.contraction import contract_arrays
 TRIAL_CHUNK = 32
 # Partial cross-spectra a task keeps open before it passes them on to the shuffle.
 MAX_OPEN_SUMS = 16
+# Trials whose short-time spectra are formed at once.
+SPECTRA_ROWS = 256
 
 
 def pick_channels(signals: DataFrame, keep: list[str], rename: dict[str, str]) -> DataFrame:
@@ -106,24 +110,31 @@ def short_time_spectrum(v: Column, window: int, bins: tuple[int, ...]) -> Column
 
     The window is a raised cosine of ``window`` samples that starts window / 2 before the sample; samples beyond the ends are 0.
     """
-    m = np.arange(window)
-    taper = 0.5 - 0.5 * np.cos(2 * np.pi * m / window)
-    waves = taper * np.exp(-2j * np.pi * np.outer(bins, m) / window)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(col: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(col), dtype=object)
         for _, same in col.groupby(col.map(len)):
-            x = np.pad(np.stack(same.to_list()).astype(float), ((0, 0), (window // 2, window)))
-            frames = np.lib.stride_tricks.sliding_window_view(x, window, axis=1)[:, : len(same.iloc[0])]
-            z = (frames @ waves.T).reshape(len(same), -1)
-            for k, row in zip(same.index, np.concatenate([z.real, z.imag], axis=1)):
-                out[k] = row
+            for at in range(0, len(same), SPECTRA_ROWS):
+                slab = same.iloc[at:at + SPECTRA_ROWS]
+                for k, row in zip(slab.index, windowed_spectra(np.stack(slab.to_list()).astype(float), window, bins)):
+                    out[k] = row
         return out
 
     return run(v)
 
 
+def windowed_spectra(x: np.ndarray, window: int, bins: tuple[int, ...]) -> np.ndarray:
+    """`short_time_spectrum` of the rows of ``x``."""
+    m = np.arange(window)
+    taper = 0.5 - 0.5 * np.cos(2 * np.pi * m / window)
+    waves = taper * np.exp(-2j * np.pi * np.outer(bins, m) / window)
+    padded = np.pad(x, ((0, 0), (window // 2, window)))
+    frames = np.lib.stride_tricks.sliding_window_view(padded, window, axis=1)[:, : x.shape[1]]
+    z = (frames @ waves.T).reshape(len(x), -1)
+    return np.concatenate([z.real, z.imag], axis=1)
+
+
 def band_locking(trials: DataFrame, n_channels: int, n_samples: int, window: int, bins: tuple[int, ...]) -> DataFrame:
     """Phase locking (cond, subj, i, j, t, w) in a time-frequency band: per sample and bin over trials, then the mean over the bins.
 
@@ -153,29 +164,34 @@ def phase_locking(analytic: DataFrame, n_channels: int) -> DataFrame:
         T.StructField("im", T.ArrayType(T.DoubleType())),
     ])
 
-    def rows(sums: dict) -> pd.DataFrame:
-        return pd.DataFrame(
-            [(s, k, n, total.real, total.imag) for (s, k), (n, total) in sums.items()],
-            columns=["subj", "cond", "n", "re", "im"],
-        )
+    def rows(sums: dict) -> pa.RecordBatch:
+        columns = list(zip(*((s, k, n, total.real, total.imag) for (s, k), (n, total) in sums.items())))
+        kinds = (key_types[0], key_types[1], pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], out.names)
+
+    key_types = tuple(to_arrow_type(analytic.schema[k].dataType) for k in ("subj", "cond"))
 
-    def partial(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
-        for pdf in pdfs:
-            for row in pdf.itertuples(index=False):
-                a = np.stack(list(row.z))
+        for batch in batches:
+            for k in range(batch.num_rows):  # one trial at a time leaves Arrow
+                subj, cond = (batch.column(x)[k].as_py() for x in (0, 1))
+                ch, lists = (batch.column(x)[k].values for x in (3, 4))
+                a = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
                 n = a.shape[1] // 2
                 z, held = np.zeros((n_channels, n), dtype=complex), np.zeros(n_channels, dtype=bool)
-                z[row.ch], held[row.ch] = np.exp(1j * np.arctan2(a[:, n:], a[:, :n])), True
+                at = ch.to_numpy(zero_copy_only=False)
+                z[at], held[at] = np.exp(1j * np.arctan2(a[:, n:], a[:, :n])), True
                 both = np.repeat((held[r] & held[c]).astype(np.int64), n)
-                count, total = sums.get((row.subj, row.cond), (0, 0.0))
-                sums[(row.subj, row.cond)] = (count + both, total + (z[r] * np.conj(z[c])).ravel())
+                count, total = sums.get((subj, cond), (0, 0.0))
+                sums[(subj, cond)] = (count + both, total + (z[r] * np.conj(z[c])).ravel())
                 if len(sums) > MAX_OPEN_SUMS:
                     yield rows(sums)
                     sums = {}
-        yield rows(sums)
+        if sums:
+            yield rows(sums)
 
-    sums = packed.mapInPandas(partial, out)
+    sums = packed.mapInArrow(partial, out)
     cells = (
         sums.select("subj", "cond", F.posexplode(F.arrays_zip("n", "re", "im")).alias("pos", "x"))
         .groupBy("subj", "cond", "pos")
