@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from netweave.functions.linalg import flat_pairs
 from netweave.operators.contraction import contract_arrays
+from netweave.stage import stage
 
 # Trials of one subject kept together in a task; more are spread over further tasks.
 TRIAL_CHUNK = 32
@@ -42,19 +43,24 @@ def classify_trials(events: DataFrame, code: str = "code") -> DataFrame:
 def cut_epochs(signal: DataFrame, events: DataFrame, before: int, after: int) -> DataFrame:
     """Windows of ``signal(subj, ch, sample, v)`` around ``events(subj, sample, trial, ...)``.
 
-    Events expand to their sample positions, an equi-join fetches the samples, and
-    windows with missing samples are dropped. Result: (subj, trial, ch, v array).
+    Every position with an event expands to its sample positions once, however many events share it; an equi-join fetches
+    the samples and another one brings events and windows together. Windows with missing samples are dropped. Result: (subj, trial, ch, v array, ...);
+    further columns of events must agree within a trial.
     """
     width = before + after + 1
     offsets = F.sequence(F.lit(-before), F.lit(after))
-    wanted = events.select("subj", "trial", F.col("sample").alias("onset"), F.explode(offsets).alias("t"))
-    wanted = wanted.withColumn("sample", F.col("onset") + F.col("t"))
-    return (
-        wanted.join(signal, ["subj", "sample"])
-        .groupBy("subj", "trial", "ch")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("v"))
-        .filter(F.size("v") == width)
-    )
+    rest = [c for c in events.columns if c not in ("subj", "sample", "trial")]
+    trials = stage(events.groupBy("subj", "trial").agg(F.collect_list("sample").alias("onsets"), *[F.first(c).alias(c) for c in rest]))
+    wanted = trials.select("subj", F.explode("onsets").alias("onset")).distinct().select("*", F.explode(offsets).alias("t"))
+    found = wanted.withColumn("sample", F.col("onset") + F.col("t")).join(signal, ["subj", "sample"])
+    windows = stage(found.groupBy("subj", "onset", "ch").agg(F.sort_array(F.collect_list(F.struct("t", "v"))).alias("x")))
+    once = trials.where("size(onsets) = 1").withColumn("onset", F.col("onsets")[0]).join(windows.where(F.size("x") == width), ["subj", "onset"])
+    several = trials.where("size(onsets) > 1")
+    if not several.isEmpty():  # a trial named by several events has all their samples
+        parts = several.withColumn("onset", F.explode("onsets")).join(windows, ["subj", "onset"]).groupBy("subj", "trial", "ch")
+        whole = parts.agg(F.sort_array(F.flatten(F.collect_list("x"))).alias("x"), *[F.first(c).alias(c) for c in rest]).where(F.size("x") == width)
+        once = once.select("subj", "trial", "ch", "x", *rest).unionByName(whole)
+    return once.select("subj", "trial", "ch", F.transform("x", lambda x: x["v"]).alias("v"), *rest)
 
 
 def spatial_filter(signals: DataFrame, matrix: DataFrame) -> DataFrame:

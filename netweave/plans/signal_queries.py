@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from netweave.operators import matching as mt
@@ -138,9 +139,10 @@ SELECT subj, code, trial, ch, sum(v)::BIGINT AS total FROM cut GROUP BY 1, 2, 3,
 def cut_balanced(spark, d):
     """(subj, code, trial, ch, v): epochs of the errors and of the Correct trials matched with them."""
     kept = mt.balanced_events(mt.balance_trials(nw.trial_events(spark, d)))
-    cues = kept.select((F.col("subj") % 8).alias("subj"), F.col("event_id").alias("trial"), F.floor(F.col("sample") / 3600).alias("sample"))
+    codes = F.collect_list("code").over(Window.partitionBy("event_id")).alias("codes")
+    cues = kept.select((F.col("subj") % 8).alias("subj"), F.col("event_id").alias("trial"), F.floor(F.col("sample") / 3600).alias("sample"), codes)
     cut = sg.cut_epochs(hourly_signal(spark, d), cues, 2, 2)
-    return cut.join(kept.select(F.col("event_id").alias("trial"), "code"), "trial").select("subj", "code", "trial", "ch", "v")
+    return cut.select("subj", F.explode("codes").alias("code"), "trial", "ch", "v")
 
 
 @query("balanced_epochs", EPOCH_TOTALS + " HAVING count(*) = 5")

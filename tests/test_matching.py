@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from netweave.operators import matching as mt
+from netweave.operators import signals as sg
 from netweave.operators.ordered import running
 
 
@@ -77,3 +78,13 @@ def test_running_values_match_plain_windows(spark):
         assert (g["s"] == g["v"].cumsum()).all()
         assert (g["m"] == g["v"].cummin()).all()
         assert (g["b"] == g["v"][::-1].cummax()[::-1]).all()
+
+
+def test_epochs_of_events_that_share_positions(spark):
+    """Two hundred events at three positions, one at the edge, keep their further column; a trial named by two events has no epoch."""
+    signal = spark.createDataFrame([(1, ch, t, 10 * t + k) for k, ch in enumerate("ab") for t in range(8)], "subj bigint, ch string, sample bigint, v bigint")
+    events = [(1, (3, 4, 7)[k % 3], k, "x" if k % 2 else "y") for k in range(200)] + [(1, 4, 5, "x")]
+    cut = sg.cut_epochs(signal, spark.createDataFrame(events, "subj bigint, sample bigint, trial bigint, code string"), 2, 1)
+    got = sorted((r.trial, r.ch, r.v, r.code) for r in cut.collect())
+    want = [(n, ch, [10 * t + k for t in range(at - 2, at + 2)], code) for _, at, n, code in events[:200] for k, ch in enumerate("ab") if at != 7 and n != 5]
+    assert got == want
