@@ -612,8 +612,9 @@ def study_summary(spark, d):
 def _detected(spark, d):
     shape = nw.trade_shape(spark, d)
     edges = seg.stage(nw.planted_edges(spark, d))
-    low = seg.stage(lr.hosvd_low_rank(fr.stage_frames(edges, shape), shape, STUDY.ranks))
-    return low, seg.stage(study.detector_table(edges, shape, MONTHS, STUDY)), shape
+    frames = fr.stage_frames(edges, shape)
+    low = seg.stage(lr.hosvd_low_rank(frames, shape, STUDY.ranks))
+    return low, seg.stage(study.detector_table(edges, shape, MONTHS, STUDY, frames)), shape
 
 
 @query("detector_communities")

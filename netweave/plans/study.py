@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,17 +88,27 @@ def run_study(edges: DataFrame, shape: TensorShape, denoiser: str = "hosvd", cfg
     return Study(low, points, intervals, labels, quality, agreement, tn.group_mean(graphs, shape))
 
 
-def detector_table(edges: DataFrame, shape: TensorShape, clock: Callable[[Column], Column], cfg: StudyConfig = StudyConfig()) -> DataFrame:
-    """Change points of the five detectors: (cond, method, ord, frame, ms)."""
-    edges = stage(edges)
-    frames = fr.stage_frames(edges, shape)
+def detector_table(
+    edges: DataFrame, shape: TensorShape, clock: Callable[[Column], Column], cfg: StudyConfig = StudyConfig(), frames: DataFrame | None = None,
+) -> DataFrame:
+    """Change points of the five detectors: (cond, method, ord, frame, ms).
+
+    With ``frames``, both they and ``edges`` are stored already. Trackers are chains of small jobs, so they run side by side.
+    """
+    if frames is None:
+        edges = stage(edges)
+        frames = fr.stage_frames(edges, shape)
     n = shape.n_frames
     energy = dt.fill_signal(tn.mean_graph_energy(edges, shape), shape)
     alpha, sigma = cfg.alphas[len(cfg.alphas) // 2], cfg.sigmas[len(cfg.sigmas) // 2]
     settings = [(a, sigma) for a in cfg.alphas] + [(alpha, s) for s in cfg.sigmas if s != sigma]
-    tracked = [tr.sparse_energy(frames, shape, cfg.tracker.subspace.train, a, s)[0] for a, s in settings]
+    with ThreadPoolExecutor(len(settings) + 1) as pool:
+        energies = [pool.submit(inheritable_thread_target(tr.sparse_energy), frames, shape, cfg.tracker.subspace.train, a, s) for a, s in settings]
+        shifts = [dt.grassmann_shift(frames, shape, w, cfg.subspace_rank) for w in cfg.windows]
+        hosvd = pool.submit(inheritable_thread_target(dt.sweep_signals), shifts, n, clock)
+        tracked = [energy.result()[0] for energy in energies]
     found = {
-        "hosvd": dt.sweep_signals([dt.grassmann_shift(frames, shape, w, cfg.subspace_rank) for w in cfg.windows], n, clock),
+        "hosvd": hosvd.result(),
         "tracker": dt.sweep_signals(tracked, n, clock),
         "pelt": dt.choose_penalty(dt.penalty_sweep(energy, n, list(cfg.penalties))),
         "dmd": dt.kernel_change_points(dt.dmd_shift(edges, shape, cfg.shift_window, cfg.subspace_rank), n),

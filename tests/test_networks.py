@@ -1,5 +1,7 @@
 """Communities, quality, tensors, sources and sinks."""
 
+import threading
+
 import numpy as np
 import pytest
 from conftest import dense_of, edges_of, tensor
@@ -164,6 +166,28 @@ def test_studies_run_for_every_denoiser(spark):
     assert found.filter("size(nodes) <> 9").count() == 0
 
 
+def test_trackers_of_a_table_run_side_by_side(spark, monkeypatch):
+    """No tracker waits for another one's end, and stored frames are taken as they are."""
+    from netweave.operators.tracker_config import Selection, Subspace, TrackerConfig
+
+    edges, shape = edges_of(spark, tensor(2, 6, 40, seed=5))
+    cfg = study.StudyConfig(
+        ranks=(2, 3), windows=(4,), shift_window=6, alphas=(5, 8), sigmas=(0.11, 0.2),
+        tracker=TrackerConfig(Subspace(train=10, block=5), selection=Selection(rate=None, window_ms=None)),
+    )
+    clock = lambda t: t.cast("double")
+    alone = sorted(map(tuple, study.detector_table(edges, shape, clock, cfg).collect()))
+    meet, tracked = threading.Barrier(3), study.tr.sparse_energy
+
+    def together(*given):
+        meet.wait(60)
+        return tracked(*given)
+
+    monkeypatch.setattr(study.tr, "sparse_energy", together)
+    frames = study.stage(fr.pack_frames(edges, shape))
+    assert sorted(map(tuple, study.detector_table(edges, shape, clock, cfg, frames).collect())) == alone
+
+
 # ---- shapes, sources, sinks ---------------------------------------------------------------
 
 
